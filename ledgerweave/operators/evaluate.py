@@ -6,20 +6,14 @@ Equal scores are collapsed first; everything else works on distinct scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.scoring import (
-    class_weight,
-    literal_vector,
-    log_loss,
-    logit,
-    probability,
-)
+from ledgerweave.functions.scoring import class_weight, literal_vector, log_loss
 from ledgerweave.sources.small import small_table
 
 # Distinct scores one task ranks, quantiles asked for, and their rank accuracy.
@@ -34,43 +28,56 @@ MODEL_SCHEMA = pa.schema(
     [
         ("model", pa.string()),
         ("bank_id", pa.string()),
-        ("coef", pa.list_(pa.float64())),
-        ("intercept", pa.float64()),
+        ("params", pa.map_(pa.string(), pa.list_(pa.float64()))),
     ]
 )
 
 
-# --- scoring -----------------------------------------------------------------
+# Turns "array column of parameter <key>" into the score column of encoded rows.
+Scorer = Callable[[Callable[[str], Column]], Column]
 
 
-def score(
-    encoded: DataFrame, coef: Sequence[float], intercept: float, n_num: int, n_cat: int
-) -> DataFrame:
-    """Adds ``z`` and ``p`` of one model; its parameters travel as literals."""
-    z = logit(literal_vector(coef), F.lit(float(intercept)), n_num, n_cat)
-    return encoded.withColumn("z", z).withColumn("p", probability(F.col("z")))
+# --- scoring -----------------------------------------------------------------
 
 
 def model_table(
-    spark: SparkSession, models: Sequence[tuple[str, str, Sequence[float], float]]
+    spark: SparkSession, models: Sequence[tuple[str, str, Mapping[str, Sequence[float]]]]
 ) -> DataFrame:
-    """(model, bank_id, coef, intercept): which parameters score which bank's rows."""
-    return small_table(
-        spark, MODEL_SCHEMA, [(m, b, [float(v) for v in c], float(i)) for m, b, c, i in models]
-    )
+    """(model, bank_id, params): which parameters score which bank's rows."""
+    rows = [
+        (model, bank, [(k, [float(v) for v in values]) for k, values in params.items()])
+        for model, bank, params in models
+    ]
+    return small_table(spark, MODEL_SCHEMA, rows)
 
 
-def score_models(encoded: DataFrame, models: DataFrame, n_num: int, n_cat: int) -> DataFrame:
-    """Scores every row with each model registered for its bank."""
-    z = logit(F.col("coef"), F.col("intercept"), n_num, n_cat)
+def score_models(encoded: DataFrame, models: DataFrame, scorer: Scorer) -> DataFrame:
+    """Scores every row with each model registered for its bank: adds model and ``p``."""
     return (
         encoded.join(models, "bank_id")
-        .withColumn("z", z)
-        .withColumn("p", probability(F.col("z")))
-        .drop("coef", "intercept")
+        .withColumn("p", scorer(lambda key: F.element_at("params", key)))
+        .drop("params")
     )
 
 
+def score_shared(
+    encoded: DataFrame,
+    models: Mapping[str, Mapping[str, Sequence[float]]],
+    scorer: Scorer,
+    kind: str = "string",
+) -> DataFrame:
+    """Scores every row with each of a few models shared by all banks; the parameters
+    travel as literals. ``kind`` is the type of the ``model`` column."""
+    scores = [
+        F.struct(
+            F.lit(name).cast(kind).alias("model"),
+            scorer(lambda key, p=params: literal_vector(p[key])).alias("p"),
+        )
+        for name, params in models.items()
+    ]
+    return encoded.select("*", F.inline(F.array(*scores)))
+
+
 # --- curves ------------------------------------------------------------------
 
 
