@@ -153,14 +153,19 @@ def plan_fingerprint(plan: DataFrame, spec: FeatureSpec) -> DataFrame:
     Scaling values enter with ten significant digits, so a plan rebuilt from the same
     data keeps its fingerprint although parallel sums differ in their last bits.
     """
+
+    def digits(name: str) -> Column:
+        text = F.when(F.col(name).isNotNull(), F.format_string("%.9e", name))
+        return F.coalesce(text, F.lit(""))
+
     line = F.concat_ws(
         "|",
         F.col("idx").cast("string"),
         "kind",
         "col",
         F.coalesce("value", F.lit("")),
-        F.coalesce(F.format_string("%.9e", "mean"), F.lit("")),
-        F.coalesce(F.format_string("%.9e", "std"), F.lit("")),
+        digits("mean"),
+        digits("std"),
     )
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda r: r["line"]

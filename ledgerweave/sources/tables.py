@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ledgerweave.settings import FeatureSpec
 from ledgerweave.sources.small import small_table
 
+TEXT_PARTITIONS = ("bank_id", "plan_hash", "split", "model_id")
 WRITE_MODES = ("overwrite", "append", "errorifexists")
 PLAN_COLUMNS = "idx int, kind string, col string, value string, mean double, std double, name string"
 PLAN_DOCUMENT = (
@@ -51,11 +52,26 @@ def _checked(mode: str) -> str:
 # --- raw ledger ---------------------------------------------------------------
 
 
-def scan_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV with a header, every column read as text so that coercion decides what is
-    valid. Directories named bank_id=<bank> below ``path`` become a column."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).csv(path)
+def _as_text(df: DataFrame, names: Sequence[str]) -> T.StructType:
+    """The table's schema with the named columns as text. Spark would otherwise guess
+    partition values, turning bank '007' into 7."""
+    return T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in df.schema]
+    )
+
+
+def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    schema = _as_text(spark.read.parquet(path), TEXT_PARTITIONS)
+    return spark.read.schema(schema).parquet(path)
+
+
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, every column as text, so that coercion decides what is valid
+    and nothing is inferred from the data. Directories named bank_id=<bank> below
+    ``path`` become a column."""
+    reader = spark.read.option("header", True)
+    found = reader.csv(path)
+    return reader.schema(_as_text(found, found.columns)).csv(path)
 
 
 def write_by_bank(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -69,7 +85,7 @@ def write_by_bank(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 
 def read_by_bank(spark: SparkSession, path: str, bank: str | None = None) -> DataFrame:
     """Parquet by bank; naming a bank prunes the scan to its partition."""
-    df = spark.read.parquet(path)
+    df = _read_parquet(spark, path)
     return df if bank is None else df.where(F.col("bank_id") == bank)
 
 
@@ -178,7 +194,7 @@ def save_dataset(
 def load_dataset(spark: SparkSession, path: str, plan_hash: str) -> DataFrame:
     """The dataset of exactly this plan. Rows of other plans are pruned by partition; a
     dataset that has only others is an error, not an empty table."""
-    df = spark.read.parquet(path)
+    df = _read_parquet(spark, path)
     if "plan_hash" not in df.columns:
         raise ValueError(f"{path} does not say which plan it was encoded with")
     mine = df.where(F.col("plan_hash") == plan_hash)
@@ -249,7 +265,7 @@ def load_params(
 ) -> tuple[dict[str, np.ndarray], dict[str, str]]:
     """(arrays, meta) of one saved model."""
     rows = (
-        spark.read.parquet(path)
+        _read_parquet(spark, path)
         .where(F.col("model_id") == model_id)
         .where(F.col("round") == (-1 if round_id is None else round_id))
         .where(F.col("alpha").eqNullSafe(F.lit(alpha).cast("double")))
