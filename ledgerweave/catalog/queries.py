@@ -25,6 +25,7 @@ from ledgerweave.sources import tables, testdata
 from ledgerweave.sources.durable import durable, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
+BUILDERS: dict[str, Callable[[Inputs], DataFrame]] = {}
 QUERIES: dict[str, Query] = {}
 
 BANKS = ("bank_l", "bank_m", "bank_s")
@@ -96,6 +97,7 @@ class Inputs:
 
 def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     """Registers ``build`` under its own name."""
+    BUILDERS[build.__name__] = build
     QUERIES[build.__name__] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
     return build
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -26,7 +27,13 @@ def logit(coef: Column, intercept: Column, n_num: int, n_cat: int) -> Column:
 
 
 def literal_vector(values: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+    """A constant array; one expression text is parsed instead of a call per element."""
+    numbers = (float(v) for v in values)
+    return F.expr(
+        "array("
+        + ", ".join(f"{v!r}D" if math.isfinite(v) else f"double('{v}')" for v in numbers)
+        + ")"
+    )
 
 
 def probability(z: Column) -> Column:

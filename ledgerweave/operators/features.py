@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ledgerweave.operators.ledger import label_accounts
 
-# Facets of one transfer. Peer facets feed volumes and distinct counterparties, day
-# facets feed the daily bursts.
-OUT_PEER, IN_PEER, OUT_DAY, IN_DAY = range(4)
+# Facets a transfer is counted under: its two accounts, and either account with the day.
+PAIR, OUT_DAY, IN_DAY = range(3)
+# What an account gets from them: volumes and counterparties, and daily bursts.
+OUT_PEER, IN_PEER = PAIR, IN_DAY + 1
 
 SUM_COLUMNS = (
     "out_sum",
@@ -106,54 +107,54 @@ def burst_features(daily: DataFrame) -> DataFrame:
 
 
 def _profile(ledger: DataFrame) -> DataFrame:
-    """All ledger features of an account in one pass.
+    """All ledger features of an account in one pass over the transfers.
 
-    Each transfer becomes four facet rows, which are pre-aggregated on
-    (account, facet, counterparty or day) and then folded per account. That is two
-    shuffles for everything, against two per distinct count and per burst, and both
-    combine on the map side, so a hub account is spread over its counterparties
-    first and arrives as one row per task in the second.
+    Each transfer becomes three facet rows, pre-aggregated on (facet, account,
+    counterparty or day); the pair facet then serves both of its accounts, and the
+    results are folded per account. That is two shuffles for everything, against two
+    per distinct count and per burst. Both combine on the map side: a hub account is
+    spread over its counterparties first and arrives as one row per task in the second.
     """
-
-    def facet(code: int, end: str, key: Column) -> Column:
-        return F.struct(
-            F.lit(code).cast("tinyint").alias("facet"),
-            F.col(end).alias("acct_id"),
-            key.cast("bigint").alias("key"),
-        )
-
-    day = F.unix_date(day_of(F.col("tran_timestamp")))
-    facets = F.inline(
-        F.array(
-            facet(OUT_PEER, "orig_acct", F.col("bene_acct")),
-            facet(IN_PEER, "bene_acct", F.col("orig_acct")),
-            facet(OUT_DAY, "orig_acct", day),
-            facet(IN_DAY, "bene_acct", day),
-        )
+    day = "unix_date(to_date(tran_timestamp))"
+    facets = F.expr(
+        f"""inline(array(
+            struct({PAIR}Y AS facet, orig_acct AS a, bene_acct AS b),
+            struct({OUT_DAY}Y AS facet, orig_acct AS a, CAST({day} AS BIGINT) AS b),
+            struct({IN_DAY}Y AS facet, bene_acct AS a, CAST({day} AS BIGINT) AS b)))"""
     )
-    code, key = F.col("facet"), F.col("key")
-    by_key = (
+    counted = (
         ledger.select("base_amt", facets)
-        .where(F.col("acct_id").isNotNull() & (key.isNotNull() | (code < OUT_DAY)))
-        .groupBy("acct_id", "facet", "key")
+        .where(f"facet = {PAIR} OR (a IS NOT NULL AND b IS NOT NULL)")
+        .groupBy("facet", "a", "b")
         .agg(F.count("*").alias("n"), _volume("base_amt").alias("amount"))
     )
+    ends = F.expr(
+        f"""inline(CASE WHEN facet = {PAIR} THEN array(
+                struct({OUT_PEER}Y AS role, a AS acct_id, b AS key),
+                struct({IN_PEER}Y AS role, b AS acct_id, a AS key))
+            ELSE array(struct(facet AS role, a AS acct_id, b AS key)) END)"""
+    )
 
-    def only(which: int, value: Column) -> Column:
-        return F.when(code == which, value)
-
-    n, amount = F.col("n"), F.col("amount")
-    return by_key.groupBy("acct_id").agg(
-        F.sum(only(OUT_PEER, n)).alias("out_cnt"),
-        F.sum(only(OUT_PEER, amount)).alias("out_sum"),
-        F.count(only(OUT_PEER, key)).alias("out_nuniq_bene"),
-        F.sum(only(IN_PEER, n)).alias("in_cnt"),
-        F.sum(only(IN_PEER, amount)).alias("in_sum"),
-        F.count(only(IN_PEER, key)).alias("in_nuniq_orig"),
-        F.max(only(OUT_DAY, n)).alias("out_max_daily_cnt"),
-        F.max(only(OUT_DAY, amount)).alias("out_max_daily_sum"),
-        F.max(only(IN_DAY, n)).alias("in_max_daily_cnt"),
-        F.max(only(IN_DAY, amount)).alias("in_max_daily_sum"),
+    def of(role: int, value: str) -> str:
+        return f"CASE WHEN role = {role} THEN {value} END"
+
+    folded = {
+        "out_cnt": f"sum({of(OUT_PEER, 'n')})",
+        "out_sum": f"sum({of(OUT_PEER, 'amount')})",
+        "out_nuniq_bene": f"count({of(OUT_PEER, 'key')})",
+        "in_cnt": f"sum({of(IN_PEER, 'n')})",
+        "in_sum": f"sum({of(IN_PEER, 'amount')})",
+        "in_nuniq_orig": f"count({of(IN_PEER, 'key')})",
+        "out_max_daily_cnt": f"max({of(OUT_DAY, 'n')})",
+        "out_max_daily_sum": f"max({of(OUT_DAY, 'amount')})",
+        "in_max_daily_cnt": f"max({of(IN_DAY, 'n')})",
+        "in_max_daily_sum": f"max({of(IN_DAY, 'amount')})",
+    }
+    return (
+        counted.select("n", "amount", ends)
+        .where("acct_id IS NOT NULL")
+        .groupBy("acct_id")
+        .agg(*(F.expr(sql).alias(name) for name, sql in folded.items()))
     )
 
 
