@@ -14,16 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import ledgerweave
 from ledgerweave.operators.averaging import fedavg, flatten_updates
 from ledgerweave.plans.models import Params, Shard, ShardModel
 from ledgerweave.settings import TrainSpec
 from ledgerweave.sources.small import small_table
 
-UPDATE_COLUMNS = "alpha double, bank_id string, shard int, n_train bigint, key string, values array<double>"
+# Training functions travel to the executors as code, so the package need not be
+# installed there; NumPy and PyArrow must be.
+cloudpickle.register_pickle_by_value(ledgerweave)
+
+UPDATE_COLUMNS = (
+    "alpha double, bank_id string, shard int, n_train bigint, key string, values array<double>"
+)
 PLACEMENT_SCHEMA = pa.schema(
     [("bank_id", pa.string()), ("first", pa.int32()), ("shards", pa.int32())]
 )
