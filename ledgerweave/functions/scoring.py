@@ -11,19 +11,17 @@ from pyspark.sql import functions as F
 from ledgerweave.settings import LOGIT_LIMIT, PROBABILITY_FLOOR
 
 
-def logit(coef: Column, intercept: Column, n_num: int, n_cat: int) -> Column:
-    """intercept + num . coef + the coefficient of every active category.
+def logit(coef: str, intercept: str, n_num: int, n_cat: int) -> Column:
+    """intercept + num . coef + the coefficient of every active category, where ``coef``
+    names an array column and ``intercept`` is SQL text.
 
     Unrolled over the configured columns instead of a higher-order function, so it
     stays inside generated code. Unknown categories add nothing.
     """
-    z = intercept
-    for i in range(n_num):
-        z = z + F.get(F.col("num"), F.lit(i)) * F.get(coef, F.lit(i))
-    for j in range(n_cat):
-        active = F.get(F.col("cat"), F.lit(j))
-        z = z + F.coalesce(F.get(coef, active), F.lit(0.0))
-    return z
+    terms = [intercept]
+    terms += [f"get(num, {i}) * get({coef}, {i})" for i in range(n_num)]
+    terms += [f"coalesce(get({coef}, get(cat, {j})), 0D)" for j in range(n_cat)]
+    return F.expr(" + ".join(terms))
 
 
 def literal_vector(values: Sequence[float]) -> Column:

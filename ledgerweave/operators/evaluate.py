@@ -33,8 +33,9 @@ MODEL_SCHEMA = pa.schema(
 )
 
 
-# Turns "array column of parameter <key>" into the score column of encoded rows.
-Scorer = Callable[[Callable[[str], Column]], Column]
+# Builds the score column of encoded rows; the argument maps a parameter's key to the
+# (quoted) name of the array column holding it.
+Scorer = Callable[[Callable[[str], str]], Column]
 
 
 # --- scoring -----------------------------------------------------------------
@@ -51,13 +52,24 @@ def model_table(
     return small_table(spark, MODEL_SCHEMA, rows)
 
 
+def _named(keys: list[str], prefix: str) -> Callable[[str], str]:
+    """Parameter key -> column name; remembers the keys a scorer asked for."""
+
+    def name(key: str) -> str:
+        if key not in keys:
+            keys.append(key)
+        return f"`{prefix}{key}`"
+
+    return name
+
+
 def score_models(encoded: DataFrame, models: DataFrame, scorer: Scorer) -> DataFrame:
     """Scores every row with each model registered for its bank: adds model and ``p``."""
-    return (
-        encoded.join(models, "bank_id")
-        .withColumn("p", scorer(lambda key: F.element_at("params", key)))
-        .drop("params")
-    )
+    keys: list[str] = []
+    p = scorer(_named(keys, "_param_"))
+    params = {f"_param_{k}": F.element_at("params", F.lit(k)) for k in keys}
+    joined = encoded.join(models, "bank_id").withColumns(params)
+    return joined.withColumn("p", p).drop("params", *params)
 
 
 def score_shared(
@@ -68,14 +80,14 @@ def score_shared(
 ) -> DataFrame:
     """Scores every row with each of a few models shared by all banks; the parameters
     travel as literals. ``kind`` is the type of the ``model`` column."""
-    scores = [
-        F.struct(
-            F.lit(name).cast(kind).alias("model"),
-            scorer(lambda key, p=params: literal_vector(p[key])).alias("p"),
-        )
-        for name, params in models.items()
-    ]
-    return encoded.select("*", F.inline(F.array(*scores)))
+    params: dict[str, Column] = {}
+    scores = []
+    for i, (name, vectors) in enumerate(models.items()):
+        keys: list[str] = []
+        p = scorer(_named(keys, f"_{i}_"))
+        params |= {f"_{i}_{k}": literal_vector(vectors[k]) for k in keys}
+        scores.append(F.struct(F.lit(name).cast(kind).alias("model"), p.alias("p")))
+    return encoded.withColumns(params).select(*encoded.columns, F.inline(F.array(*scores)))
 
 
 # --- curves ------------------------------------------------------------------

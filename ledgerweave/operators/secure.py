@@ -41,50 +41,20 @@ def secret_column(spark: SparkSession, secret: str) -> Column:
     return small_table(spark, pa.schema([("secret", pa.string())]), [(secret,)]).scalar()
 
 
-def _uniform(digest: Column, start: int) -> Column:
-    digits = F.conv(F.substring(digest, start, UNIFORM_DIGITS), 16, 10).cast("bigint")
-    return (digits.cast("double") + 0.5) / F.lit(float(2**UNIFORM_BITS))
+def _uniform(digest: str, start: int) -> str:
+    digits = f"conv(substring({digest}, {start}, {UNIFORM_DIGITS}), 16, 10)"
+    return f"((CAST({digits} AS BIGINT) + 0.5D) / {float(2**UNIFORM_BITS)!r}D)"
 
 
-def pair_digest(secret: Column, a: Column, b: Column, round_id: Column, tag: Column) -> Column:
-    parts = (secret, F.least(a, b), F.greatest(a, b), round_id.cast("string"), tag)
-    return F.sha2(F.concat_ws("|", *parts), 256)
-
-
-def pair_mask(
-    secret: Column,
-    me: Column,
-    other: Column,
-    round_id: Column,
-    tag: Column,
-    scale: float = MASK_SCALE,
-) -> Column:
-    """Normal(0, scale) number shared by a pair (Box-Muller on two digest slices),
-    with opposite signs at the two ends."""
-    digest = pair_digest(secret, me, other, round_id, tag)
+def pair_mask(secret: str, me: str, other: str, round_id: str, tag: str, scale: float) -> str:
+    """SQL text of the Normal(0, scale) number two banks share (Box-Muller on two slices
+    of a SHA-256 digest), with opposite signs at the two ends. All arguments but the
+    scale are SQL expressions; the secret must be a column, not a literal."""
+    text = f"concat_ws('|', {secret}, least({me}, {other}), greatest({me}, {other}), {round_id}, {tag})"
+    digest = f"sha2({text}, 256)"
     first, second = _uniform(digest, 1), _uniform(digest, 1 + UNIFORM_DIGITS)
-    normal = F.sqrt(-2.0 * F.ln(first)) * F.cos(F.lit(2.0 * math.pi) * second)
-    return F.when(me < other, F.lit(scale)).otherwise(F.lit(-scale)) * normal
-
-
-def mask_of(
-    secret: Column,
-    me: Column,
-    participants: Column,
-    round_id: Column,
-    tag: Column,
-    scale: float = MASK_SCALE,
-) -> Column:
-    """Sum of a bank's pair masks. ``participants`` is the array of configured banks, so
-    the masks are added up inside the bank's row: no pairing of rows, no shuffle."""
-    return F.aggregate(
-        participants,
-        F.lit(0.0),
-        lambda total, other: total
-        + F.when(me != other, pair_mask(secret, me, other, round_id, tag, scale)).otherwise(
-            F.lit(0.0)
-        ),
-    )
+    normal = f"sqrt(-2D * ln({first})) * cos({2.0 * math.pi!r}D * {second})"
+    return f"IF({me} < {other}, {float(scale)!r}D, {-float(scale)!r}D) * {normal}"
 
 
 def bank_array(names: Sequence[str]) -> Column:
@@ -95,13 +65,15 @@ def pairwise_masks(
     participants: DataFrame, names: Sequence[str], secret: Column, round_id: int, tag: str
 ) -> DataFrame:
     """(bank_id, other, mask) for every ordered pair of the configured banks."""
-    pairs = participants.select("bank_id", F.explode(bank_array(names)).alias("other")).where(
-        F.col("bank_id") != F.col("other")
-    )
-    mask = pair_mask(
-        secret, F.col("bank_id"), F.col("other"), F.lit(round_id), F.lit(tag)
-    )
-    return pairs.withColumn("mask", mask)
+    pairs = participants.select(
+        "bank_id",
+        F.explode(bank_array(names)).alias("other"),
+        secret.alias("_secret"),
+        F.lit(round_id).alias("_round"),
+        F.lit(tag).alias("_tag"),
+    ).where("bank_id <> other")
+    mask = pair_mask("_secret", "bank_id", "other", "_round", "_tag", MASK_SCALE)
+    return pairs.select("bank_id", "other", F.expr(mask).alias("mask"))
 
 
 def mask_metrics(
@@ -111,26 +83,21 @@ def mask_metrics(
     scale: float = MASK_SCALE,
 ) -> DataFrame:
     """Replaces num and den of reports (bank_id, alpha, round, metric, num, den) by
-    num_masked and den_masked; every metric and either part has masks of its own."""
-    keyed = reports.withColumns(
-        {"_secret": secret, "_banks": bank_array(participants)}
-    )
+    num_masked and den_masked; every metric and either part has masks of its own.
 
-    def masked(part: str) -> Column:
-        tag = F.concat(F.col("metric"), F.lit(f"_{part}"))
-        mask = mask_of(
-            F.col("_secret"), F.col("bank_id"), F.col("_banks"), F.col("round"), tag, scale
-        )
-        return F.col(part).cast("double") + mask
+    The other banks are a short configured list, so a bank's masks are added up inside
+    its own row: no pairing of rows, no shuffle."""
+    keyed = reports.withColumns({"_secret": secret, "_banks": bank_array(participants)})
 
-    return keyed.select(
-        "bank_id",
-        "alpha",
-        "round",
-        "metric",
-        masked("num").alias("num_masked"),
-        masked("den").alias("den_masked"),
-    )
+    def masked(part: str) -> Column:
+        tag = f"concat(metric, '_{part}')"
+        mask = pair_mask("_secret", "bank_id", "other", "round", tag, scale)
+        return F.expr(
+            f"CAST({part} AS DOUBLE) + aggregate(_banks, 0D, "
+            f"(total, other) -> total + IF(bank_id <> other, {mask}, 0D))"
+        ).alias(f"{part}_masked")
+
+    return keyed.select("bank_id", "alpha", "round", "metric", masked("num"), masked("den"))
 
 
 def metric_fractions(metrics: DataFrame, names: Sequence[str], prefix: Column) -> DataFrame:

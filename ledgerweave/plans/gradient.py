@@ -30,9 +30,7 @@ def gradient_updates(
     """
     members = list(members)
     start = [float(v) for v in coef]
-    z = logit(
-        literal_vector(start), F.lit(float(intercept)), len(features.num_cols), len(features.cat_cols)
-    )
+    z = logit("_coef", f"{float(intercept)!r}D", len(features.num_cols), len(features.cat_cols))
     error = probability(z) - F.col("y")
 
     def slot(index, value):
@@ -44,7 +42,8 @@ def gradient_updates(
         F.transform(F.filter("cat", lambda i: i.isNotNull()), lambda i: slot(i, F.lit(1.0))),
     )
     sums = (
-        encoded.select(*members, error.alias("g"), F.inline(entries))
+        encoded.withColumn("_coef", literal_vector(start))
+        .select(*members, error.alias("g"), F.inline(entries))
         .groupBy(*members, "slot")
         .agg(F.sum(F.col("g") * F.col("x")).alias("total"), F.count("*").alias("n"))
         .groupBy(*members)

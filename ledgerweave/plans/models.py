@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ledgerweave.functions.scoring import logit, probability
 from ledgerweave.settings import INTERCEPT_DECAY, LEARNING_RATE, FeatureSpec
@@ -53,8 +52,9 @@ class ShardModel(ABC):
         """Parameters after ``epochs`` passes; must not modify ``params``."""
 
     @abstractmethod
-    def score(self, param: Callable[[str], Column], spec: FeatureSpec) -> Column:
-        """Probability of encoded rows; ``param(key)`` is the flat array of a parameter."""
+    def score(self, param: Callable[[str], str], spec: FeatureSpec) -> Column:
+        """Probability of encoded rows; ``param(key)`` names the array column that holds
+        a parameter's values in flat order."""
 
     def check(self, params: Params, width: int) -> None:
         """Rejects parameters with other keys or shapes than the model's own."""
@@ -113,6 +113,5 @@ class LogisticSGD(ShardModel):
         return {"coef": (weights * scale)[None, :], "intercept": np.array([bias])}
 
     def score(self, param, spec):
-        bias = F.get(param("intercept"), F.lit(0))
-        z = logit(param("coef"), bias, len(spec.num_cols), len(spec.cat_cols))
-        return probability(z)
+        bias = f"get({param('intercept')}, 0)"
+        return probability(logit(param("coef"), bias, len(spec.num_cols), len(spec.cat_cols)))
