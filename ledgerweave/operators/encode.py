@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.settings import FeatureSpec
+from ledgerweave.sources.durable import durable
 
 MISSING_POLICIES = ("error", "mean")
 
@@ -133,14 +134,17 @@ def local_encode(
     """Each bank in its *own* feature space (categories first, then numerics).
 
     ``numeric`` is (bank_id, col, mean, std) and ``vocab`` (bank_id, col, value, pos),
-    the statistics finalised with ``bank_id`` in the key. Returns (acct_id, bank_id,
-    name, value) with the numerics and the one category indicator per column.
+    the statistics finalised with ``bank_id`` in the key. Both are stored first: their
+    size is then known, and while small they are broadcast instead of gathering a bank's
+    rows in one task. Returns (acct_id, bank_id, name, value) with the numerics and the
+    one category indicator per column.
     """
     pick = {
         c: F.max(F.when(F.col("col") == c, F.struct("mean", "std"))).alias(f"_{c}")
         for c in spec.num_cols
     }
-    per_bank = numeric.groupBy("bank_id").agg(*pick.values())
+    per_bank = durable(numeric.groupBy("bank_id").agg(*pick.values()), "local-scaling")
+    vocab = durable(vocab, "local-vocab")
     z = F.inline(
         F.array(
             *(

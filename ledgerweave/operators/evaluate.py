@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.scoring import class_weight, literal_vector, log_loss
+from ledgerweave.sources.durable import durable
 from ledgerweave.sources.small import small_table
 
 # Distinct scores one task ranks, quantiles asked for, and their rank accuracy.
@@ -322,18 +323,18 @@ def test_report(
 ) -> DataFrame:
     """Test metrics per key with the threshold chosen on validation.
 
-    ``scored`` has a ``split`` column. The thresholds are one row per key; they meet
-    the test scores after those were collapsed to distinct values.
+    ``scored`` has a ``split`` column. The thresholds are one row per key; they are
+    stored first, so that their size is known and they meet the test curve by broadcast
+    instead of gathering a bank's whole curve in one task.
     """
     keys = list(keys)
-    both = scored.where(F.col("split").isin("val", "test"))
-    curve = with_threshold_rates(precision_recall_curve(both, [*keys, "split"], bounds))
-    val = (
-        curve.where(F.col("split") == "val")
-        .groupBy(*keys)
-        .agg(best_f1().alias("best"))
-    )
-    test = curve.where(F.col("split") == "test").join(val, keys, "left")
+
+    def curve(part: str) -> DataFrame:
+        rows = scored.where(F.col("split") == part)
+        return with_threshold_rates(precision_recall_curve(rows, keys, bounds))
+
+    val = durable(curve("val").groupBy(*keys).agg(best_f1().alias("best")), "thresholds")
+    test = curve("test").join(val, keys, "left")
     thr = F.coalesce(F.col("best.thr"), F.lit(EMPTY_THRESHOLD))
     hit = F.col("p") >= thr
     pos, neg = F.col("pos"), F.col("neg")

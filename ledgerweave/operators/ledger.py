@@ -18,6 +18,8 @@ from ledgerweave.functions.coerce import as_id, as_number, as_utc
 
 # Fixed value: the only flag text that confirms a report (case matters).
 CONFIRMED = "YES"
+# Copies of the account side among which a hub account's transfers are spread.
+HUB_SALTS = 16
 
 
 def drop_repeats(df: DataFrame) -> DataFrame:
@@ -99,19 +101,26 @@ def account_homes(accounts: DataFrame) -> DataFrame:
 def _attach_views(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """One output row per (input row, bank at either end), with ``internal``.
 
-    Membership at either end is a disjunction, which as a join condition would
-    become a nested loop. Two equi-joins keep it hash partitioned; both are left
-    joins with the ledger on the left, so AQE can split a partition that a hub
-    account makes too large.
+    Membership at either end is a disjunction, which as a join condition would become a
+    nested loop; two equi-joins keep it hash partitioned. A hub account may be at one
+    end of a third of all rows, so the key carries a salt: the row's hash picks one of
+    a few copies of the (small) account side. The salt also puts an exchange right below
+    both sides of each join, which is what AQE needs to split a partition further.
     """
     homes = account_homes(accounts)
     nowhere = F.array().cast("array<string>")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1)))
 
     def side(end: str, name: str) -> DataFrame:
-        return homes.select(F.col("acct_id").alias(end), F.col("homes").alias(name))
+        return homes.select(
+            F.col("acct_id").alias(end), F.col("homes").alias(name), copies.alias("_salt")
+        )
 
-    both = rows.join(side("orig_acct", "_from"), "orig_acct", "left").join(
-        side("bene_acct", "_to"), "bene_acct", "left"
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(HUB_SALTS)).cast("int")
+    both = (
+        rows.withColumn("_salt", salt)
+        .join(side("orig_acct", "_from"), ["orig_acct", "_salt"], "left")
+        .join(side("bene_acct", "_to"), ["bene_acct", "_salt"], "left")
     )
     sender = F.coalesce("_from", nowhere)
     receiver = F.coalesce("_to", nowhere)
@@ -218,8 +227,10 @@ def integrity_checks(
         )
 
     per_id = accounts.groupBy("bank_id", "acct_id").agg(F.count("*").alias("_n"))
-    known_sender = ids.select(F.col("acct_id").alias("orig_acct"))
-    known_receiver = ids.select(F.col("acct_id").alias("bene_acct"))
+    # Not made distinct: an anti join does not mind, and AQE can only split a hub
+    # account's partition when both sides come straight from an exchange.
+    known_sender = accounts.select(F.col("acct_id").alias("orig_acct"))
+    known_receiver = accounts.select(F.col("acct_id").alias("bene_acct"))
     pairs = ledger.groupBy("orig_acct", "bene_acct").agg(F.count("*").alias("_n"))
     orphans = pairs.join(known_sender, "orig_acct", "left_anti").join(
         known_receiver, "bene_acct", "left_anti"
