@@ -237,14 +237,15 @@ def taken_words(
     times = drawn_slots(targets, block_words, shard_slots, seed).groupBy("source_no", "block").agg(
         F.count("*").alias("times")
     )
+    # The planner takes the slots for as few as the shards they come from.
     taken = (
-        pieces.join(times, ["source_no", "block"])
+        pieces.join(times.hint("merge"), ["source_no", "block"])
         .groupBy(F.col("source_no").alias("t_no"), F.col("place").alias("t_place"))
         .agg(F.sum(F.col("words") * F.col("times")).alias("t_words"))
     )
     return (
         placed.join(
-            taken,
+            taken.hint("merge"),
             (F.col("source_no") == F.col("t_no")) & (F.col("place") == F.col("t_place")) & (F.col("size") > 0),
             "left",
         )
@@ -311,6 +312,7 @@ def mixed_blocks(
     blocks = pieces.groupBy("source_no", "block").agg(parts.alias("parts"))
     return (
         drawn_slots(targets, block_words, shard_slots, seed)
+        .hint("merge")
         .join(blocks, ["source_no", "block"])
         .join(targets.select("source_no", "source"), "source_no")
         .select(
