@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def slices(batch: pa.RecordBatch, column: str, budget: int) -> Iterator[tuple[in
     """Row ranges of a batch that hold about ``budget`` bytes of ``column`` each; a
     longer value gets a range of its own. No row is left out."""
     values = batch.column(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0))
     first, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > budget:
