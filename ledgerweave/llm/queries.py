@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import decontaminate, fingerprints, language, lines, mixing, secrets, simhash
+from ledgerweave.llm import decontaminate, fingerprints, language, lines, mixing, phrases, secrets, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs, model, "doc_id", "held_out")
 
 
+def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = phrases.without_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_phrases": op1_repeated_phrases,
     "op2_line_dedup": op2_line_dedup,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
