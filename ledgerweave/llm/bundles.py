@@ -29,7 +29,8 @@ from ledgerweave.sources.durable import durable
 PART_ENTRIES = 1 << 20
 
 _BUNDLE = (
-    "bundle long, n_words long, ids array<long>, flags array<boolean>, ends array<long>, packed binary"
+    "bundle long, n_words long, n_marked long, ids array<long>, flags array<boolean>, ends array<long>, "
+    "packed binary"
 )
 
 
@@ -64,7 +65,8 @@ class Bundle:
 
 def bundled(docs: DataFrame, size: int, fold: Callable[[bytes], bytes] = bytes, flag=None) -> DataFrame:
     """Bundles of about ``size`` bytes of text; a longer text is a bundle of its own. A
-    null text is empty. ``flag`` is a boolean column that is kept with each document."""
+    null text is empty. ``flag`` is a boolean column that is kept with each document;
+    n_words and n_marked count the words of all texts and of those with the flag."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -73,16 +75,19 @@ def bundled(docs: DataFrame, size: int, fold: Callable[[bytes], bytes] = bytes,
         def row() -> pa.RecordBatch:
             data = b"\n".join(texts)
             ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+            starts = word_bounds(data)[0]
+            words = np.diff(np.searchsorted(starts, [0, *(ends + 1).tolist()]))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
-                    pa.array([len(word_bounds(data)[0])], pa.int64()),
+                    pa.array([int(words.sum())], pa.int64()),
+                    pa.array([int(words[np.array(flags, dtype=bool)].sum())], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([flags], pa.list_(pa.bool_())),
                     pa.array([ends], pa.list_(pa.int64())),
                     pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary()),
                 ],
-                names=["bundle", "n_words", "ids", "flags", "ends", "packed"],
+                names=["bundle", "n_words", "n_marked", "ids", "flags", "ends", "packed"],
             )
 
         for batch in batches:
@@ -151,7 +156,11 @@ def asked(
     return bundles.mapInArrow(ask, "bundle long, part int, cell binary, numbers binary")
 
 
-def answered(cells: DataFrame, answer: Callable[[list[np.ndarray], list], list[bytes]], extra=None) -> DataFrame:
+def answered(
+    cells: DataFrame,
+    answer: Callable[[list[np.ndarray], list], list[bytes]] | None,
+    extra: Callable[[list[np.ndarray], list], bytes] | None = None,
+) -> DataFrame:
     """bundle, part, answer: what ``answer`` gives for each cell of a part; ``extra`` may
     add one answer of the whole part, under bundle -1."""
 
@@ -160,7 +169,8 @@ def answered(cells: DataFrame, answer: Callable[[list[np.ndarray], list], list[b
         owners = table["bundle"].to_pylist()
         values = [np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in table["cell"]]
         numbers = [None if not n.is_valid else np.frombuffer(n.as_buffer(), dtype=np.int64) for n in table["numbers"]]
-        replies = answer(values, numbers)
+        replies = [] if answer is None else answer(values, numbers)
+        owners = owners if answer else []
         if extra is not None:
             owners.append(-1)
             replies.append(extra(values, numbers))

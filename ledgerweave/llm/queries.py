@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import decontaminate, fingerprints, language, lines, mixing, phrases, secrets, simhash
+from ledgerweave.llm import decontaminate, fingerprints, language, lines, mixing, phrases, secrets, simhash, suffix_tree
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(documents(spark, sf_dir), held_out(7))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.found_secrets(documents(spark, sf_dir))
     return found.select(
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_fingerprints": op9_fingerprints,
