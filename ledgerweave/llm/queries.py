@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import decontaminate, fingerprints, language, lines, mixing, phrases, secrets, simhash, suffix_tree
+from ledgerweave.llm import archives, decontaminate, fingerprints, language, lines, mixing, phrases, secrets, simhash, suffix_tree
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return archives.round_trip(pages).drop("url", "date")
+
+
 def held_out(divisor: int) -> Column:
     """Documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == 2, F.lit(False))
@@ -73,6 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_phrases": op1_repeated_phrases,
     "op2_line_dedup": op2_line_dedup,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op6_suffix_tree": op6_suffix_tree,
