@@ -114,7 +114,8 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def warc_date(arc_date: str) -> str:
     """14 digits, or fewer from the left, as an ISO timestamp."""
-    return datetime.strptime(arc_date.ljust(14, "0")[:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    whole = (arc_date + CAPTURED[len(arc_date) :])[:14]
+    return datetime.strptime(whole, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def converted(version: int, fields: dict[str, str], content: bytes) -> dict:

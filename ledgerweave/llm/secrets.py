@@ -40,14 +40,15 @@ _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 
 # Alphabets in the order of their digits, and how far ordinary text is from
-# uniform over each (alphabet size times the sum of squared letter shares, less one).
+# uniform over each (alphabet size times the sum of squared letter shares, less one); for
+# the alphabets with both cases as little as for words run together in capitals.
 ALPHABETS = {
     "hex": (_DIGITS + "abcdef", 2.0),
     "HEX": (_DIGITS + "ABCDEF", 2.0),
     "base32": (_UPPER + "234567", 1.1),
     "base36": (_DIGITS + _LOWER, 1.3),
-    "base64": (_UPPER + _LOWER + _DIGITS + "+/", 3.2),
-    "base64url": (_UPPER + _LOWER + _DIGITS + "-_", 3.2),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", 2.0),
+    "base64url": (_UPPER + _LOWER + _DIGITS + "-_", 2.0),
 }
 _SHAPES = (
     ("hex", r"^[0-9a-f]+$"),

@@ -120,20 +120,20 @@ class _Forest:
         apart = ra != rb
         if not apart.any():
             return
-        code = np.unique(ra[apart] * len(self.root) + rb[apart])
-        up = {}
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        _, one = np.unique(ra * len(self.root) + rb, return_index=True)
+        up: dict[int, int] = {}
 
         def find(x: int) -> int:
             while x in up:
                 x = up[x]
             return x
 
-        for x, y in zip((code // len(self.root)).tolist(), (code % len(self.root)).tolist()):
+        for x, y, i in zip(ra[one].tolist(), rb[one].tolist(), one.tolist()):
             x, y = find(x), find(y)
             if x != y:
-                low, high = min(x, y), max(x, y)
-                up[high] = low
-                self.links.append((low, high))
+                up[max(x, y)] = min(x, y)
+                self.links.append((int(a[i]), int(b[i])))
         if up:
             final = {x: find(x) for x in up}
             change = np.arange(len(self.root))
