@@ -8,7 +8,8 @@ first line can have to be compared. Words are ordered by rarity, as counted over
 documents in a table of fixed size, and then by hash; any fixed order keeps the join
 exact. Two sets that are similar enough share a word among the rarest of each (prefix
 filter), have similar sizes (length filter), and where the shared word stands bounds what
-they can still share (positional filter). A pair that passes is verified on the whole sets.
+they can still share (positional filter); the words that only one of them has show in 64
+bits of parity. A pair that passes is verified on the whole sets.
 
 A class needs one earlier match, not all of them: each prefix word first offers a class its
 three earliest partners, and only classes that are still without a match while they have
@@ -40,7 +41,7 @@ THRESHOLD = Fraction(4, 5)
 # Places of the table of word counts and of the table of prefix words: their size in
 # memory, 2 and 8 MB, does not depend on the input.
 _COUNT_BITS, _PART_BITS = 18, 20
-# Bits of the filter for lines whose sets are wanted (8 MB).
+# Bits of the filters for lines whose sets are wanted and for prefix words (8 MB).
 _FILTER_BITS = 26
 # Partners that a prefix word offers first.
 OFFERS = 3
@@ -102,7 +103,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 _LINE = (
-    "doc_id long, tie long, line int, text_hash long, sig long, sig2 long, n int, prefix array<int>"
+    "doc_id long, tie long, line int, text_hash long, sig long, sig2 long, bits long, n int, prefix array<int>"
 )
 
 
@@ -127,6 +128,7 @@ def described(docs: DataFrame, counts: np.ndarray, threshold: Fraction) -> DataF
                 n = np.diff(heads, append=len(line))
                 sig = mixed(np.add.reduceat(hashes, heads))
                 sig2 = np.add.reduceat(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)), heads)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), heads)
                 keep = n - -(-(threshold.numerator * n) // threshold.denominator) + 1
                 # Sets this small are similar only to equal ones.
                 keep[n * threshold.denominator < threshold.numerator * (n + 1)] = 0
@@ -145,12 +147,13 @@ def described(docs: DataFrame, counts: np.ndarray, threshold: Fraction) -> DataF
                         pa.array([_text_hash(spelled[x]) for x in line.tolist()], pa.int64()),
                         pa.array(sig.view(np.int64)),
                         pa.array(sig2.view(np.int64)),
+                        pa.array(bits.view(np.int64)),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(
                             pa.array(offsets), pa.array((hashes[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                         ),
                     ],
-                    names=["doc_id", "tie", "line", "text_hash", "sig", "sig2", "n", "prefix"],
+                    names=["doc_id", "tie", "line", "text_hash", "sig", "sig2", "bits", "n", "prefix"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text").mapInArrow(describe, _LINE)
@@ -174,14 +177,37 @@ def _parts(classes: DataFrame, part_rows: int) -> np.ndarray:
     return np.maximum(1, -(-(sizes - even) // part_rows)).astype(np.int32)
 
 
+def _filter_of(bits: DataFrame) -> np.ndarray:
+    """A table of bits in 64-bit words, with those numbered in the column ``bit`` set. At
+    most 2^20 words reach the driver."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    words = (
+        bits.select(F.shiftright("bit", 6).alias("word"), mask.alias("mask"))
+        .groupBy("word")
+        .agg(F.bit_or("mask").alias("mask"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out
+
+
 _OFFER = "later long, earlier long, more boolean"
 
 
 def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows: int) -> DataFrame:
     """Pairs (later, earlier) of classes that pass all filters; per prefix word at most
     ``most`` for each later class, the earliest, and ``more`` where there were others.
-    Only classes with ``wanted`` are looked up as later ones."""
-    parts = classes.sparkSession.sparkContext.broadcast(_parts(classes, part_rows))
+    Only classes with ``wanted`` are looked up as later ones; where these are few (``most``
+    is None), a filter of fixed size passes their prefix words and few others."""
+    context = classes.sparkSession.sparkContext
+    parts = context.broadcast(_parts(classes, part_rows))
+    asked = None
+    if most is None:
+        words = classes.where("wanted").select(F.explode("prefix").cast("long").alias("word"))
+        asked = context.broadcast(
+            _filter_of(words.select(F.col("word").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)).alias("bit")))
+        )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,29 +216,35 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
             word = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), n_words)
             place = np.arange(len(word)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+            if asked is not None:
+                bit = word.astype(np.int64) & ((1 << _FILTER_BITS) - 1)
+                passed = (asked.value[bit >> 6] >> (bit & 63)) & 1 == 1
+                owner, word, place = owner[passed], word[passed], place[passed]
             split = parts.value[word & ((1 << _PART_BITS) - 1)]
             owner, place, word = np.repeat(owner, split), np.repeat(place, split), np.repeat(word, split)
             part = np.arange(len(word)) - np.repeat(np.cumsum(split) - split, split)
             sig = batch.column(1).to_numpy()[owner]
             own = sig.view(np.uint64) % np.repeat(split, split).astype(np.uint64) == part.astype(np.uint64)
+            wanted = batch.column(6).to_numpy(zero_copy_only=False)[owner]
+            n = batch.column(2).to_numpy()[owner].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(word),
-                    pa.array(part.astype(np.int32)),
-                    pa.array(batch.column(2).to_numpy()[owner]),
-                    pa.array(((place << 1) | own).astype(np.int32)),
+                    pa.array((word.astype(np.int64) << 24) + part),
+                    pa.array((n << 34) | (place << 2) | (own.astype(np.int64) << 1) | wanted),
                     pa.array(sig),
-                    *[batch.column(c).take(pa.array(owner)) for c in (3, 4, 5)],
+                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4, 5)],
                 ],
-                names=["word", "part", "n", "place", "sig", "doc", "line", "wanted"],
+                names=["word", "spot", "sig", "doc", "line", "bits"],
             )
 
+    # ``spot`` packs the size of the set, the place of the word in it and two marks, so
+    # that a row of this table, of which there are many, is short; it sorts by size.
     dealt = (
         classes.where(F.size("prefix") > 0)
-        .select("prefix", "sig", "n", "doc", "line", "wanted")
-        .mapInArrow(deal, "word int, part int, n int, place int, sig long, doc long, line int, wanted boolean")
-        .repartition("word", "part")
-        .sortWithinPartitions("word", "part", "n")
+        .select("prefix", "sig", "n", "doc", "line", "bits", "wanted")
+        .mapInArrow(deal, "word long, spot long, sig long, doc long, line int, bits long")
+        .repartition("word")
+        .sortWithinPartitions("word", "spot")
     )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,16 +266,16 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
 
 
 def _changes(table: pa.Table) -> np.ndarray:
-    word, part = table["word"].to_numpy(), table["part"].to_numpy()
-    return (word[1:] != word[:-1]) | (part[1:] != part[:-1])
+    word = table["word"].to_numpy()
+    return word[1:] != word[:-1]
 
 
 def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator[pa.RecordBatch]:
     """Compares each row with the next, the one after it, and so on, as long as they are
     in the same group and of similar size; all groups of the table at once."""
-    n, place, sig = table["n"].to_numpy().astype(np.int64), table["place"].to_numpy(), table["sig"].to_numpy()
-    wanted = table["wanted"].to_numpy(zero_copy_only=False)
-    own, place = (place & 1).astype(bool), (place >> 1).astype(np.int64)
+    spot, sig, bits = (table[c].to_numpy() for c in ("spot", "sig", "bits"))
+    n, place = spot >> 34, (spot >> 2) & 0xFFFFFFFF
+    own, wanted = (spot & 2).astype(bool), (spot & 1).astype(bool)
     size = len(n)
     group = np.concatenate(([0], np.cumsum(_changes(table))))
     longest = n * threshold.denominator // threshold.numerator
@@ -265,10 +297,12 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
         if not len(row):
             break
         shared = np.minimum(n[row] - place[row], n[other] - place[other])
+        both = n[row] + n[other]
+        least = least_shared(both, threshold)
+        # Every word that one set has and the other has not turns one bit.
+        apart = np.bitwise_count(bits[row] ^ bits[other])
         good = (
-            (own[row] | own[other])
-            & (shared >= least_shared(n[row] + n[other], threshold))
-            & (sig[row] != sig[other])
+            (own[row] | own[other]) & (shared >= least) & (apart <= both - 2 * least) & (sig[row] != sig[other])
         )
         a, b = row[good], other[good]
         swap = age[a] > age[b]
@@ -301,16 +335,7 @@ def _pairs(later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> pa.Recor
 def wanted_sets(docs: DataFrame, text_hashes: DataFrame) -> DataFrame:
     """sig, sig2 and the set (sorted word hashes) of every line whose hash is in
     ``text_hashes``. A filter of fixed size lets few other lines through."""
-    bit = F.shiftrightunsigned("text_hash", 64 - _FILTER_BITS)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = (
-        text_hashes.select(F.shiftright(bit, 6).alias("word"), mask.alias("mask"))
-        .groupBy("word")
-        .agg(F.bit_or("mask").alias("mask"))
-        .toArrow()
-    )
-    filled = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
-    filled[words["word"].to_numpy()] = words["mask"].to_numpy()
+    filled = _filter_of(text_hashes.select(F.shiftrightunsigned("text_hash", 64 - _FILTER_BITS).alias("bit")))
     held = docs.sparkSession.sparkContext.broadcast(filled)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +387,8 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, part_rows: i
     at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "line", "text_hash")
     classes = durable(
         lines.groupBy("sig", "sig2")
-        .agg(F.min(at).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-        .select("sig", "sig2", "at.*", "n", "prefix", F.lit(True).alias("wanted")),
+        .agg(F.min(at).alias("at"), *[F.any_value(c).alias(c) for c in ("bits", "n", "prefix")])
+        .select("sig", "sig2", "at.*", "bits", "n", "prefix", F.lit(True).alias("wanted")),
         "line-classes",
     )
     first = durable(offers(classes, threshold, OFFERS, part_rows), "line-offers")
