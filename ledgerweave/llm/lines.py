@@ -273,7 +273,8 @@ def _changes(table: pa.Table) -> np.ndarray:
 def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator[pa.RecordBatch]:
     """Compares each row with the next, the one after it, and so on, as long as they are
     in the same group and of similar size; all groups of the table at once."""
-    spot, sig, bits = (table[c].to_numpy() for c in ("spot", "sig", "bits"))
+    spot, sig = table["spot"].to_numpy(), table["sig"].to_numpy()
+    bits = table["bits"].to_numpy().view(np.uint64)
     n, place = spot >> 34, (spot >> 2) & 0xFFFFFFFF
     own, wanted = (spot & 2).astype(bool), (spot & 1).astype(bool)
     size = len(n)
