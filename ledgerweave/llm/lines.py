@@ -45,7 +45,7 @@ _COUNT_BITS, _PART_BITS = 18, 20
 _FILTER_BITS = 26
 # Partners that a prefix word offers first.
 OFFERS = 3
-_STRIP = 1 << 20
+_STRIP = 1 << 18
 _LAST = (1 << 63) - 1
 
 
@@ -77,6 +77,32 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), np.searchsorted(breaks, starts)
 
 
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """Steps of a logarithmic scale, below 4096."""
+    return (np.log2(counts + 1.0) * 64).astype(np.uint64)
+
+
+def _ordered_sets(hashes: np.ndarray, line: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each line, by rarity and then by hash."""
+    step = rarity[_slot(hashes, _COUNT_BITS)]
+    if line[-1] < 1 << 20:
+        upper = hashes >> np.uint64(32)
+        key = (line.astype(np.uint64) << np.uint64(44)) | (step << np.uint64(32)) | upper
+        order = np.argsort(key)
+        key, hashes = key[order], hashes[order]
+        same = key[1:] == key[:-1]
+        if (hashes[1:][same] == hashes[:-1][same]).all():
+            fresh = np.concatenate(([True], ~same))
+            return hashes[fresh], line[order][fresh]
+        line, step = line[order], step[order]
+    # Two words of a line agree in half their hash, or there are very many lines.
+    order = np.lexsort((hashes, hashes >> np.uint64(32), step, line))
+    hashes, line = hashes[order], line[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    return hashes[fresh], line[fresh]
+
+
 def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -110,7 +136,7 @@ _LINE = (
 def described(docs: DataFrame, counts: np.ndarray, threshold: Fraction) -> DataFrame:
     """Each line with words: its place, its class, the size of its set and the rarest
     words of it, as many as two similar sets must share one of."""
-    rank = docs.sparkSession.sparkContext.broadcast(counts)
+    rank = docs.sparkSession.sparkContext.broadcast(_rarity(counts))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,15 +145,10 @@ def described(docs: DataFrame, counts: np.ndarray, threshold: Fraction) -> DataF
                 hashes, line = _words(data)
                 if not len(hashes):
                     continue
-                order = np.lexsort((hashes, rank.value[_slot(hashes, _COUNT_BITS)], line))
-                hashes, line = hashes[order], line[order]
-                fresh = np.ones(len(hashes), dtype=bool)
-                fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-                hashes, line = hashes[fresh], line[fresh]
+                hashes, line = _ordered_sets(hashes, line, rank.value)
                 heads = np.flatnonzero(np.diff(line, prepend=-1))
                 n = np.diff(heads, append=len(line))
-                sig = mixed(np.add.reduceat(hashes, heads))
-                sig2 = np.add.reduceat(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)), heads)
+                sig, sig2 = _signatures(hashes, heads)
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), heads)
                 keep = n - -(-(threshold.numerator * n) // threshold.denominator) + 1
                 # Sets this small are similar only to equal ones.
@@ -204,9 +225,9 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
     parts = context.broadcast(_parts(classes, part_rows))
     asked = None
     if most is None:
-        words = classes.where("wanted").select(F.explode("prefix").cast("long").alias("word"))
+        words = classes.where("wanted").select(F.explode("prefix").alias("word"))
         asked = context.broadcast(
-            _filter_of(words.select(F.col("word").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)).alias("bit")))
+            _filter_of(words.select(F.col("word").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)).cast("long").alias("bit")))
         )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +354,37 @@ def _pairs(later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> pa.Recor
     )
 
 
+# Lines that a task remembers having sent; forgetting some only repeats rows.
+_SEEN = 200_000
+
+
+def _sets(spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """sig, sig2 and the sorted set of each line that has words."""
+    hashes, line = _words(b"\n".join(spelled))
+    if not len(hashes):
+        return
+    order = np.lexsort((hashes, line))
+    hashes, line = hashes[order], line[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    hashes, line = hashes[fresh], line[fresh]
+    heads = np.flatnonzero(np.diff(line, prepend=-1))
+    sig, sig2 = _signatures(hashes, heads)
+    offsets = pa.array(np.append(heads, len(hashes)).astype(np.int32))
+    sets = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), sets], names=["sig", "sig2", "words"]
+    )
+
+
+def _signatures(hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, whatever the order of its words."""
+    return (
+        mixed(np.add.reduceat(hashes, heads)),
+        np.add.reduceat(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)), heads),
+    )
+
+
 def wanted_sets(docs: DataFrame, text_hashes: DataFrame) -> DataFrame:
     """sig, sig2 and the set (sorted word hashes) of every line whose hash is in
     ``text_hashes``. A filter of fixed size lets few other lines through."""
@@ -340,24 +392,24 @@ def wanted_sets(docs: DataFrame, text_hashes: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(filled)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sigs, sigs2, sets = [], [], []
-            for text in batch.column(0).to_pylist():
-                for line in lower_bytes((text or "").encode()).split(b"\n"):
-                    bit = xxhash.xxh64_intdigest(line) >> (64 - _FILTER_BITS)
-                    if not int(held.value[bit >> 6]) >> (bit & 63) & 1:
+            picked, size = [], 0
+            for text in batch.column(0):
+                for line in lower_bytes((text.as_py() or "").encode()).split(b"\n"):
+                    full = xxhash.xxh64_intdigest(line)
+                    bit = full >> (64 - _FILTER_BITS)
+                    if not held.value[bit >> 6] >> (bit & 63) & 1 or full in seen:
                         continue
-                    hashes = np.unique(word_hashes(line, *word_bounds(line)))
-                    if not len(hashes):
-                        continue
-                    sigs.append(mixed(hashes.sum(keepdims=True)).view(np.int64)[0])
-                    sigs2.append(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True).view(np.int64)[0])
-                    sets.append(hashes.view(np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sigs, pa.int64()), pa.array(sigs2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["sig", "sig2", "words"],
-                )
+                    seen.add(full)
+                    picked.append(line)
+                    size += len(line)
+                    if size > _STRIP:
+                        yield from _sets(picked)
+                        picked, size = [], 0
+            yield from _sets(picked)
+            if len(seen) > _SEEN:
+                seen.clear()
 
     return docs.select("text").mapInArrow(pick, "sig long, sig2 long, words array<long>")
 

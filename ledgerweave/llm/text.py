@@ -70,24 +70,32 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+# Words that are hashed together; their bytes and the arrays beside them stay in cache.
+_TOGETHER = 1 << 14
+
+
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each word; equal words hash alike in every batch and process."""
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
     family = _FAMILIES[seed]
     raw = np.frombuffer(data, dtype=np.uint8)
-    lengths = ends - starts
-    owner_start = np.repeat(starts, lengths)
-    solid = np.flatnonzero(~_BLANK[raw])
-    place = solid - owner_start
-    value = family.letter[raw[solid]] * family.place[place % _SPAN]
-    far = place >= _SPAN
-    if far.any():
-        turns = place[far] // _SPAN
-        value[far] = mixed(value[far] + np.uint64(family.turn) * turns.astype(np.uint64))
-    firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    total = np.add.reduceat(value, firsts)
-    return mixed(total + lengths.astype(np.uint64) * np.uint64(family.base))
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), _TOGETHER):
+        some = slice(at, at + _TOGETHER)
+        lengths = ends[some] - starts[some]
+        firsts = np.cumsum(lengths) - lengths
+        ahead = np.arange(int(lengths.sum()))
+        place = ahead - np.repeat(firsts, lengths)
+        letters = family.letter[raw[ahead + np.repeat(starts[some] - firsts, lengths)]]
+        if lengths.max(initial=0) <= _SPAN:
+            value = letters * family.place[place]
+        else:
+            value = letters * family.place[place % _SPAN]
+            far = place >= _SPAN
+            turns = place[far] // _SPAN
+            value[far] = mixed(value[far] + np.uint64(family.turn) * turns.astype(np.uint64))
+        total = np.add.reduceat(value, firsts)
+        out[some] = mixed(total + lengths.astype(np.uint64) * np.uint64(family.base))
+    return out
 
 
 def powers(base: int, n: int) -> np.ndarray:
