@@ -12,8 +12,8 @@ they can still share (positional filter); the words that only one of them has sh
 bits of parity. A pair that passes is verified on the whole sets.
 
 A class needs one earlier match, not all of them: each prefix word first offers a class its
-three earliest partners, and only classes that are still without a match while they have
-more partners are compared with all of them. So copies with small edits do not give all
+three earliest partners, the two offered most often are verified, and only classes that are
+still without a match while they have more partners are compared with all of them. So copies with small edits do not give all
 pairs. A prefix word in very many classes is split: each class is a member of one part and
 is compared with all parts.
 
@@ -43,8 +43,8 @@ THRESHOLD = Fraction(4, 5)
 _COUNT_BITS, _PART_BITS = 18, 20
 # Bits of the filters for lines whose sets are wanted and for prefix words (8 MB).
 _FILTER_BITS = 26
-# Partners that a prefix word offers first.
-OFFERS = 3
+# Partners that a prefix word offers first, and how many of all offered are tried first.
+OFFERS, TRIED = 3, 2
 _STRIP = 1 << 18
 _LAST = (1 << 63) - 1
 
@@ -244,26 +244,27 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
             split = parts.value[word & ((1 << _PART_BITS) - 1)]
             owner, place, word = np.repeat(owner, split), np.repeat(place, split), np.repeat(word, split)
             part = np.arange(len(word)) - np.repeat(np.cumsum(split) - split, split)
-            sig = batch.column(1).to_numpy()[owner]
-            own = sig.view(np.uint64) % np.repeat(split, split).astype(np.uint64) == part.astype(np.uint64)
-            wanted = batch.column(6).to_numpy(zero_copy_only=False)[owner]
+            bits = batch.column(1).to_numpy()[owner]
+            own = mixed(bits.view(np.uint64)) % np.repeat(split, split).astype(np.uint64) == part.astype(np.uint64)
+            wanted = batch.column(5).to_numpy(zero_copy_only=False)[owner]
             n = batch.column(2).to_numpy()[owner].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((word.astype(np.int64) << 24) + part),
                     pa.array((n << 34) | (place << 2) | (own.astype(np.int64) << 1) | wanted),
-                    pa.array(sig),
-                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4, 5)],
+                    pa.array(bits),
+                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4)],
                 ],
-                names=["word", "spot", "sig", "doc", "line", "bits"],
+                names=["word", "spot", "bits", "doc", "line"],
             )
 
-    # ``spot`` packs the size of the set, the place of the word in it and two marks, so
-    # that a row of this table, of which there are many, is short; it sorts by size.
+    # A row of this table, of which there are many, is short. ``spot`` packs the size of
+    # the set, the place of the word in it and two marks, and sorts by size. The parity
+    # bits also name the class: where two classes share them, both are looked up.
     dealt = (
         classes.where(F.size("prefix") > 0)
-        .select("prefix", "sig", "n", "doc", "line", "bits", "wanted")
-        .mapInArrow(deal, "word long, spot long, sig long, doc long, line int, bits long")
+        .select("prefix", "bits", "n", "doc", "line", "wanted")
+        .mapInArrow(deal, "word long, spot long, bits long, doc long, line int")
         .repartition("word")
         .sortWithinPartitions("word", "spot")
     )
@@ -294,8 +295,8 @@ def _changes(table: pa.Table) -> np.ndarray:
 def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator[pa.RecordBatch]:
     """Compares each row with the next, the one after it, and so on, as long as they are
     in the same group and of similar size; all groups of the table at once."""
-    spot, sig = table["spot"].to_numpy(), table["sig"].to_numpy()
-    bits = table["bits"].to_numpy().view(np.uint64)
+    spot, name = table["spot"].to_numpy(), table["bits"].to_numpy()
+    bits = name.view(np.uint64)
     n, place = spot >> 34, (spot >> 2) & 0xFFFFFFFF
     own, wanted = (spot & 2).astype(bool), (spot & 1).astype(bool)
     size = len(n)
@@ -303,7 +304,7 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
     longest = n * threshold.denominator // threshold.numerator
     # Place of each row among all, earliest first.
     age = np.empty(size, dtype=np.int64)
-    age[np.lexsort((sig, table["line"].to_numpy(), table["doc"].to_numpy()))] = np.arange(size)
+    age[np.lexsort((name, table["line"].to_numpy(), table["doc"].to_numpy()))] = np.arange(size)
     indexed = place < n - least_shared(2 * n, threshold) + 1
     best = np.full((size, most or 0), size, dtype=np.int64)
     more = np.zeros(size, dtype=bool)
@@ -323,9 +324,7 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
         least = least_shared(both, threshold)
         # Every word that one set has and the other has not turns one bit.
         apart = np.bitwise_count(bits[row] ^ bits[other])
-        good = (
-            (own[row] | own[other]) & (shared >= least) & (apart <= both - 2 * least) & (sig[row] != sig[other])
-        )
+        good = (own[row] | own[other]) & (shared >= least) & (apart <= both - 2 * least)
         a, b = row[good], other[good]
         swap = age[a] > age[b]
         for later, earlier in ((a[swap], b[swap]), (b[~swap], a[~swap])):
@@ -334,7 +333,7 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
             if not len(later):
                 continue
             if most is None:
-                yield _pairs(sig[later], sig[earlier], np.zeros(len(later), dtype=bool))
+                yield _pairs(name[later], name[earlier], np.zeros(len(later), dtype=bool))
                 continue
             carried = age[earlier]
             for k in range(most):
@@ -345,7 +344,7 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
     if most:
         later, k = np.nonzero(best < size)
         if len(later):
-            yield _pairs(sig[later], sig[by_age[best[later, k]]], more[later])
+            yield _pairs(name[later], name[by_age[best[later, k]]], more[later])
 
 
 def _pairs(later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
@@ -415,22 +414,23 @@ def wanted_sets(docs: DataFrame, text_hashes: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """sig and sig2 of the later classes that an earlier class is similar to."""
+    """sig and sig2 of the later classes that an earlier class is similar to. ``pairs``
+    names classes by their parity bits."""
     involved = pairs.select(F.col("later").alias("s")).union(pairs.select(F.col("earlier").alias("s"))).distinct()
-    known = classes.join(involved.hint("merge"), F.col("sig") == F.col("s"), "left_semi")
+    known = classes.join(involved.hint("merge"), F.col("bits") == F.col("s"), "left_semi")
     sets = durable(
         wanted_sets(docs, known.select("text_hash"))
         .dropDuplicates(["sig", "sig2"])
-        .join(known.select(F.col("sig").alias("k"), F.col("sig2").alias("k2"), "doc", "line").hint("merge"), (F.col("sig") == F.col("k")) & (F.col("sig2") == F.col("k2")))
-        .select("sig", "sig2", "words", F.struct("doc", "line", "sig", "sig2").alias("at")),
+        .join(known.select(F.col("sig").alias("k"), F.col("sig2").alias("k2"), "bits", "doc", "line").hint("merge"), (F.col("sig") == F.col("k")) & (F.col("sig2") == F.col("k2")))
+        .select("bits", "words", F.struct("doc", "line", "bits", "sig", "sig2").alias("at")),
         "line-sets",
     )
-    a = sets.select(F.col("sig").alias("later"), F.col("sig2").alias("later2"), F.col("words").alias("x"), F.col("at").alias("x_at"))
-    b = sets.select(F.col("sig").alias("earlier"), F.col("words").alias("y"), F.col("at").alias("y_at"))
+    a = sets.select(F.col("bits").alias("later"), F.col("words").alias("x"), F.col("at").alias("x_at"))
+    b = sets.select(F.col("bits").alias("earlier"), F.col("words").alias("y"), F.col("at").alias("y_at"))
     both = pairs.join(a.hint("merge"), "later").join(b.hint("merge"), "earlier").where("y_at < x_at")
     shared = F.size(F.array_intersect("x", "y"))
     similar = shared * threshold.denominator >= (F.size("x") + F.size("y") - shared) * threshold.numerator
-    return both.where(similar).select(F.col("later").alias("sig"), F.col("later2").alias("sig2")).distinct()
+    return both.where(similar).select("x_at.sig", "x_at.sig2").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, part_rows: int = 20_000) -> DataFrame:
@@ -445,15 +445,30 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, part_rows: i
         "line-classes",
     )
     first = durable(offers(classes, threshold, OFFERS, part_rows), "line-offers")
-    pairs = first.groupBy("later", "earlier").agg(F.max("more").alias("more"))
+    # Of the partners offered, those are tried that the most prefix words have offered.
+    offered = first.groupBy("later", "earlier").agg(F.count("*").alias("by"), F.max("more").alias("more"))
+    ranked = offered.groupBy("later").agg(
+        F.sort_array(F.collect_list(F.struct("by", "earlier")), asc=False).alias("all"), F.max("more").alias("more")
+    )
+    tried = durable(
+        ranked.select(
+            "later",
+            F.transform(F.slice("all", 1, TRIED), lambda x: x["earlier"]).alias("tried"),
+            (F.col("more") | (F.size("all") > TRIED)).alias("more"),
+        ),
+        "line-tried",
+    )
+    pairs = tried.select("later", F.explode("tried").alias("earlier"))
     gone = durable(_verified(docs, classes, pairs, threshold), "line-gone")
+    more = tried.where("more").select(F.col("later").alias("s"))
     open_ = durable(
-        first.where("more").select("later").distinct().join(gone.hint("merge"), F.col("later") == F.col("sig"), "left_anti"),
+        classes.join(more.hint("merge"), F.col("bits") == F.col("s"), "left_semi")
+        .join(gone.hint("merge"), ["sig", "sig2"], "left_anti")
+        .select("sig", "sig2", F.lit(True).alias("asked")),
         "line-open",
     )
     if not open_.isEmpty():
-        asked = open_.select(F.col("later").alias("s"), F.lit(True).alias("asked"))
-        again = classes.join(asked.hint("merge"), F.col("sig") == F.col("s"), "left").withColumn(
+        again = classes.join(open_.hint("merge"), ["sig", "sig2"], "left").withColumn(
             "wanted", F.coalesce("asked", F.lit(False))
         )
         rest = durable(offers(again, threshold, None, part_rows).select("later", "earlier").distinct(), "line-rest")
