@@ -771,6 +771,17 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT DISTINCT bank_id FROM accounts WHERE bank_id NOT IN (
              SELECT bank_id FROM parts WHERE split = 'val' GROUP BY bank_id HAVING sum(y) >= 10)""",
     ),
+    "guards": (
+        ("fractions",),
+        """SELECT 'complete' AS "case", CAST(count(DISTINCT metric) AS INTEGER) AS "values",
+                  CAST(NULL AS VARCHAR) AS reason, false AS refused FROM fractions
+           UNION ALL SELECT column0, 0, column1, true FROM (VALUES
+             ('bank missing', 'banks without a report'),
+             ('field missing', 'masked field missing'),
+             ('weights not positive', 'sum of weights is not positive'),
+             ('update without rows', 'update without n_train'),
+             ('empty secret', 'no secure aggregation secret'))""",
+    ),
     "early_stopping": (
         ("stopped",),
         f"SELECT alpha, round, {_rounded('loss', 'best_loss')}, best_round, no_improve, stopped_at "

@@ -33,7 +33,7 @@ SECRET = "shared test secret"
 MASK_ROUND = 3
 SPEC = FeatureSpec()
 MODEL = LogisticSGD()
-SHORT_TRAINING = TrainSpec(alpha_grid=(1e-5, 1e-3), rounds=3)
+TRAINING = TrainSpec(alpha_grid=(1e-5, 1e-3))
 GRADIENT_STEP = 0.5
 
 
@@ -75,15 +75,16 @@ class Inputs:
     @cached_property
     def shared_scores(self) -> DataFrame:
         return evaluate.score_shared(
-            self.prepared.encoded, {"global": fixed.shared_params()}, self.scorer
+            self.prepared.encoded, {"global": fixed.shared_params(self.prepared.width)}, self.scorer, width=self.prepared.width
         )
 
     @cached_property
     def both_scores(self) -> DataFrame:
-        models = [("global", b, fixed.shared_params()) for b in BANKS]
-        models += [("local", b, fixed.local_params(b)) for b in BANKS]
+        width = self.prepared.width
+        models = [("global", b, fixed.shared_params(width)) for b in BANKS]
+        models += [("local", b, fixed.local_params(b, width)) for b in BANKS]
         return evaluate.score_models(
-            self.prepared.encoded, evaluate.model_table(self.spark, models), self.scorer
+            self.prepared.encoded, evaluate.model_table(self.spark, models), self.scorer, width=width
         )
 
     @property
@@ -399,9 +400,9 @@ def split_assign(i: Inputs) -> DataFrame:
 
 @query
 def split_by_cuts(i: Inputs) -> DataFrame:
-    """The same split by the way meant for banks too large to rank."""
+    """The same split from features that were stored once more."""
     stored = durable(i.features, "features")
-    return split.split_accounts(stored, SplitSpec(), rank_limit=0).select(
+    return split.split_accounts(stored, SplitSpec()).select(
         "acct_id", "bank_id", "is_sar", "split"
     )
 
@@ -624,9 +625,19 @@ def missing_clients(i: Inputs) -> DataFrame:
     return secure.missing_participants(val, i.accounts.select("bank_id").distinct())
 
 
+# What refusals say, in part.
+REFUSALS = (
+    "banks without a report",
+    "masked field missing",
+    "sum of weights is not positive",
+    "update without n_train",
+    "no secure aggregation secret",
+)
+
+
 @query
 def guards(i: Inputs) -> DataFrame:
-    """Which malformed sets of reports are refused."""
+    """Which malformed sets of reports and updates are refused, and for which reason."""
     reports = durable(_masked(i), "masked")
     last = F.col("bank_id") == BANKS[-1]
     cases = {
@@ -637,13 +648,27 @@ def guards(i: Inputs) -> DataFrame:
         ),
         "weights not positive": reports.withColumn("den_masked", F.lit(0.0)),
     }
+    update = i.spark.createDataFrame(
+        [("a", None, "coef", 0, 1.0)], "bank_id string, n_train long, key string, pos int, value double"
+    )
+    tried = {name: lambda rows=rows: secure.secure_mean(rows, BANKS) for name, rows in cases.items()}
+    tried["update without rows"] = lambda: averaging.fedavg(update)
     outcome = []
-    for name, rows in cases.items():
+    for name, build in tried.items():
         try:
-            outcome.append((name, len(secure.secure_mean(rows, BANKS).collect()), False))
-        except PySparkException:
-            outcome.append((name, 0, True))
-    return i.spark.createDataFrame(outcome, "case string, values int, refused boolean")
+            outcome.append((name, len(build().collect()), None))
+        except PySparkException as error:
+            known = [text for text in REFUSALS if text in str(error)]
+            if not known:
+                raise
+            outcome.append((name, 0, known[0]))
+    try:
+        secure.resolve_secret("", simulation=True)
+    except RuntimeError as error:
+        outcome.append(("empty secret", 0, str(error)[: len(REFUSALS[-1])]))
+    return i.spark.createDataFrame(outcome, "case string, values int, reason string").withColumn(
+        "refused", F.col("reason").isNotNull()
+    )
 
 
 # --- averaging, selection, training ---------------------------------------------------------
@@ -651,9 +676,9 @@ def guards(i: Inputs) -> DataFrame:
 
 def _loss_path(i: Inputs) -> DataFrame:
     """(alpha, round, loss): validation loss along a fixed path of models."""
-    models = {f"{a}|{r}": params for a, r, params in fixed.path_models()}
+    models = {f"{a}|{r}": params for a, r, params in fixed.path_models(i.prepared.width)}
     val = i.prepared.encoded.where(F.col("split") == "val")
-    scored = evaluate.score_shared(val, models, i.scorer)
+    scored = evaluate.score_shared(val, models, i.scorer, width=i.prepared.width)
     name = F.split("model", r"\|")
     return (
         evaluate.weighted_log_loss(scored, ["model", "bank_id"])
@@ -700,9 +725,9 @@ def fedavg(i: Inputs) -> DataFrame:
 @query
 def local_update(i: Inputs) -> DataFrame:
     """One local round: every bank's parameters after one pass from zero."""
-    placed = shards.place_shards(i.prepared.encoded, SHORT_TRAINING)
+    placed = shards.place_shards(i.prepared.encoded, TRAINING)
     start = {(1e-5, None): MODEL.initial(i.prepared.width)}
-    updates = shards.train_shards(placed, MODEL, start, 1, SHORT_TRAINING)
+    updates = shards.train_shards(placed, MODEL, start, 1, TRAINING)
     return shards.bank_updates(updates)
 
 
@@ -717,7 +742,7 @@ def federated_round(i: Inputs) -> DataFrame:
 @query
 def federated_train(i: Inputs) -> DataFrame:
     run = federated.train_federated(
-        i.prepared.encoded, i.prepared.width, SECRET, SPEC, SHORT_TRAINING
+        i.prepared.encoded, i.prepared.width, SECRET, SPEC, TRAINING
     )
     report = experiment.federated_report(i.prepared.encoded, run.best.params, SPEC)
     return report.withColumns(
@@ -727,18 +752,18 @@ def federated_train(i: Inputs) -> DataFrame:
 
 @query
 def local_baseline(i: Inputs) -> DataFrame:
-    run = baseline.train_local(i.prepared.encoded, i.prepared.width, SPEC, SHORT_TRAINING)
+    run = baseline.train_local(i.prepared.encoded, i.prepared.width, SPEC, TRAINING)
     return baseline.baseline_report(i.prepared.encoded, run, SPEC)
 
 
 @query
 def round1_compare(i: Inputs) -> DataFrame:
     return federated.compare_round_one(
-        i.prepared.encoded, i.prepared.width, 1e-5, SECRET, SPEC, SHORT_TRAINING
+        i.prepared.encoded, i.prepared.width, 1e-5, SECRET, SPEC, TRAINING
     )
 
 
 @query
 def study(i: Inputs) -> DataFrame:
     """Both sides trained on one split and compared on its test rows."""
-    return experiment.run_study(i.prepared, SECRET, SPEC, SHORT_TRAINING).comparison
+    return experiment.run_study(i.prepared, SECRET, SPEC, TRAINING).comparison

@@ -16,11 +16,14 @@ def logit(coef: str, intercept: str, n_num: int, n_cat: int) -> Column:
     names an array column and ``intercept`` is SQL text.
 
     Unrolled over the configured columns instead of a higher-order function, so it
-    stays inside generated code. Unknown categories add nothing.
+    stays inside generated code. An unknown category (null) adds nothing; a known one
+    must have a coefficient.
     """
     terms = [intercept]
     terms += [f"get(num, {i}) * get({coef}, {i})" for i in range(n_num)]
-    terms += [f"coalesce(get({coef}, get(cat, {j})), 0D)" for j in range(n_cat)]
+    terms += [
+        f"if(get(cat, {j}) IS NULL, 0D, element_at({coef}, get(cat, {j}) + 1))" for j in range(n_cat)
+    ]
     return F.expr(" + ".join(terms))
 
 

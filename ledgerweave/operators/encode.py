@@ -25,16 +25,17 @@ def numeric_scaling(plan: DataFrame) -> dict[str, tuple[float, float]]:
 
 
 def scaled(name: str, mean: Column, std: Column, missing: str = "error") -> Column:
-    """(x - mean) / std. A missing or NaN value is an error, or the mean on request."""
+    """(x - mean) / std. A value that is missing, NaN or infinite is an error, or the mean
+    on request: the statistics leave such values out."""
     if missing not in MISSING_POLICIES:
         raise ValueError(f"missing must be one of {MISSING_POLICIES}")
     x = F.col(name).cast("double")
     z = (x - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)
-    absent = x.isNull() | F.isnan(x)
+    absent = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     if missing == "mean":
         return F.when(absent, F.lit(0.0)).otherwise(z)
     return F.when(
-        absent, F.raise_error(F.lit(f"missing value in feature {name}")).cast("double")
+        absent, F.raise_error(F.lit(f"missing or infinite value in feature {name}")).cast("double")
     ).otherwise(z)
 
 

@@ -6,6 +6,7 @@ Equal scores are collapsed first; everything else works on distinct scores.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
@@ -19,7 +20,6 @@ from ledgerweave.sources.small import small_table
 
 # Distinct scores one task ranks, quantiles asked for, and their rank accuracy.
 SCORES_PER_BUCKET = 500_000
-MAX_BUCKETS = 2_048
 QUANTILE_ACCURACY = 20_000
 # Threshold reported for an empty set, decimals in which metrics tie.
 EMPTY_THRESHOLD = 0.5
@@ -64,8 +64,24 @@ def _named(keys: list[str], prefix: str) -> Callable[[str], str]:
     return name
 
 
-def score_models(encoded: DataFrame, models: DataFrame, scorer: Scorer) -> DataFrame:
-    """Scores every row with each model registered for its bank: adds model and ``p``."""
+def _of_width(params: Mapping[str, Sequence[float]], width: int | None) -> None:
+    if width is not None and "coef" in params and len(params["coef"]) != width:
+        raise ValueError(f"a model of {len(params['coef'])} features meets a plan of {width}")
+
+
+def score_models(
+    encoded: DataFrame, models: DataFrame, scorer: Scorer, width: int | None = None
+) -> DataFrame:
+    """Scores every row with each model registered for its bank: adds model and ``p``.
+    With ``width``, the number of features in the plan, a model of another width is an
+    error."""
+    if width is not None:
+        size = F.size(F.element_at("params", F.lit("coef")))
+        text = F.concat(F.lit("a model of "), size, F.lit(f" features meets a plan of {width}"))
+        known = F.map_contains_key("params", "coef")
+        models = models.withColumn(
+            "params", F.when(known & (size != width), F.raise_error(text)).otherwise(F.col("params"))
+        )
     keys: list[str] = []
     p = scorer(_named(keys, "_param_"))
     params = {f"_param_{k}": F.element_at("params", F.lit(k)) for k in keys}
@@ -78,12 +94,15 @@ def score_shared(
     models: Mapping[str, Mapping[str, Sequence[float]]],
     scorer: Scorer,
     kind: str = "string",
+    width: int | None = None,
 ) -> DataFrame:
     """Scores every row with each of a few models shared by all banks; the parameters
-    travel as literals. ``kind`` is the type of the ``model`` column."""
+    travel as literals. ``kind`` is the type of the ``model`` column; with ``width``, the
+    number of features in the plan, a model of another width is an error."""
     params: dict[str, Column] = {}
     scores = []
     for i, (name, vectors) in enumerate(models.items()):
+        _of_width(vectors, width)
         keys: list[str] = []
         p = scorer(_named(keys, f"_{i}_"))
         params |= {f"_{i}_{k}": literal_vector(vectors[k]) for k in keys}
@@ -109,26 +128,32 @@ def score_bounds(collapsed: DataFrame, per_bucket: int = SCORES_PER_BUCKET) -> l
     enough; being pooled, no (group, bucket) can exceed a bucket of the pool.
     """
     total = collapsed.count()
-    buckets = min(MAX_BUCKETS, -(-total // per_bucket))
+    buckets = -(-total // per_bucket)
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    found = collapsed.agg(F.percentile_approx("p", shares, QUANTILE_ACCURACY)).first()[0]
+    accuracy = max(QUANTILE_ACCURACY, 10 * buckets)
+    found = collapsed.agg(F.percentile_approx("p", shares, accuracy)).first()[0]
     return sorted(set(found))
 
 
 def _bucket(bounds: Sequence[float]) -> Column:
-    """How many bounds lie at or below ``p``, as a balanced tree of comparisons."""
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("p") < F.lit(bounds[middle]), between(low, middle)).otherwise(
-            between(middle + 1, high)
-        )
+    """How many bounds lie at or below ``p``: first counted in strides of the square root
+    of their number, then within the stride. Two constant arrays, so the expression does
+    not grow into code that cannot be compiled, however many bounds there are."""
+    if not bounds:
+        return F.lit(0)
+    stride = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + stride] for i in range(0, len(bounds), stride)]
+    firsts = literal_vector([g[0] for g in groups])
+    inner = F.array(*[literal_vector(g) for g in groups])
 
-    return between(0, len(bounds))
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x <= F.col("p")))
+
+    whole = upto(firsts)
+    within = upto(F.get(inner, whole - 1))
+    return F.when(whole == 0, 0).otherwise((whole - 1) * stride + within)
 
 
 def precision_recall_curve(
@@ -153,20 +178,6 @@ def precision_recall_curve(
     inside = W.partitionBy(*keys, "bucket").orderBy(F.desc("p")).rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
-    if not bounds:
-        running = W.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(
-            W.unboundedPreceding, W.currentRow
-        )
-        return collapsed.select(
-            *keys,
-            "p",
-            "pos",
-            "neg",
-            F.sum("pos").over(running).alias("tp"),
-            F.sum("neg").over(running).alias("fp"),
-            F.sum("pos").over(whole).alias("n_pos"),
-            F.sum("neg").over(whole).alias("n_neg"),
-        )
     totals = (
         bucketed.groupBy(*keys, "bucket")
         .agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))

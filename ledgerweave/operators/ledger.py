@@ -149,7 +149,8 @@ def transfer_mix(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Internal and cross-bank transfer counts and shares per bank.
 
     Counts only need (sender, receiver) pairs, so repeated pairs are collapsed
-    before they travel to the account lookup.
+    before they travel to the account lookup. A bank without transfers has zero counts
+    and null shares.
     """
     pairs = ledger.groupBy("orig_acct", "bene_acct").agg(F.count("*").alias("_n"))
     n = F.col("_n")
@@ -161,14 +162,17 @@ def transfer_mix(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("internal"), n).otherwise(0)).alias("tx_internal"),
         )
     )
+    banks = accounts.where(F.col("bank_id").isNotNull()).select("bank_id").distinct()
+    whole = banks.join(mix, "bank_id", "left").fillna(0, ["tx_total", "tx_internal"])
     total = F.col("tx_total")
-    return mix.withColumn("tx_cross", total - F.col("tx_internal")).select(
+    shared = F.when(total > 0, total)
+    return whole.withColumn("tx_cross", total - F.col("tx_internal")).select(
         "bank_id",
         "tx_total",
         "tx_internal",
         "tx_cross",
-        (F.col("tx_internal") / total).alias("internal_share"),
-        (F.col("tx_cross") / total).alias("cross_share"),
+        (F.col("tx_internal") / shared).alias("internal_share"),
+        (F.col("tx_cross") / shared).alias("cross_share"),
     )
 
 

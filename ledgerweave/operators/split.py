@@ -10,8 +10,12 @@ every stratum is train, the next val, the rest test. Nothing is ranked globally:
 4. every account's hash is compared with the two cuts.
 
 Steps 1, 3 and 4 are narrow passes and the ranking sees one bucket in 65,536 per cut,
-so a bank holding most of all accounts never becomes one task. While every bank is
-small, ranking whole strata gives the same split in a single lazy plan.
+so a bank holding most of all accounts never becomes one task. Banks of every size are
+split this way.
+
+Ties: only account rows equal in every column have equal hashes. They are not told apart,
+so all of them fall into the same split, and a quota that would end among them is
+exceeded. Rows without an id are ordered by a hash of the whole row.
 """
 
 from __future__ import annotations
@@ -31,8 +35,6 @@ from ledgerweave.sources.small import small_table
 BUCKET_DIGITS = 4
 CEIL_SLACK = 1e-9
 WHOLE_BANK = -1
-# Accounts of one bank that a single task may sort.
-RANK_LIMIT = 1_000_000
 
 QUOTA_SCHEMA = pa.schema(
     [
@@ -64,10 +66,10 @@ CUT_SCHEMA = pa.schema(
 
 
 def order_key(df: DataFrame, seed: int, id_col: str = "acct_id") -> Column:
-    """Hash that orders accounts; equal ids fall back to a hash of the whole row, so
-    only rows equal in every column can tie, and those always land together."""
-    identity = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    """Hash that orders accounts; missing and equal ids fall back to a hash of the whole
+    row, so only rows equal in every column can tie, and those always land together."""
     row = F.hex(F.xxhash64(*df.columns))
+    identity = F.coalesce(F.col(id_col).cast("string"), row)
     return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), identity)), F.lit("-"), row)
 
 
@@ -213,26 +215,8 @@ def _cuts(keyed: DataFrame, quotas: DataFrame, borders: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_split(keyed: DataFrame, quotas: DataFrame, regrouped: bool) -> DataFrame:
-    """The split by plain ranking, for banks that one task can sort."""
-    ordered = W.partitionBy("bank_id", "train_stratum").orderBy("key")
-    ranked = keyed.join(quotas, ["bank_id", "label"]).withColumn(
-        "nth", F.row_number().over(ordered)
-    )
-    in_train = F.col("nth") <= F.col("train_quota")
-    after = F.col("nth") - F.col("train_quota")
-    if regrouped:
-        ordered = W.partitionBy("bank_id", "val_stratum", in_train).orderBy("key")
-        after = F.row_number().over(ordered)
-    return ranked.withColumn("after", after).withColumn(
-        "split",
-        F.when(in_train, "train").when(F.col("after") <= F.col("val_quota"), "val")
-        .otherwise("test"),
-    )
-
-
 def _cut_split(keyed: DataFrame, quotas: DataFrame) -> DataFrame:
-    """The split by cuts, for banks of any size; nothing but ``keyed`` is large."""
+    """Compares every account with its cuts; nothing but ``keyed`` is large."""
     spark = keyed.sparkSession
     slim = keyed.select("bank_id", "label", "bucket", "key")
     histogram = durable(
@@ -253,14 +237,11 @@ def split_accounts(
     features: DataFrame,
     spec: SplitSpec | None = None,
     label_col: str = "is_sar",
-    rank_limit: int = RANK_LIMIT,
 ) -> DataFrame:
     """Adds ``split`` (train / val / test); accounts without a label are dropped.
 
-    Both ways give the same rows. Class counts are measured first; when the largest
-    bank exceeds ``rank_limit`` accounts the cuts are used. ``features`` is read up to
-    four times, so pass a stored table (see ``durable``). Quotas, borders and cuts have
-    a row or two per bank and label and pass through the driver.
+    ``features`` is read four times, so pass a stored table (see ``durable``). Quotas,
+    borders and cuts have a row or two per bank and label and pass through the driver.
     """
     spec = spec or SplitSpec()
     labelled = features.where(F.col(label_col).isNotNull()).withColumn(
@@ -272,11 +253,7 @@ def split_accounts(
     keyed = labelled.withColumn("key", order_key(features, spec.seed)).withColumn(
         "bucket", F.substring("key", 1, BUCKET_DIGITS)
     )
-    if max(sum(by_label.values()) for by_label in sizes.values()) > rank_limit:
-        chosen = _cut_split(keyed, quotas)
-    else:
-        chosen = _ranked_split(keyed, quotas, regrouped=any(r[2] != r[4] for r in rows))
-    return chosen.select(*features.columns, "split")
+    return _cut_split(keyed, quotas).select(*features.columns, "split")
 
 
 def split_counts(split_rows: DataFrame, label_col: str = "is_sar") -> DataFrame:

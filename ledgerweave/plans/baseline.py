@@ -68,9 +68,7 @@ def train_local(
     log: list[dict] = []
     try:
         active: dict[tuple[float, str], Params] = {
-            (alpha, bank): model.train(
-                row, model.initial(width), alpha, 1, np.random.default_rng(spec.seed)
-            )
+            (alpha, bank): model.train(row, model.initial(width), alpha)
             for bank, row in sorted(_first_rows(encoded, spec).items())
             for alpha in spec.alpha_grid
         }
@@ -78,6 +76,8 @@ def train_local(
         for round_id in range(1, spec.rounds + 1):
             updates = train_shards(shards, model, active, round_id, spec)
             active = restore(bank_updates(updates), model, width, ("alpha", "bank_id"))
+            for params in active.values():
+                model.check(params, width)
             models = model_table(
                 spark, [(repr(alpha), bank, _vectors(p)) for (alpha, bank), p in active.items()]
             )
@@ -87,9 +87,12 @@ def train_local(
                 for r in weighted_log_loss(scored, ["model", "bank_id"]).collect()
             }
             for run in sorted(active):
-                # A bank without validation rows has loss 0, like its empty sums.
-                loss = losses.get(run, 0.0)
-                if loss < best[run].loss - IMPROVEMENT:
+                # A bank without validation rows has no loss: its first model is kept.
+                loss = losses.get(run)
+                if loss is None:
+                    if not best[run].params:
+                        best[run] = Selected(run[0], round_id, None, active[run])
+                elif loss < best[run].loss - IMPROVEMENT:
                     best[run] = Selected(run[0], round_id, loss, active[run])
                 waited = round_id - best[run].round_id
                 log.append(
@@ -111,7 +114,7 @@ def train_local(
     chosen: dict[str, Selected] = {}
     for bank in shards.banks:
         candidates = [best[alpha, bank] for alpha in spec.alpha_grid]
-        chosen[bank] = min(candidates, key=lambda s: s.loss)
+        chosen[bank] = min(candidates, key=lambda s: math.inf if s.loss is None else s.loss)
         if not chosen[bank].params:
             raise RuntimeError(f"no round produced a usable loss for {bank}")
     return BaselineRun(chosen, log)

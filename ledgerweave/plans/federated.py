@@ -8,7 +8,7 @@ plans do not grow with the number of rounds because parameters come back as valu
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -50,7 +50,7 @@ class Selected:
 
     alpha: float
     round_id: int
-    loss: float
+    loss: float | None
     params: Params
 
 
@@ -76,21 +76,36 @@ def average_round(
     return {alpha: p for (alpha,), p in restore(merged, model, width, ("alpha",)).items()}
 
 
+def _every_bank(table: DataFrame, models: Iterable, banks: Sequence[str]) -> DataFrame:
+    """``table`` (model, bank_id, metrics) with a row for every model and bank; a bank that
+    has no rows gets zero sums and undefined metrics."""
+    spark = table.sparkSession
+    pairs = [(m, b) for m in models for b in banks]
+    kind = dict(table.dtypes)["model"]
+    expected = spark.createDataFrame(pairs, f"model {kind}, bank_id string")
+    zero = ["n", "pos", "wloss_sum", "w_sum"]
+    return expected.join(table, ["model", "bank_id"], "left").fillna(0, zero)
+
+
 def validation_losses(
     val: DataFrame,
     states: Mapping[float, Params],
     round_id: int,
     banks: Sequence[str],
+    width: int,
     model: ShardModel,
     features: FeatureSpec,
     secret: Column,
     spec: TrainSpec,
 ) -> dict[float, float]:
     """alpha -> weighted validation loss over all banks, from masked sums only: each
-    bank reports one masked record per alpha, and only the mean leaves Spark."""
+    bank reports one masked record per alpha, and only the mean leaves Spark. A bank
+    without validation rows reports zeros, so that the masks still cancel."""
+    for params in states.values():
+        model.check(params, width)
     vectors = {alpha: _vectors(p) for alpha, p in states.items()}
     scored = score_shared(val, vectors, _scorer(model, features), kind="double")
-    losses = weighted_log_loss(scored, ["model", "bank_id"]).withColumns(
+    losses = _every_bank(weighted_log_loss(scored, ["model", "bank_id"]), states, banks).withColumns(
         {"alpha": F.col("model"), "round": F.lit(round_id)}
     )
     fractions = metric_fractions(losses, (), F.lit("global"))
@@ -127,7 +142,7 @@ def train_federated(
         for round_id in range(1, spec.rounds + 1):
             active = average_round(shards, model, active, round_id, width, spec)
             losses = validation_losses(
-                val, active, round_id, shards.banks, model, features, key, spec
+                val, active, round_id, shards.banks, width, model, features, key, spec
             )
             for alpha in [a for a in spec.alpha_grid if a in active]:
                 loss = losses[alpha]
@@ -174,7 +189,8 @@ def evaluate_round(
     models = [("global", b, _vectors(global_params)) for b in banks]
     models += [("local", b, _vectors(p)) for b, p in local_params.items()]
     scored = score_models(val, model_table(spark, models), _scorer(model, features))
-    metrics = metric_bundle(scored, ["model", "bank_id"]).withColumns(
+    bundle = metric_bundle(scored, ["model", "bank_id"])
+    metrics = _every_bank(bundle, ("global", "local"), banks).withColumns(
         {"round": F.lit(round_id), "alpha": F.lit(alpha)}
     )
     fractions = metric_fractions(metrics, AVERAGED_METRICS, F.col("model"))

@@ -1,15 +1,16 @@
 """Models that can be trained on shards, and the built-in logistic regression.
 
-A model plugs in with three methods: start parameters, training on one shard of rows
-(NumPy, inside a Spark task), and a score as a column expression.
+A model plugs in with start parameters, three methods that train on a stream of rows
+(NumPy, inside a Spark task), and a score as a column expression. All alphas of a grid
+train on the same stream at once.
 """
 
 from __future__ import annotations
 
-import math
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column
@@ -46,10 +47,22 @@ class ShardModel(ABC):
         """Parameters before the first round, for ``width`` features."""
 
     @abstractmethod
-    def train(
-        self, shard: Shard, params: Params, alpha: float, epochs: int, rng: np.random.Generator
-    ) -> Params:
-        """Parameters after ``epochs`` passes; must not modify ``params``."""
+    def begin(self, params: Sequence[Params], alphas: Sequence[float]) -> Any:
+        """State of a pass for each alpha from its own parameters, which stay unchanged."""
+
+    @abstractmethod
+    def step(self, state: Any, rows: Shard) -> None:
+        """Trains every alpha on the next rows, in their order."""
+
+    @abstractmethod
+    def finish(self, state: Any) -> list[Params]:
+        """Parameters of each alpha after the pass."""
+
+    def train(self, shard: Shard, params: Params, alpha: float) -> Params:
+        """Parameters after one pass over rows that are all at hand."""
+        state = self.begin([params], [alpha])
+        self.step(state, shard)
+        return self.finish(state)[0]
 
     @abstractmethod
     def score(self, param: Callable[[str], str], spec: FeatureSpec) -> Column:
@@ -68,6 +81,21 @@ class ShardModel(ABC):
                 )
 
 
+@dataclass
+class _Pass:
+    """One row (or number) for each alpha."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    scale: np.ndarray
+    shrink: np.ndarray
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    e = np.exp(-np.minimum(np.abs(z), 700.0))
+    return np.where(z >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
+
+
 @dataclass(frozen=True)
 class LogisticSGD(ShardModel):
     """Logistic regression by plain SGD, one row per step, constant step size.
@@ -82,35 +110,41 @@ class LogisticSGD(ShardModel):
     def initial(self, width: int) -> Params:
         return {"coef": np.zeros((1, width)), "intercept": np.zeros(1)}
 
-    def train(self, shard, params, alpha, epochs, rng):
-        self.check(params, params["coef"].shape[-1])
-        if len(shard) and shard.cat.max(initial=-1) >= params["coef"].shape[-1]:
+    def begin(self, params, alphas):
+        width = params[0]["coef"].shape[-1]
+        for p in params:
+            self.check(p, width)
+        return _Pass(
+            weights=np.stack([p["coef"][0] for p in params]),
+            bias=np.array([float(p["intercept"][0]) for p in params]),
+            scale=np.ones(len(alphas)),
+            shrink=np.maximum(0.0, 1.0 - self.eta0 * np.asarray(alphas, dtype=float)),
+        )
+
+    def step(self, state, rows):
+        if len(rows) and rows.cat.max(initial=-1) >= state.weights.shape[1]:
             raise ValueError("rows have more features than the model")
-        m = shard.num.shape[1]
-        weights = params["coef"][0].copy()
-        # weights = scale * (dense, weights[m:]): shrinking all of them is one product.
-        dense, scale, bias = weights[:m], 1.0, float(params["intercept"][0])
-        shrink = max(0.0, 1.0 - self.eta0 * alpha)
-        active = [row[row >= 0] for row in shard.cat]
-        labels = shard.y.tolist()
-        for _ in range(epochs):
-            for i in rng.permutation(len(labels)).tolist():
-                x, on = shard.num[i], active[i]
-                z = bias + scale * (float(dense @ x) + float(weights[on].sum()))
-                if z >= 0:
-                    p = 1.0 / (1.0 + math.exp(-min(z, 700.0)))
-                else:
-                    e = math.exp(max(z, -700.0))
-                    p = e / (1.0 + e)
-                step = self.eta0 * (p - labels[i])
-                scale *= shrink
-                if scale < 1e-9:
-                    weights *= scale
-                    scale = 1.0
-                dense -= (step / scale) * x
-                weights[on] -= step / scale
-                bias -= step * self.intercept_decay
-        return {"coef": (weights * scale)[None, :], "intercept": np.array([bias])}
+        m = rows.num.shape[1]
+        weights, bias, scale = state.weights, state.bias, state.scale
+        # weights of an alpha = its scale * (dense, rest): shrinking them is one product.
+        dense = weights[:, :m]
+        for x, on, label in zip(rows.num, rows.cat, rows.y.tolist()):
+            on = on[on >= 0]
+            z = bias + scale * (dense @ x + weights[:, on].sum(axis=1))
+            step = self.eta0 * (_sigmoid(z) - label)
+            scale *= state.shrink
+            tiny = scale < 1e-9
+            if tiny.any():
+                weights[tiny] *= scale[tiny, None]
+                scale[tiny] = 1.0
+            change = step / scale
+            dense -= change[:, None] * x
+            weights[:, on] -= change[:, None]
+            bias -= step * self.intercept_decay
+
+    def finish(self, state):
+        whole = state.weights * state.scale[:, None]
+        return [{"coef": w[None, :], "intercept": np.array([b])} for w, b in zip(whole, state.bias)]
 
     def score(self, param, spec):
         bias = f"get({param('intercept')}, 0)"

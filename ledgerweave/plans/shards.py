@@ -2,13 +2,15 @@
 
 Encoded training rows are placed once, one shard per partition, and cached. A round is
 then a map-only job over the cached shards plus a tiny aggregation: no row moves again.
-A bank above ``shard_rows`` has several shards; averaging their results by row count and
-then averaging banks by row count is one flat average.
+Every bank has the same, configured number of shards, whatever its size; averaging their
+results by row count and then averaging banks by row count is one flat average.
+
+A pass reads its shard in the order of md5("seed:round:epoch:account"), sorted by Spark, and
+trains on it batch by batch, so a task never holds a shard.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -22,7 +24,6 @@ import ledgerweave
 from ledgerweave.operators.averaging import fedavg, flatten_updates
 from ledgerweave.plans.models import Params, Shard, ShardModel
 from ledgerweave.settings import TrainSpec
-from ledgerweave.sources.small import small_table
 
 # Training functions travel to the executors as code, so the package need not be
 # installed there; NumPy and PyArrow must be.
@@ -31,11 +32,6 @@ cloudpickle.register_pickle_by_value(ledgerweave)
 UPDATE_COLUMNS = (
     "alpha double, bank_id string, shard int, n_train bigint, key string, values array<double>"
 )
-PLACEMENT_SCHEMA = pa.schema(
-    [("bank_id", pa.string()), ("first", pa.int32()), ("shards", pa.int32())]
-)
-
-
 @dataclass(frozen=True)
 class ShardSet:
     rows: DataFrame
@@ -60,36 +56,44 @@ def place_shards(encoded: DataFrame, spec: TrainSpec) -> ShardSet:
     }
     if not sizes:
         raise ValueError("no training rows")
-    placement, first = [], 0
-    for bank in sorted(sizes):
-        shards = -(-sizes[bank] // spec.shard_rows)
-        placement.append((bank, first, shards))
-        first += shards
-    placed = small_table(encoded.sparkSession, PLACEMENT_SCHEMA, placement)
-    shard = F.col("first") + F.pmod(F.xxhash64("acct_id"), F.col("shards")).cast("int")
+    numbers = F.create_map(*[F.lit(x) for i, b in enumerate(sorted(sizes)) for x in (b, i)])
+    # Accounts without an id are told apart by the rest of their row.
+    name = F.coalesce(
+        F.col("acct_id").cast("string"), F.hex(F.xxhash64("bank_id", "y", "num", "cat"))
+    )
+    shard = numbers[F.col("bank_id")] * spec.shards + F.pmod(F.xxhash64(name), F.lit(spec.shards))
+    count = len(sizes) * spec.shards
     rows = (
-        training.join(placed, "bank_id")
-        .select("acct_id", "bank_id", "y", "num", "cat", shard.cast("int").alias("shard"))
-        .repartitionById(first, F.col("shard"))
+        training.select(name.alias("name"), "bank_id", "y", "num", "cat", shard.cast("int").alias("shard"))
+        .repartitionById(count, F.col("shard"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return ShardSet(rows, sizes, first)
+    return ShardSet(rows, sizes, count)
 
 
-def _matrix(column: pa.ChunkedArray, n: int, missing: float | int) -> np.ndarray:
-    flat = pa.concat_arrays([chunk.flatten() for chunk in column.chunks])
-    values = flat.fill_null(missing).to_numpy(zero_copy_only=False)
+def _matrix(column: pa.Array, n: int, missing: float | int) -> np.ndarray:
+    values = column.flatten().fill_null(missing).to_numpy(zero_copy_only=False)
     return values.reshape(n, -1)
 
 
-def as_shard(table: pa.Table) -> Shard:
-    """Rows in id order, so that a shard is the same whatever order they arrived in."""
-    table = table.sort_by("acct_id")
-    n = table.num_rows
+def as_shard(rows: pa.RecordBatch) -> Shard:
+    n = rows.num_rows
     return Shard(
-        num=np.ascontiguousarray(_matrix(table["num"], n, np.nan)),
-        cat=_matrix(table["cat"], n, -1).astype(np.int64),
-        y=table["y"].to_numpy(),
+        num=np.ascontiguousarray(_matrix(rows.column("num"), n, np.nan)),
+        cat=_matrix(rows.column("cat"), n, -1).astype(np.int64),
+        y=rows.column("y").to_numpy(),
+    )
+
+
+def in_order(rows: DataFrame, round_id: int, spec: TrainSpec) -> DataFrame:
+    """Every row once per epoch, each partition in the order of the round's passes."""
+    text = F.concat_ws(":", F.lit(spec.seed), F.lit(round_id), F.col("epoch"), F.col("name"))
+    epochs = F.sequence(F.lit(1), F.lit(spec.local_epochs))
+    return (
+        rows.withColumn("epoch", F.explode(epochs))
+        .withColumn("order", F.md5(text))
+        .sortWithinPartitions("shard", "epoch", "order")
+        .drop("order", "name")
     )
 
 
@@ -106,23 +110,28 @@ def train_shards(
     alphas train in the same pass, each from its own parameters.
     """
     start = dict(states)
-    epochs, seed = spec.local_epochs, spec.seed
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrived = [b for b in batches if b.num_rows]
-        if not arrived:
+        # A partition is one shard; its first row says whose it is.
+        runs: list[tuple[float, Params]] = []
+        state, bank, number, seen = None, "", 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if state is None:
+                bank, number = batch.column("bank_id")[0].as_py(), batch.column("shard")[0].as_py()
+                runs = [(a, p) for (a, owner), p in start.items() if owner in (None, bank)]
+                if not runs:
+                    return
+                state = model.begin([p for _, p in runs], [a for a, _ in runs])
+            model.step(state, as_shard(batch))
+            seen += int(np.count_nonzero(batch.column("epoch").to_numpy() == 1))
+        if state is None:
             return
-        table = pa.Table.from_batches(arrived)
-        bank, number = table["bank_id"][0].as_py(), table["shard"][0].as_py()
-        shard = as_shard(table)
         out: dict[str, list] = {name: [] for name in names}
-        for (alpha, owner), params in start.items():
-            if owner not in (None, bank):
-                continue
-            rng = np.random.default_rng([seed, round_id, zlib.crc32(bank.encode()), number])
-            trained = model.train(shard, params, alpha, epochs, rng)
+        for (alpha, _), trained in zip(runs, model.finish(state)):
             for key, value in trained.items():
-                row = (alpha, bank, number, len(shard), key, np.ravel(value).tolist())
+                row = (alpha, bank, number, seen, key, np.ravel(value).tolist())
                 for name, cell in zip(names, row):
                     out[name].append(cell)
         yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -138,7 +147,7 @@ def train_shards(
         ]
     )
     names = schema.names
-    return shards.rows.mapInArrow(train, UPDATE_COLUMNS)
+    return in_order(shards.rows, round_id, spec).mapInArrow(train, UPDATE_COLUMNS)
 
 
 def bank_updates(updates: DataFrame) -> DataFrame:
@@ -164,6 +173,6 @@ def restore(
         r: {k: v.reshape(template[k].shape) for k, v in params.items()}
         for r, params in out.items()
     }
-    if any(np.isnan(v).any() for params in shaped.values() for v in params.values()):
+    if any(not np.isfinite(v).all() for params in shaped.values() for v in params.values()):
         raise RuntimeError("training produced missing or undefined parameters")
     return shaped

@@ -53,8 +53,8 @@ class SplitSpec:
 class TrainSpec:
     """Settings shared by federated training and the per-bank baseline.
 
-    ``shard_rows`` bounds the rows one task trains on; banks above it are split
-    into several shards whose results are averaged by row count.
+    Every bank is trained in ``shards`` parts whose results are averaged by row count;
+    their number is a setting and does not depend on the rows.
     """
 
     alpha_grid: tuple[float, ...] = (1e-5,)
@@ -64,7 +64,7 @@ class TrainSpec:
     eta0: float = LEARNING_RATE
     intercept_decay: float = INTERCEPT_DECAY
     seed: int = DEFAULT_SEED
-    shard_rows: int = 50_000
+    shards: int = 4
     mask_scale: float = MASK_SCALE
     splits: tuple[str, ...] = field(default=("train",))
 
@@ -73,7 +73,7 @@ class TrainSpec:
             raise ValueError("alpha_grid is empty")
         if self.rounds < 1 or self.local_epochs < 1 or self.patience < 1:
             raise ValueError("rounds, local_epochs and patience start at 1")
-        if self.shard_rows < 1:
-            raise ValueError("shard_rows must be positive")
+        if self.shards < 1:
+            raise ValueError("shards must be positive")
         if not set(self.splits) <= {"train", "val"}:
             raise ValueError("training may use the train and val splits only")

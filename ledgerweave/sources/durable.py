@@ -2,8 +2,11 @@
 
 Intermediate tables go to the reliable folder named by ``spark.checkpoint.dir``.
 A local session without that setting (tests, laptop) gets a temporary folder; a
-cluster session without it is refused, because a folder on one machine would not
-be visible to the others.
+cluster session without it, one of several processes on a machine included, is
+refused, because a folder on one machine would not be visible to the others.
+
+Tables stay as long as results that are still lazy may read them; :func:`discard`
+deletes all that a session has stored.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_STORED: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = context.applicationId
     if app not in _LOCAL_ROOTS:
@@ -30,7 +34,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes every table the session has stored, in whatever store it lies, and says how
+    many there were. Results that read them must have been written before."""
+    context = spark.sparkContext
+    configuration = context._jsc.hadoopConfiguration()
+    deleted = 0
+    for name in _STORED.pop(context.applicationId, []):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        deleted += path.getFileSystem(configuration).delete(path, True)
+    return deleted
 
 
 def durable(

@@ -43,6 +43,8 @@ def test_guards_refuse_only_broken_reports(inputs):
         "bank missing": True,
         "field missing": True,
         "weights not positive": True,
+        "update without rows": True,
+        "empty secret": True,
     }
 
 

@@ -96,6 +96,19 @@ def test_bundle_equals_brute_force(spark, bounds):
                 assert got[name][metric] == pytest.approx(value, abs=1e-9), (name, metric)
 
 
+def test_thousands_of_bounds_stay_in_compiled_code(spark):
+    pairs = random_pairs(3, 4000, 4000)
+    bounds = [i / 3000 + 1e-7 for i in range(3000)]
+    before = spark.conf.get("spark.sql.codegen.fallback", "true")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        many = evaluate.metric_bundle(scored(spark, {"g": pairs}), ["model"], bounds).first()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+    one = evaluate.metric_bundle(scored(spark, {"g": pairs}), ["model"], []).first()
+    assert tuple(many)[1:] == pytest.approx(tuple(one)[1:], abs=1e-9)
+
+
 def test_bounds_are_measured_and_keep_buckets_even(spark):
     pairs = random_pairs(3, 4_000, 1_000_000)
     crowded = [(y, 0.5 + p / 1e6) for y, p in pairs]

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.split import bank_quotas, split_accounts
+from ledgerweave.operators.split import bank_quotas, order_key, split_accounts
 from ledgerweave.settings import SplitSpec
 
 
@@ -44,14 +46,35 @@ def test_known_quotas():
     assert [(r[1], r[3]) for r in rows] == [(0, -1), (1, -1)]
 
 
+def ranked(df, spec):
+    """The split by sorting every stratum in one place."""
+    keyed = df.withColumn("key", order_key(df, spec.seed)).collect()
+    out = {}
+    for bank in {r["bank_id"] for r in keyed}:
+        rows = sorted((r for r in keyed if r["bank_id"] == bank), key=lambda r: r["key"])
+        sizes = Counter(int(r["is_sar"]) for r in rows)
+        quotas = {q[0]: q[1:] for q in bank_quotas(dict(sizes), spec)}
+        train, val = Counter(), Counter()
+        for r in rows:
+            train_stratum, train_quota, val_stratum, val_quota = quotas[int(r["is_sar"])]
+            if train[train_stratum] < train_quota:
+                train[train_stratum] += 1
+                out[bank, r["acct_id"]] = "train"
+            elif val[val_stratum] < val_quota:
+                val[val_stratum] += 1
+                out[bank, r["acct_id"]] = "val"
+            else:
+                out[bank, r["acct_id"]] = "test"
+    return out
+
+
 @pytest.mark.parametrize("positives", [0, 1, 3, 4, 40])
-def test_both_ways_agree(spark, positives):
+def test_cuts_give_the_ranked_split(spark, positives):
     rows = [(i, bank, i < positives) for bank in ("a", "b") for i in range(120 if bank == "a" else 33)]
     df = accounts(spark, rows)
-    ranked = assignment(split_accounts(df))
-    assert ranked == assignment(split_accounts(df, rank_limit=0))
-    assert len(ranked) == 153
-    held = [s for (bank, _), s in ranked.items() if bank == "a"]
+    got = assignment(split_accounts(df))
+    assert got == ranked(df, SplitSpec())
+    held = [s for (bank, _), s in got.items() if bank == "a"]
     assert (held.count("train"), held.count("val"), held.count("test")) == (84, 18, 18)
 
 
@@ -77,7 +100,17 @@ def test_bad_fractions(shares):
 
 def test_repeated_ids_stay_together_only_when_rows_are_equal(spark):
     rows = [(1, "a", True)] * 2 + [(i, "a", i % 2 == 0) for i in range(2, 40)]
-    df = accounts(spark, rows)
-    for limit in (0, 1_000):
-        got = split_accounts(df, rank_limit=limit)
-        assert got.count() == 40
+    got = split_accounts(accounts(spark, rows))
+    assert got.count() == 40 and got.where("acct_id = 1").select("split").distinct().count() == 1
+    # Twenty equal rows without an id are one tie; the other class is split as usual.
+    equal = [(None, "a", False)] * 20 + [(i, "a", True) for i in range(20)]
+    split = [r["split"] for r in split_accounts(accounts(spark, equal)).where("acct_id IS NULL").collect()]
+    assert split == ["train"] * 20
+
+
+def test_rows_without_an_id_are_told_apart_by_their_columns(spark):
+    rows = [(None, "a", i % 2 == 0, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "acct_id bigint, bank_id string, is_sar boolean, x double")
+    got = {r["x"]: r["split"] for r in split_accounts(df).collect()}
+    assert [list(got.values()).count(s) for s in ("train", "val", "test")] == [70, 15, 15]
+    assert got == {r["x"]: r["split"] for r in split_accounts(df.repartition(3)).collect()}

@@ -85,7 +85,7 @@ def test_dense_and_sparse_forms_agree(plan, rows):
 
 def test_missing_numbers_are_an_error_or_the_mean(plan, rows):
     broken = rows.withColumn("x", F.when(F.col("acct_id") > 1, F.col("x")))
-    with pytest.raises(PySparkException, match="missing value in feature x"):
+    with pytest.raises(PySparkException, match="missing or infinite value in feature x"):
         encode.encode(broken, plan, SPEC).collect()
     filled = encode.encode(broken, plan, SPEC, missing="mean")
     assert filled.where("acct_id = 1").first()["num"][0] == 0.0

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.sources import durable as lineage
 from ledgerweave.sources import tables
-from ledgerweave.sources.durable import durable, fresh_path
+from ledgerweave.sources.durable import discard, durable, fresh_path
 
 
 @pytest.fixture
@@ -124,3 +126,12 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.shared_root(Session("yarn", None))
     assert lineage.shared_root(Session("local[2]", None)) == lineage.shared_root(Session("local[2]", None))
+
+
+def test_stored_tables_can_be_discarded(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "_STORED", {})
+    kept = durable(spark.range(5), "gone")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert discard(spark) == 1 and discard(spark) == 0
+    assert not os.path.exists(path)

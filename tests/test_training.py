@@ -1,8 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
-import zlib
 
 import numpy as np
 import pytest
@@ -61,23 +61,72 @@ def dense_rows(encoded, bank, splits=("train",)):
     return sorted(out, key=lambda t: t[0])
 
 
+def pass_order(rows, seed, round_id, epoch):
+    keys = [hashlib.md5(f"{seed}:{round_id}:{epoch}:{r[0]}".encode()).hexdigest() for r in rows]
+    return sorted(range(len(rows)), key=keys.__getitem__)
+
+
 def test_one_shard_is_sequential_sgd(encoded):
-    spec = TrainSpec(alpha_grid=(0.01,), local_epochs=2)
+    spec = TrainSpec(alpha_grid=(0.01,), local_epochs=2, shards=1)
     model = LogisticSGD()
     start = {"coef": np.array([[0.1, -0.2, 0.3, 0.0, 0.05]]), "intercept": np.array([0.2])}
     placed = shards.place_shards(encoded, spec)
     updates = shards.train_shards(placed, model, {(0.01, None): start}, 4, spec)
     got = shards.restore(shards.bank_updates(updates), model, WIDTH, ("alpha", "bank_id"))
-    for number, bank in enumerate(["a", "b"]):
+    for bank in ("a", "b"):
         rows = dense_rows(encoded, bank)
-        rng = np.random.default_rng([spec.seed, 4, zlib.crc32(bank.encode()), number])
-        order = [i for _ in range(2) for i in rng.permutation(len(rows))]
+        order = [i for epoch in (1, 2) for i in pass_order(rows, spec.seed, 4, epoch)]
         w, b = plain_sgd(rows, start, 0.01, order)
         assert got[0.01, bank]["coef"][0] == pytest.approx(w, abs=1e-12)
         assert got[0.01, bank]["intercept"][0] == pytest.approx(b, abs=1e-12)
     placed.release()
 
 
+def test_alphas_and_batches_train_side_by_side(encoded):
+    model, rng = LogisticSGD(), np.random.default_rng(4)
+    rows = Shard(rng.normal(size=(90, 2)), rng.integers(-1, 3, (90, 1)) + 2, rng.integers(0, 2, 90))
+    start = {"coef": rng.normal(size=(1, WIDTH)), "intercept": np.zeros(1)}
+    state = model.begin([start, start], [0.5, 1e-3])
+    for i in range(0, 90, 30):
+        model.step(state, Shard(rows.num[i : i + 30], rows.cat[i : i + 30], rows.y[i : i + 30]))
+    for got, alpha in zip(model.finish(state), (0.5, 1e-3)):
+        alone = model.train(rows, start, alpha)
+        assert all(np.allclose(got[k], alone[k], atol=1e-12) for k in start)
+
+
+def test_accounts_without_an_id_are_spread_and_reproducible(spark):
+    rows = [(None, "a", "train", i % 2, [float(i), 1.0], [2]) for i in range(200)]
+    df = spark.createDataFrame(
+        rows, "acct_id bigint, bank_id string, split string, y int, num array<double>, cat array<int>"
+    )
+    seen = []
+    for frame in (df, df.repartition(3)):
+        placed = shards.place_shards(frame, TrainSpec())
+        sizes = [r["count"] for r in placed.rows.groupBy("shard").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 90
+        merged = federated.average_round(
+            placed, LogisticSGD(), {1e-5: LogisticSGD().initial(3)}, 1, 3, TrainSpec()
+        )
+        seen.append(merged[1e-5]["coef"])
+        placed.release()
+    assert np.allclose(*seen, atol=1e-12)
+
+
+def test_a_bank_without_validation_rows_reports_zeros(encoded):
+    part = encoded.where("NOT (bank_id = 'b' AND split = 'val')")
+    spec = TrainSpec(rounds=3, alpha_grid=(1e-5,))
+    run = federated.train_federated(part, WIDTH, SECRET, SPEC, spec)
+    alone = federated.train_federated(
+        encoded.where("NOT (bank_id = 'b' AND split = 'val')"), WIDTH, "other", SPEC, spec
+    )
+    assert 0 < run.best.loss < 1 and run.best.loss == pytest.approx(alone.best.loss, abs=1e-6)
+    row = federated.compare_round_one(part, WIDTH, 1e-5, SECRET, SPEC).first()
+    assert 0 < row["avg_local_val_wlogloss"] < 1
+    local = baseline.train_local(part, WIDTH, SPEC, spec)
+    assert local.best["b"].loss is None and local.best["b"].round_id == 1
+    assert local.best["a"].loss is not None
+
+
 def test_rounds_do_not_shuffle_the_rows_again(encoded):
     spec = TrainSpec()
     placed = shards.place_shards(encoded, spec)
@@ -89,13 +138,13 @@ def test_rounds_do_not_shuffle_the_rows_again(encoded):
     placed.release()
 
 
-def test_large_banks_are_split_into_bounded_shards(encoded):
-    spec = TrainSpec(shard_rows=50)
+def test_banks_of_every_size_have_the_same_number_of_shards(encoded):
+    spec = TrainSpec(shards=3)
     placed = shards.place_shards(encoded, spec)
     # 360 training rows: 240 of bank a, 120 of bank b.
-    assert placed.count == 5 + 3 and placed.n_train == {"a": 240, "b": 120}
+    assert placed.count == 3 + 3 and placed.n_train == {"a": 240, "b": 120}
     sizes = placed.rows.groupBy("bank_id", "shard").count().collect()
-    assert sum(r["count"] for r in sizes) == 360 and max(r["count"] for r in sizes) < 100
+    assert len(sizes) == 6 and sum(r["count"] for r in sizes) == 360
     model = LogisticSGD()
     updates = shards.train_shards(placed, model, {(1e-5, None): model.initial(WIDTH)}, 1, spec)
     per_shard = updates.where("key = 'coef'").collect()
@@ -128,8 +177,14 @@ class Backwards(ShardModel):
     def initial(self, width):
         return {"weights": np.zeros(width), "step": np.zeros(())}
 
-    def train(self, shard, params, alpha, epochs, rng):
-        return {"weights": params["weights"] + 1.0, "step": params["step"] + 1.0}
+    def begin(self, params, alphas):
+        return [{k: v + 1.0 for k, v in p.items()} for p in params]
+
+    def step(self, state, rows):
+        assert len(rows)
+
+    def finish(self, state):
+        return state
 
     def score(self, param, spec):
         z = F.get(param("step"), F.lit(0)) - F.get(param("weights"), F.lit(0))
@@ -166,7 +221,7 @@ def test_baseline_starts_from_one_step(encoded):
     model = LogisticSGD()
     first = baseline._first_rows(encoded, TrainSpec())["a"]
     assert len(first) == 1
-    got = model.train(first, model.initial(WIDTH), 1e-5, 1, np.random.default_rng(0))
+    got = model.train(first, model.initial(WIDTH), 1e-5)
     g = 0.5 - first.y[0]
     assert got["coef"][0] == pytest.approx(-0.01 * g * first.dense(WIDTH)[0], abs=1e-15)
     assert got["intercept"][0] == pytest.approx(-0.01 * g * 0.01, abs=1e-15)
@@ -206,22 +261,22 @@ def test_parameter_checks():
         model.check({"coef": np.zeros((1, 2)), "intercept": np.zeros(1)}, 3)
     shard = Shard(np.zeros((1, 2)), np.array([[7]]), np.array([1]))
     with pytest.raises(ValueError):
-        model.train(shard, good, 0.1, 1, np.random.default_rng(0))
+        model.train(shard, good, 0.1)
 
 
 def test_dense_and_sparse_intercepts_differ():
     rng = np.random.default_rng(1)
     shard = Shard(rng.normal(size=(300, 10)), np.full((300, 1), -1), rng.integers(0, 2, 300))
     start = LogisticSGD().initial(10)
-    sparse = LogisticSGD(0.05, 0.01).train(shard, start, 1e-6, 3, np.random.default_rng(2))
-    dense = LogisticSGD(0.05, 1.0).train(shard, start, 1e-6, 3, np.random.default_rng(2))
+    sparse = LogisticSGD(0.05, 0.01).train(shard, start, 1e-6)
+    dense = LogisticSGD(0.05, 1.0).train(shard, start, 1e-6)
     assert not np.allclose(sparse["intercept"], dense["intercept"])
     assert not np.allclose(sparse["coef"], start["coef"])
     assert np.all(start["coef"] == 0)
 
 
 @pytest.mark.parametrize(
-    "bad", [{"alpha_grid": ()}, {"rounds": 0}, {"shard_rows": 0}, {"splits": ("test",)}]
+    "bad", [{"alpha_grid": ()}, {"rounds": 0}, {"shards": 0}, {"splits": ("test",)}]
 )
 def test_bad_settings(bad):
     with pytest.raises(ValueError):
