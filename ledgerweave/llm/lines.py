@@ -12,8 +12,8 @@ they can still share (positional filter); the words that only one of them has sh
 bits of parity. A pair that passes is verified on the whole sets.
 
 A class needs one earlier match, not all of them: each prefix word first offers a class its
-three earliest partners, the two offered most often are verified, and only classes that are
-still without a match while they have more partners are compared with all of them. So copies with small edits do not give all
+three earliest partners, and only classes that are still without a match while they have
+more partners are compared with all of them. So copies with small edits do not give all
 pairs. A prefix word in very many classes is split: each class is a member of one part and
 is compared with all parts.
 
@@ -43,8 +43,8 @@ THRESHOLD = Fraction(4, 5)
 _COUNT_BITS, _PART_BITS = 18, 20
 # Bits of the filters for lines whose sets are wanted and for prefix words (8 MB).
 _FILTER_BITS = 26
-# Partners that a prefix word offers first, and how many of all offered are tried first.
-OFFERS, TRIED = 3, 2
+# Partners that a prefix word offers first.
+OFFERS = 3
 _STRIP = 1 << 18
 _LAST = (1 << 63) - 1
 
@@ -416,21 +416,41 @@ def wanted_sets(docs: DataFrame, text_hashes: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
     """sig and sig2 of the later classes that an earlier class is similar to. ``pairs``
     names classes by their parity bits."""
-    involved = pairs.select(F.col("later").alias("s")).union(pairs.select(F.col("earlier").alias("s"))).distinct()
+    ends = pairs.select(F.col("later").alias("s")).union(pairs.select(F.col("earlier").alias("s")))
+    involved = ends.distinct()
     known = classes.join(involved.hint("merge"), F.col("bits") == F.col("s"), "left_semi")
     sets = durable(
         wanted_sets(docs, known.select("text_hash"))
         .dropDuplicates(["sig", "sig2"])
-        .join(known.select(F.col("sig").alias("k"), F.col("sig2").alias("k2"), "bits", "doc", "line").hint("merge"), (F.col("sig") == F.col("k")) & (F.col("sig2") == F.col("k2")))
+        .join(known.select("sig", "sig2", "bits", "doc", "line").hint("merge"), ["sig", "sig2"])
         .select("bits", "words", F.struct("doc", "line", "bits", "sig", "sig2").alias("at")),
         "line-sets",
     )
-    a = sets.select(F.col("bits").alias("later"), F.col("words").alias("x"), F.col("at").alias("x_at"))
-    b = sets.select(F.col("bits").alias("earlier"), F.col("words").alias("y"), F.col("at").alias("y_at"))
-    both = pairs.join(a.hint("merge"), "later").join(b.hint("merge"), "earlier").where("y_at < x_at")
-    shared = F.size(F.array_intersect("x", "y"))
-    similar = shared * threshold.denominator >= (F.size("x") + F.size("y") - shared) * threshold.numerator
-    return both.where(similar).select("x_at.sig", "x_at.sig2").distinct()
+
+    def similar(x: Column, y: Column) -> Column:
+        # Words of x that look the same, which whole hashes never do, count as shared.
+        shared = F.size(F.array_intersect(x, y)) + F.size(x) - F.size(F.array_distinct(x))
+        return shared * threshold.denominator >= (F.size(x) + F.size(y) - shared) * threshold.numerator
+
+    def joined(pairs: DataFrame, on: str, name: str, words: Column) -> DataFrame:
+        side = sets.select(F.col("bits").alias(on), words.alias(name), F.col("at").alias(f"{name}_at"))
+        return pairs.join(side.hint("merge"), on)
+
+    # Half of each hash, cut to the same number of words, travels first: it can only make
+    # sets look more alike, and few pairs are left for the whole hashes.
+    half = F.transform("words", lambda w: F.shiftright(w, 32).cast("int"))
+    near = joined(joined(pairs, "later", "x", half), "earlier", "y", half)
+    near = durable(
+        near.where((F.col("y_at") < F.col("x_at")) & similar(F.col("x"), F.col("y")))
+        .select("later", "earlier")
+        .distinct(),
+        "line-near",
+    )
+    words = F.col("words")
+    both = joined(joined(near, "later", "x", words), "earlier", "y", words).where(
+        (F.col("y_at") < F.col("x_at")) & similar(F.col("x"), F.col("y"))
+    )
+    return both.select("x_at.sig", "x_at.sig2").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, part_rows: int = 20_000) -> DataFrame:
@@ -445,22 +465,9 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, part_rows: i
         "line-classes",
     )
     first = durable(offers(classes, threshold, OFFERS, part_rows), "line-offers")
-    # Of the partners offered, those are tried that the most prefix words have offered.
-    offered = first.groupBy("later", "earlier").agg(F.count("*").alias("by"), F.max("more").alias("more"))
-    ranked = offered.groupBy("later").agg(
-        F.sort_array(F.collect_list(F.struct("by", "earlier")), asc=False).alias("all"), F.max("more").alias("more")
-    )
-    tried = durable(
-        ranked.select(
-            "later",
-            F.transform(F.slice("all", 1, TRIED), lambda x: x["earlier"]).alias("tried"),
-            (F.col("more") | (F.size("all") > TRIED)).alias("more"),
-        ),
-        "line-tried",
-    )
-    pairs = tried.select("later", F.explode("tried").alias("earlier"))
+    pairs = first.select("later", "earlier").distinct()
     gone = durable(_verified(docs, classes, pairs, threshold), "line-gone")
-    more = tried.where("more").select(F.col("later").alias("s"))
+    more = first.where("more").select(F.col("later").alias("s")).distinct()
     open_ = durable(
         classes.join(more.hint("merge"), F.col("bits") == F.col("s"), "left_semi")
         .join(gone.hint("merge"), ["sig", "sig2"], "left_anti")
