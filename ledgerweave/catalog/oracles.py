@@ -775,12 +775,12 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         ("fractions",),
         """SELECT 'complete' AS "case", CAST(count(DISTINCT metric) AS INTEGER) AS "values",
                   CAST(NULL AS VARCHAR) AS reason, false AS refused FROM fractions
-           UNION ALL SELECT column0, 0, column1, true FROM (VALUES
+           UNION ALL SELECT v.name, 0, v.why, true FROM (VALUES
              ('bank missing', 'banks without a report'),
              ('field missing', 'masked field missing'),
              ('weights not positive', 'sum of weights is not positive'),
              ('update without rows', 'update without n_train'),
-             ('empty secret', 'no secure aggregation secret'))""",
+             ('empty secret', 'no secure aggregation secret')) AS v(name, why)""",
     ),
     "early_stopping": (
         ("stopped",),
