@@ -2,18 +2,24 @@
 
 Symbols are words (A-Z in lower case) and the end of a text. The tree's root holds the
 smoothed unigram distribution, (c + 1) / (N + V + 1), where the last of the V + 1 is all
-words never seen. A context of one or two words becomes a state if it is frequent enough
-(a share ``least_share`` of all tokens) and its next-symbol distribution diverges from that
-of the next shorter state (Kullback-Leibler, at least ``divergence`` nats). A state keeps
-the next symbols whose share of all tokens is ``least_pair`` or more, each discounted; the
-rest of its mass goes to the next shorter state, so every state is a distribution. A token
-is scored in the state of the longest suffix of what precedes it; before the first word of
-a text stands an end.
-
-Word counts are exact and cover every training document: each bundle of documents asks for
-the counts of its own words (see ``bundles``), so the counts are never in one place. What
-is broadcast is bounded by the two shares: at most 1/least_pair words, at most
-2/least_share states and 2/least_pair next symbols, whatever the size of the input.
+words never seen. A context becomes a state if some symbol follows it twice or more and its
+next-symbol distribution diverges from that of the next shorter state (Kullback-Leibler, at
+least ``divergence`` nats). A state keeps the next symbols seen twice or more, each
+discounted; the rest of its mass goes to the next shorter state, so every state is a
+distribution. All contexts of one and two words are looked at; a longer one where the context
+without its oldest word is a state, so contexts grow while they diverge, without a limit of
+their own. A token is scored in the state of the longest suffix of what precedes it; before
+the first word of a text stands an end.
+
+The tree is never in one place. Every bundle of documents asks for what it needs of it (see
+``bundles``), one depth after the other: first for the counts of its own contexts with their
+next symbols, then for the states among its contexts. For the second question each next
+symbol is sent by one of the bundles that hold it, so a context's part gets each only once.
+Counts are exact and cover every training document. The driver receives N, V and the number
+of states of each depth.
+
+``Growth`` can ask for more than two occurrences, as shares of all tokens, and for a greatest
+depth.
 
 Defined cases: a null text is empty and has one token, its end; repeated rows are trained on
 as often as they occur; without training documents N and V are 0 and only unknown words are
@@ -22,11 +28,13 @@ left (log10 of 1); an empty table gives no rows. Words are told apart by a 64-bi
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +51,7 @@ from ledgerweave.llm.text import lower_bytes, mixed, word_hashes
 from ledgerweave.sources.durable import durable
 
 BUNDLE_BYTES = 8 << 20
-LEAST_SHARE, LEAST_PAIR = 1e-4, 4e-6
+LEAST = 2
 DIVERGENCE, DISCOUNT = 0.02, 0.75
 
 END = np.uint64(0x5EED0F7E57E0F00D)
@@ -74,10 +82,8 @@ class Tokens:
         before = np.roll(self.symbol, 1)
         before[self.first] = END
         self.before = before
-        # The second word back; none where the text begins less than two words back.
-        self.older = np.roll(before, 1)
-        self.has_older = np.ones(len(is_end), dtype=bool)
-        self.has_older[self.first] = False
+        self.begins = np.zeros(len(is_end), dtype=bool)
+        self.begins[self.first] = True
 
 
 def unmixed(h: np.ndarray) -> np.ndarray:
@@ -89,14 +95,6 @@ def unmixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _where(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Place of each value in a sorted array, -1 if it is not there."""
-    if not len(sorted_):
-        return np.full(len(values), -1)
-    place = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[place] == values, place, -1)
-
-
 def _totals(values: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct, place = np.unique(np.concatenate(values), return_inverse=True)
     totals = np.zeros(len(distinct), dtype=np.int64)
@@ -111,10 +109,9 @@ def _counts(values: list[np.ndarray], numbers: list[np.ndarray]) -> list[bytes]:
     return [c.tobytes() for c in np.split(found, cuts)]
 
 
-def word_counts(bundles: DataFrame, parts: int, least: int) -> DataFrame:
+def word_counts(bundles: DataFrame, parts: int) -> DataFrame:
     """bundle, part, answer: the training counts of a bundle's words. Under bundle -1, for
-    each part: the number of distinct training words, then the words counted ``least``
-    times or more, then their counts."""
+    each part, the number of distinct training words."""
 
     def ask(row: dict):
         tokens = Tokens(Bundle.of(row))
@@ -122,224 +119,263 @@ def word_counts(bundles: DataFrame, parts: int, least: int) -> DataFrame:
         return values, np.bincount(place, tokens.train, len(values)).astype(np.int64)
 
     def summary(values, numbers) -> bytes:
-        distinct, totals, _ = _totals(values, numbers)
-        often = totals >= least
-        return (
-            np.array([(totals > 0).sum()], dtype=np.int64).tobytes()
-            + distinct[often].tobytes()
-            + totals[often].tobytes()
-        )
+        return (_totals(values, numbers)[1] > 0).sum().astype(np.int64).tobytes()
 
     return durable(answered(asked(bundles, ask, parts), _counts, summary), "word-counts")
 
 
-def _summaries(answers: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """V, and the frequent words (sorted) with their counts."""
-    distinct, words, counts = 0, [], []
-    for row in answers.where("bundle < 0").select("answer").toArrow()["answer"]:
-        whole = np.frombuffer(row.as_buffer(), dtype=np.int64)
-        half = (len(whole) - 1) // 2
-        distinct += int(whole[0])
-        words.append(whole[1 : 1 + half].view(np.uint64))
-        counts.append(whole[1 + half :])
-    words_, counts_ = (np.concatenate(x) if x else np.empty(0) for x in (words, counts))
-    order = np.argsort(words_)
-    return distinct, words_[order].astype(np.uint64), counts_[order].astype(np.int64)
-
-
-def followers(
-    bundles: DataFrame, words: np.ndarray, contexts: np.ndarray, parts: int, least: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of what follows contexts of frequent words ``least`` times or more
-    in the training documents. A key is (older * (C + 1) + before) * W + symbol, with the
-    places of the context words among C contexts (one more; ``older`` 0 for contexts of one
-    word) and of the symbol among W words. At most 2 / least_pair keys reach the driver."""
-    shared = bundles.sparkSession.sparkContext.broadcast((words, contexts))
-
-    def ask(row: dict):
-        words, contexts = shared.value
-        tokens = Tokens(Bundle.of(row))
-        values, place = np.unique(tokens.symbol, return_inverse=True)
-        symbol = _where(words, values)[place]
-        as_context = _where(contexts, values)[place] + 1
-        start = int(_where(contexts, np.array([END]))[0]) + 1
-        before = np.roll(as_context, 1)
-        before[tokens.first] = start
-        older = np.where(tokens.has_older, np.roll(before, 1), 0)
-        one = np.flatnonzero(tokens.train & (before > 0) & (symbol >= 0))
-        two = one[older[one] > 0]
-        low = before * len(words) + symbol
-        high = older[two] * ((len(contexts) + 1) * len(words))
-        keys = np.concatenate((low[one], high + low[two])).astype(np.uint64)
-        return np.unique(mixed(keys), return_counts=True)
-
-    def often(values, numbers) -> bytes:
-        distinct, totals, _ = _totals(values, numbers)
-        enough = totals >= least
-        return unmixed(distinct[enough]).tobytes() + totals[enough].tobytes()
-
-    found = durable(answered(asked(bundles, ask, parts), None, often), "follower-counts")
-    keys, counts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    for row in found.select("answer").toArrow()["answer"]:
-        whole = np.frombuffer(row.as_buffer(), dtype=np.int64)
-        keys.append(whole[: len(whole) // 2])
-        counts.append(whole[len(whole) // 2 :])
-    keys_, counts_ = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys_)
-    return keys_[order], counts_[order]
-
-
-@dataclass(frozen=True)
-class Tree:
-    """Sorted arrays. For each depth (1, 2): the contexts kept, the log10 of what each
-    passes on to the shorter state, the keys of (context, symbol) and their discounted
-    shares."""
-
-    tokens: int
-    distinct: int
-    contexts: tuple[np.ndarray, np.ndarray]
-    passed: tuple[np.ndarray, np.ndarray]
-    keys: tuple[np.ndarray, np.ndarray]
-    shares: tuple[np.ndarray, np.ndarray]
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 1) / (self.tokens + self.distinct + 1)
-
-    def extended(self, depth: int, context: np.ndarray, symbol: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probability of each symbol in the state of its context, where that is kept, and
-        as in the shorter state where it is not."""
-        state = _where(self.contexts[depth], context)
-        kept = np.flatnonzero(state >= 0)
-        out = shorter.copy()
-        entry = _where(self.keys[depth], joined(context[kept], symbol[kept]))
-        own = np.where(entry >= 0, self.shares[depth][np.maximum(entry, 0)] if len(self.shares[depth]) else 0.0, 0.0)
-        out[kept] = own + self.passed[depth][state[kept]] * shorter[kept]
-        return out
+def _summed(answers: DataFrame) -> int:
+    """Sum of the parts' own answers, one number each."""
+    rows = answers.where("bundle < 0").select("answer").toArrow()["answer"]
+    return sum(int(np.frombuffer(r.as_buffer(), dtype=np.int64)[0]) for r in rows)
 
 
 @dataclass(frozen=True)
 class Growth:
     """What a context needs to become a state: its share of all tokens, the share of all
-    tokens that a next symbol needs, the divergence, and the discount of a count."""
+    tokens that a next symbol needs (``LEAST`` occurrences at least), the divergence, the
+    discount of a count, and the greatest depth (None: while contexts diverge)."""
 
-    least_share: float = LEAST_SHARE
-    least_pair: float = LEAST_PAIR
+    least_share: float = 0.0
+    least_pair: float = 0.0
     divergence: float = DIVERGENCE
     discount: float = DISCOUNT
+    depth: int | None = 2
 
 
-def grown(
-    total: int,
-    distinct: int,
-    words: np.ndarray,
-    counts: np.ndarray,
-    contexts: np.ndarray,
-    keys: np.ndarray,
-    times: np.ndarray,
-    growth: Growth,
-) -> Tree:
-    """The tree, one depth after the other, from the word counts and ``followers``."""
-    none = np.empty(0)
-    tree = Tree(total, distinct, (none, none), (none, none), (none, none), (none, none))
-    width = len(words)
-    context_word = _where(words, contexts)
-    context, symbol = keys // max(width, 1), keys % max(width, 1)
-    older, before = context // (len(contexts) + 1), context % (len(contexts) + 1)
-    for depth in (0, 1):
-        at = np.flatnonzero((older > 0) == bool(depth))
-        if not len(at):
-            break
-        states, place = np.unique(context[at], return_inverse=True)
-        first, last = states // (len(contexts) + 1) - 1, states % (len(contexts) + 1) - 1
-        shorter = tree.root(counts[symbol[at]].astype(np.float64))
-        if depth:
-            # A context of two words occurs as often as its second follows its first.
-            spot = _where(keys, (first + 1) * width + context_word[last])
-            held = np.where(spot >= 0, times[np.maximum(spot, 0)], 0)
-            names = joined(contexts[first], contexts[last])
-            shorter = tree.extended(0, contexts[last][place], words[symbol[at]], shorter)
-        else:
-            held = counts[context_word[last]]
-            names = contexts[last]
-        share = (times[at] - growth.discount) / np.maximum(held, 1)[place]
-        rest = 1 - np.bincount(place, share, len(states))
-        other = np.clip(1 - np.bincount(place, shorter, len(states)), 1e-12, None)
-        full = share + np.clip(rest, 1e-12, None)[place] * shorter
-        gain = np.bincount(place, full * np.log(full / shorter), len(states))
+WHOLE = Growth(depth=None)
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+
+
+def _gathered(values: np.ndarray, parts: int, answers: list[dict] | None, width: int = 1) -> np.ndarray:
+    """The squeezed answers to the sorted ``values``, ``width`` numbers each."""
+    out = np.zeros((len(values), width), dtype=np.int64)
+    by_part = {a["part"]: a["answer"] for a in answers or ()}
+    for part, a, b in part_slices(values, parts):
+        raw = zstandard.ZstdDecompressor().decompress(by_part[part])
+        out[a:b] = np.frombuffer(raw, dtype=np.int64).reshape(-1, width)
+    return out
+
+
+def _followed(values: list[np.ndarray], numbers: list[np.ndarray]) -> list[bytes]:
+    """For each context with its next symbol twice its count, and one more in one of the
+    cells that hold it."""
+    together = np.concatenate(values)
+    distinct, first, place = np.unique(together, return_index=True, return_inverse=True)
+    totals = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(totals, place, np.concatenate(numbers))
+    found = 2 * totals[place]
+    found[first] += 1
+    cuts = np.cumsum([len(v) for v in values])[:-1]
+    return [_squeezed(c) for c in np.split(found, cuts)]
+
+
+# A count that was not asked for.
+_UNASKED = np.int64(1) << np.int64(62)
+
+
+@dataclass(frozen=True)
+class Grower:
+    """What every bundle knows of the tree's making."""
+
+    total: int
+    distinct: int
+    parts: tuple[int, int]
+    growth: Growth
+
+    @property
+    def least(self) -> int:
+        return max(LEAST, int(np.ceil(self.growth.least_pair * self.total)))
+
+    @property
+    def least_context(self) -> float:
+        return max(self.least, self.growth.least_share * self.total)
+
+    def states(self, values: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, int]:
+        """The contexts of each cell; for each of them, one cell after the other, its count,
+        the sum of its next symbols' counts and their number, zeros where it is no state; and
+        the number of states. ``numbers`` are pairs: a context's count in a bundle and 0, or
+        a next symbol's count and the bits of its share in the shorter state."""
+        together = np.concatenate(values)
+        pairs = np.concatenate(numbers).reshape(-1, 2)
+        distinct, place = np.unique(together, return_inverse=True)
+        own = np.flatnonzero(pairs[:, 1] == 0)
+        held = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(held, place[own], pairs[own, 0])
+        at = np.flatnonzero(pairs[:, 1] != 0)
+        at = at[np.lexsort((pairs[at, 1], pairs[at, 0], place[at]))]
+        context, times = place[at], pairs[at, 0]
+        shorter = np.ascontiguousarray(pairs[at, 1]).view(np.float64)
+        sums = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(sums, context, times)
+        kinds = np.bincount(context, minlength=len(distinct))
+        rest = self.rest(held, sums, kinds)
+        share = (times - self.growth.discount) / np.maximum(held, 1)[context]
+        other = np.clip(1 - np.bincount(context, shorter, len(distinct)), 1e-12, None)
+        full = share + np.clip(rest, 1e-12, None)[context] * shorter
+        gain = np.bincount(context, full * np.log(full / shorter), len(distinct)).astype(np.float64)
         # Symbols that are not kept one by one have their shorter share times ``rest``.
         gain += rest * other * np.log(np.clip(rest, 1e-12, None))
-        keep = (held >= growth.least_share * total) & (rest > 0) & (gain >= growth.divergence)
-        entry = keep[place]
-        entries = joined(names[place][entry], words[symbol[at]][entry])
-        order = np.argsort(entries)
-        chosen = np.flatnonzero(keep)[np.argsort(names[keep])]
-        tree = Tree(
-            total,
-            distinct,
-            _with(tree.contexts, depth, names[chosen]),
-            _with(tree.passed, depth, rest[chosen]),
-            _with(tree.keys, depth, entries[order]),
-            _with(tree.shares, depth, share[entry][order]),
-        )
-    return tree
-
-
-def _with(pair: tuple, depth: int, value: np.ndarray) -> tuple:
-    return tuple(value if i == depth else x for i, x in enumerate(pair))
+        keep = (held >= self.least_context) & (kinds > 0) & (rest > 0) & (gain >= self.growth.divergence)
+        table = np.stack((held, sums, kinds), axis=1) * keep[:, None]
+        return [table[np.searchsorted(distinct, np.unique(v))] for v in values], int(keep.sum())
+
+    def rest(self, held: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """What a state passes on to the shorter one."""
+        return 1 - (sums - kinds * self.growth.discount) / np.maximum(held, 1)
+
+
+class Walk:
+    """A bundle's way down the tree. ``chance`` is each token's probability in the longest
+    state so far; after ``steps`` answers ``values`` and ``numbers`` are the next question (none at the ``last``)."""
+
+    def __init__(self, grower: Grower, row: dict, steps: int, last: bool = False):
+        least, growth = grower.least, grower.growth
+        self.bundle = Bundle.of(row)
+        self.tokens = tokens = Tokens(self.bundle)
+        values, place = np.unique(tokens.symbol, return_inverse=True)
+        counts = np.zeros(len(values), dtype=np.int64)
+        by_part = {a["part"]: a["answer"] for a in row["counts"] or ()}
+        for part, a, b in part_slices(values, grower.parts[0]):
+            counts[a:b] = np.frombuffer(by_part[part], dtype=np.int64)
+        self.known = counts[place]
+        self.base = (self.known + 1.0) / (grower.total + grower.distinct + 1)
+        self.chance = self.base.copy()
+        parts = grower.parts[1]
+        # Of each token: its context of the depth, the counts of that and of the sequence
+        # that is one context word shorter, and whether to look at the context.
+        context, upto = tokens.before, self.known
+        held = np.roll(self.known, 1)
+        held[tokens.first] = self.known[tokens.last]
+        exists = np.ones(len(context), dtype=bool)
+        looked = exists
+        self.values = self.numbers = None
+        for depth in range(steps // 2 + 1):
+            look = np.flatnonzero(exists & looked & (held >= grower.least_context))
+            if last and steps == 2 * depth:
+                return
+            whole = look[upto[look] >= least]
+            keys, key = np.unique(joined(context[whole], tokens.symbol[whole]), return_inverse=True)
+            if steps == 2 * depth:
+                self.values = keys
+                self.numbers = np.bincount(key, tokens.train[whole], len(keys)).astype(np.int64)
+                return
+            times = _gathered(keys, parts, row[f"step{2 * depth}"])[:, 0]
+            mine, times = (times & 1) > 0, times >> 1
+            states, state = np.unique(context[look], return_inverse=True)
+            if steps == 2 * depth + 1:
+                sent = np.full(len(keys), -1)
+                sent[key] = whole
+                sent = sent[mine & (times >= least)]
+                number = times[mine & (times >= least)]
+                local = np.bincount(state, tokens.train[look], len(states)).astype(np.int64)
+                values = np.concatenate((states, context[sent]))
+                order = np.argsort(values, kind="stable")
+                bits = np.concatenate((np.zeros(len(states), np.int64), self.chance[sent].view(np.int64)))
+                self.values = values[order]
+                self.numbers = np.stack((np.concatenate((local, number)), bits), axis=1)[order]
+                return
+            found = _gathered(states, parts, row[f"step{2 * depth + 1}"], 3)
+            count, sums, kinds = found.T
+            kept = kinds > 0
+            # What was left out although it may be frequent was not asked for.
+            after = np.where(exists & ~looked & (held >= grower.least_context) & (upto >= least), _UNASKED, 0)
+            after[whole] = times[key]
+            share = np.zeros(len(context))
+            enough = times[key] >= least
+            share[whole[enough]] = times[key][enough] - growth.discount
+            at = look[kept[state]]
+            own = state[kept[state]]
+            rest = grower.rest(count, sums, kinds)
+            self.chance[at] = share[at] / count[own] + rest[own] * self.chance[at]
+            is_state = np.zeros(len(context), dtype=bool)
+            is_state[at] = True
+            looked = is_state if depth else np.ones(len(context), dtype=bool)
+            context = np.roll(joined(context, tokens.symbol), 1)
+            held = np.roll(after, 1)
+            exists = np.roll(exists, 1)
+            exists[tokens.first] = False
+            upto = after
+
+
+def _freed(spark) -> None:
+    """Lets Spark delete the shuffle files of steps that are stored and done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def scored(docs: DataFrame, held_out: Column, growth: Growth | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score. Documents for which ``held_out`` holds are not learned from."""
-    growth = growth or Growth()
+    growth = growth or WHOLE
+    spark = docs.sparkSession
     bundles = bundled(docs, BUNDLE_BYTES, lower_bytes, held_out)
     trained = F.size(F.filter("flags", lambda x: ~x))
     size, total = bundles.agg(
         F.coalesce(F.sum("n_words"), F.lit(0)),
         F.coalesce(F.sum(F.col("n_words") - F.col("n_marked") + trained), F.lit(0)),
     ).first()
-    parts = parts_for(size / 8)
-    least = max(2, int(np.ceil(growth.least_pair * total)))
-    answers = word_counts(bundles, parts, least)
-    distinct, words, counts = _summaries(answers)
-    contexts = words[counts >= growth.least_share * total]
-    keys, times = followers(bundles, words, contexts, parts_for(size / 4), least)
-    tree = grown(total, distinct, words, counts, contexts, keys, times, growth)
-    shared = docs.sparkSession.sparkContext.broadcast(astuple(tree))
+    parts = parts_for(size / 8), parts_for(size / 2)
+    answers = word_counts(bundles, parts[0])
+    grower = Grower(total, _summed(answers), parts, growth)
+    known = with_answers(bundles, answers, "counts")
+    steps = 0
+    while growth.depth is None or steps < 2 * growth.depth:
+
+        def ask(row: dict, steps: int = steps):
+            walk = Walk(grower, row, steps)
+            return walk.values, walk.numbers
+
+        counts = durable(answered(asked(known, ask, parts[1]), _followed), f"suffix-counts-{steps // 2 + 1}")
+        known = with_answers(known, counts, f"step{steps}")
+        _freed(spark)
+
+        def ask_states(row: dict, steps: int = steps + 1):
+            walk = Walk(grower, row, steps)
+            return walk.values, walk.numbers
+
+        made = [0]
+
+        def states_of(values, numbers, made: list = made) -> list[bytes]:
+            tables, made[0] = grower.states(values, numbers)
+            return [_squeezed(t) for t in tables]
+
+        def number_of(values, numbers, made: list = made) -> bytes:
+            """Called after ``states_of`` for the same part."""
+            return np.array(made, dtype=np.int64).tobytes()
+
+        cells = asked(known, ask_states, parts[1])
+        found = durable(answered(cells, states_of, number_of), f"suffix-states-{steps // 2 + 1}")
+        _freed(spark)
+        if not _summed(found):
+            # No context of this depth diverges: neither will a longer one be looked at.
+            break
+        known = with_answers(known, found, f"step{steps + 1}")
+        steps += 2
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(*shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                bundle = Bundle.of(row)
-                tokens = Tokens(bundle)
-                values, place = np.unique(tokens.symbol, return_inverse=True)
-                found = np.zeros(len(values), dtype=np.int64)
-                by_part = {a["part"]: a["answer"] for a in row["counts"] or ()}
-                for part, a, b in part_slices(values, parts):
-                    found[a:b] = np.frombuffer(by_part[part], dtype=np.int64)
-                known = found[place]
-                base = tree.root(known.astype(np.float64))
-                one = tree.extended(0, tokens.before, tokens.symbol, base)
-                two = one.copy()
-                deep = np.flatnonzero(tokens.has_older)
-                context = joined(tokens.older[deep], tokens.before[deep])
-                two[deep] = tree.extended(1, context, tokens.symbol[deep], one[deep])
+                walk = Walk(grower, row, steps, last=True)
+                tokens, bundle = walk.tokens, walk.bundle
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bundle.ids, pa.int64()),
                         pa.array(bundle.flags, pa.bool_()),
                         pa.array(tokens.length.astype(np.int64)),
-                        pa.array(np.add.reduceat((known > 0).astype(np.int64), tokens.first)),
-                        pa.array(np.full(len(bundle.ids), tree.tokens, dtype=np.int64)),
-                        pa.array(np.add.reduceat(np.log10(base), tokens.first)),
-                        pa.array(np.add.reduceat(np.log10(two), tokens.first)),
+                        pa.array(np.add.reduceat((walk.known > 0).astype(np.int64), tokens.first)),
+                        pa.array(np.full(len(bundle.ids), total, dtype=np.int64)),
+                        pa.array(np.add.reduceat(np.log10(walk.base), tokens.first)),
+                        pa.array(np.add.reduceat(np.log10(walk.chance), tokens.first)),
                     ],
                     names=_COLUMNS,
                 )
 
-    return with_answers(bundles, answers, "counts").mapInArrow(
+    return known.mapInArrow(
         score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
@@ -347,4 +383,3 @@ def scored(docs: DataFrame, held_out: Column, growth: Growth | None = None) -> D
 
 
 _COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-

@@ -143,3 +143,68 @@ def test_no_training_rows(spark, no_docs):
 def test_unmixed():
     values = np.random.default_rng(0).integers(0, 2**64, 100, dtype=np.uint64)
     assert np.array_equal(tree.unmixed(tree.mixed(values)), values)
+
+
+def deep(rows, held, divergence=tree.DIVERGENCE, discount=tree.DISCOUNT):
+    """What ``WHOLE`` asks for, with dictionaries: scores by row, and the states."""
+    texts = [(d, words_of(t, lower=True) + [None]) for d, t in rows]
+    train = [w for d, w in texts if not held(d)]
+    c = Counter(x for w in train for x in w)
+    n, v = sum(c.values()), len(c)
+    states = {}
+
+    def prob(context, x):
+        if not context:
+            return (c[x] + 1) / (n + v + 1)
+        if context not in states:
+            return prob(context[1:], x)
+        rest, own = states[context]
+        return own.get(x, 0.0) + rest * prob(context[1:], x)
+
+    depth = 0
+    while True:
+        depth += 1
+        nexts = {}
+        for w in train:
+            before = [None, *w]
+            for i in range(depth - 1, len(w)):
+                s = tuple(before[i - depth + 1 : i + 1])
+                if depth < 3 or s[1:] in states:
+                    nexts.setdefault(s, Counter())[w[i]] += 1
+        fresh = {}
+        for s, followers in nexts.items():
+            held_n = sum(followers.values())
+            own = {x: (k - discount) / held_n for x, k in followers.items() if k >= 2}
+            rest = 1 - sum(own.values())
+            short = {x: prob(s[1:], x) for x in own}
+            gain = sum((own[x] + rest * short[x]) * math.log((own[x] + rest * short[x]) / short[x]) for x in own)
+            gain += rest * max(1 - sum(short.values()), 1e-12) * math.log(rest) if own else 0
+            if own and gain >= divergence:
+                fresh[s] = (rest, own)
+        if not fresh:
+            break
+        states.update(fresh)
+    out = {}
+    for d, w in texts:
+        before = [None, *w]
+        score = sum(math.log10(prob(tuple(before[max(0, i - depth + 1) : i + 1]), x)) for i, x in enumerate(w))
+        out.setdefault(d, []).append(score)
+    return out, states
+
+
+def test_whole_tree_has_rare_and_deep_contexts(small_docs, monkeypatch):
+    from ledgerweave.llm import bundles
+
+    monkeypatch.setattr(tree, "BUNDLE_BYTES", 60_000)
+    monkeypatch.setattr(bundles, "PART_ENTRIES", 5_000)
+    rows = [(r["doc_id"], r["text"]) for r in small_docs.collect()]
+    expect, states = deep(rows, py_held)
+    assert max(len(s) for s in states) > 2
+    got = {}
+    for r in tree.scored(small_docs, spark_held()).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    assert got.keys() == expect.keys()
+    for d in expect:
+        assert sorted(got[d]) == pytest.approx(sorted(expect[d]), rel=1e-9)
+    half, fewer = deep(rows[: len(rows) // 2], py_held)
+    assert len(states) > 1.5 * len(fewer)
