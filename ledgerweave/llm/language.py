@@ -109,9 +109,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 _CLASSES = 4
-# Limits are never stricter than these, shortest texts first: a few words share little
-# with any centroid. A cosine below one in twenty is no more than stray n-grams.
+# Limits of length classes that have too few texts to show one, shortest texts first: a few
+# words share little with any centroid. A cosine below one in twenty is no more than stray
+# n-grams.
 _LENIENT = np.array([0.95, 0.9, 0.8, 0.7])
+# Texts that show a limit, and the quantile of their distances that it follows.
+_ENOUGH, _QUANTILE = 20, 0.995
+_FOLDS = 5
 
 
 def _length_class(letters: np.ndarray) -> np.ndarray:
@@ -138,38 +142,60 @@ def _clustered(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centroids
 
 
+def _unseen_distances(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Distance of each text from the centroids of the other folds' texts. (A text is too
+    near to centroids that it takes part in.)"""
+    fold = np.arange(len(rows)) % min(_FOLDS, len(rows))
+    out = np.full(len(rows), np.nan)
+    for f in range(fold.max() + 1 if len(rows) > 1 else 0):
+        found = _clustered(rows[fold != f], k, seed)
+        out[fold == f] = 1 - (rows[fold == f] @ found.T).max(axis=1)
+    return out
+
+
+def _limits(distance: np.ndarray, classes: np.ndarray, languages: np.ndarray, n: int, slack: float) -> np.ndarray:
+    """By language and length class, ``slack`` times a high quantile of the distances. Where
+    a language has too few texts in a class, those of all languages are taken, and the fixed
+    limit where they are too few as well."""
+    out = np.tile(_LENIENT, (n, 1))
+    measured = ~np.isnan(distance)
+    for c in range(_CLASSES):
+        here = measured & (classes == c)
+        for i in range(n):
+            for texts in (here & (languages == i), here):
+                if texts.sum() >= _ENOUGH:
+                    out[i, c] = min(slack * np.quantile(distance[texts], _QUANTILE), 0.95)
+                    break
+    return out
+
+
 def fitted(
     labels: list[str], counts: np.ndarray, letters: np.ndarray, centroids_per_language: int, slack: float
 ) -> Model:
-    """The model of labelled n-gram counts. A language rejects beyond ``slack`` times the
-    largest distance of its training texts of the same length class; a class without
-    texts takes the limit of the next shorter or longer one that has some."""
+    """The model of labelled n-gram counts. A language rejects beyond ``slack`` times a high
+    quantile of what its training texts of the same length class are distant from centroids
+    that they take no part in (see ``_limits``)."""
     languages = tuple(sorted(set(labels)))
     seen = (counts > 0).sum(axis=0) if len(labels) else np.zeros(PLACES)
     idf = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
     rows = _unit(np.log1p(counts) * idf) if len(labels) else counts
     names = np.array(labels)
     centroids, owner = [], []
-    limits = np.full((len(languages), _CLASSES), np.nan)
+    number = np.zeros(len(labels), dtype=np.int64)
+    distance = np.full(len(labels), np.nan)
     for i, language in enumerate(languages):
         own = names == language
         found = _clustered(rows[own], centroids_per_language, seed=i)
         centroids.append(found)
         owner += [i] * len(found)
-        distance = 1 - (rows[own] @ found.T).max(axis=1)
-        classes = _length_class(letters[own])
-        for c in np.unique(classes):
-            limits[i, c] = slack * distance[classes == c].max()
-        known = np.flatnonzero(~np.isnan(limits[i]))
-        for c in range(_CLASSES):
-            if np.isnan(limits[i, c]):
-                limits[i, c] = limits[i, known[np.abs(known - c).argmin()]]
+        number[own] = i
+        distance[own] = _unseen_distances(rows[own], centroids_per_language, seed=i)
     return Model(
         languages,
         idf,
         np.concatenate(centroids) if centroids else np.empty((0, PLACES), dtype=np.float32),
         np.array(owner, dtype=np.int64),
-        np.clip(limits, _LENIENT, 0.95),
+        _limits(distance, _length_class(letters), number, len(languages), slack),
     )
 
 

@@ -61,3 +61,22 @@ def test_counts_do_not_depend_on_strips(monkeypatch):
     monkeypatch.setattr(language, "_STRIP", 100)
     again, same = language.ngram_counts(text)
     assert np.array_equal(whole, again) and letters == same == sum(c.isalpha() for c in text.lower())
+
+
+def test_short_foreign_and_random_texts_are_rejected(spark, small_dir):
+    docs = spark.read.parquet(small_dir.replace("0.001", "0.01") + "/documents.parquet")
+    learned = language.learn(docs)
+    polish = (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni "
+        "rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    )
+    finnish = (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu "
+        "järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    )
+    rng = np.random.default_rng(3)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 330))
+    texts = [polish, finnish, letters, polish * 2, finnish * 4, letters * 3]
+    assert learned.predict(texts)[2].all()
+    kept = ~language.predicted(docs, learned, "doc_id").toPandas()["rejected"].to_numpy()
+    assert kept.mean() > 0.98
