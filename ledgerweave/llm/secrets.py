@@ -4,10 +4,15 @@ Base patterns name the usual shapes of credentials. Beside them, every maximal r
 or more base64-like characters is tested: its encoding is inferred from its characters;
 chi-squared uniformity over that alphabet, a runs test on the upper against the lower
 half of the alphabet, and lag-1 serial correlation must all agree with randomness. A run
-counts as found when, besides, the hypothesis that it is ordinary text is rejected: text
-leaves a chi-squared statistic that grows with its length, so short runs cannot reject
-it. These rejections are controlled for false discovery (Benjamini-Hochberg) within
-each encoding and length class, over all documents.
+counts as found when, besides, the hypothesis that it is ordinary text is rejected. That has two
+kinds of evidence, of which the stronger counts (its p-value doubled): text leaves a
+chi-squared statistic that grows with its length, which tells long runs; and text follows
+the letter pairs of the other candidates of the table, changes of case and class included,
+while a random run does not. The p-value of the pairs is the square root of the likelihood
+ratio of text to random, which no text beats more often than that says (Markov); the root
+allows for text whose unusual pairs come together. Pairs are counted once for each distinct
+candidate, and a run's own are left out. The rejections are controlled for false discovery
+(Benjamini-Hochberg) within each encoding and length class, over all documents.
 
 Defined cases: a null text is empty; an empty table gives no rows; repeated rows are
 judged alike, each row by itself; other columns of the input are ignored.
@@ -62,6 +67,10 @@ _SPAN = "struct<start:int,kind:int,end:int>"
 # Steps of -log10(p) in which p-values are counted.
 _BIN = 0.05
 _BINS = 400
+# The characters of candidates, and how many letters after a character weigh as much as
+# what the random hypothesis expects there.
+_ALL = _UPPER + _LOWER + _DIGITS + "+/_=-"
+_PRIOR = 32.0
 
 
 def _located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -110,12 +119,83 @@ def _chosen(encoding: Column, values: dict[str, object]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), encoding)
 
 
-def with_battery(runs: DataFrame) -> DataFrame:
-    """Adds encoding, the three test p-values and the text hypothesis' p-value to rows
-    that hold a run of characters in ``value``."""
+def _named(runs: DataFrame) -> DataFrame:
+    """Adds the run without padding, and its encoding."""
     encoding = F.lit("base64")
     for name, shape in reversed(_SHAPES):
         encoding = F.when(F.col("bare").rlike(shape), name).otherwise(encoding)
+    return runs.withColumn("bare", F.regexp_replace("value", "=+$", "")).withColumn("encoding", encoding)
+
+
+def _pairs(text: Column) -> Column:
+    """Number of each pair of neighbouring characters."""
+    at = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(_ALL), c))
+    return F.zip_with(
+        F.slice(at, 1, F.size(at) - 1),
+        F.slice(at, 2, F.size(at) - 1),
+        lambda x, y: (x - 1) * len(_ALL) + y - 1,
+    )
+
+
+def pair_counts(runs: DataFrame) -> DataFrame:
+    """One row: in how many runs each pair occurs (an array by number), the sums by first
+    character, and the number of runs of each encoding."""
+    named = _named(runs)
+    square = len(_ALL) * len(_ALL)
+
+    def as_map(key: str) -> Column:
+        return F.map_from_entries(F.collect_list(F.struct(key, "held")))
+
+    pairs = (
+        named.select(F.explode(F.array_distinct(_pairs(F.col("bare")))).alias("pair"))
+        .groupBy("pair")
+        .agg(F.count("*").alias("held"))
+        .agg(as_map("pair").alias("by_pair"))
+        .select(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(square - 1)),
+                lambda i: F.coalesce(F.try_element_at("by_pair", i), F.lit(0)).cast("double"),
+            ).alias("by_pair")
+        )
+    )
+    encodings = named.groupBy("encoding").agg(F.count("*").alias("held")).agg(as_map("encoding").alias("by_encoding"))
+    by_first = F.transform(
+        F.sequence(F.lit(0), F.lit(len(_ALL) - 1)),
+        lambda a: F.aggregate(F.slice("by_pair", a * len(_ALL) + 1, len(_ALL)), F.lit(0.0), lambda s, x: s + x),
+    )
+    return pairs.select("by_pair", by_first.alias("by_first")).crossJoin(encodings)
+
+
+def with_pair_evidence(tested: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``p_pairs`` to rows of ``with_battery``, from the one row of ``pair_counts``."""
+
+    def ratio(pair: Column) -> Column:
+        """log of the pair's probability in text over that in a random run."""
+        others = F.get("by_pair", pair) - 1
+        first = F.get("by_first", F.floor(pair / len(_ALL)).cast("int")) - F.col("own")
+        share = (others + _PRIOR / F.col("size")) / (F.greatest(first, others) + _PRIOR)
+        return F.log(share) + F.log(F.col("size").cast("double"))
+
+    total = F.aggregate(F.map_values("by_encoding"), F.lit(0.0), lambda s, x: s + x)
+    # Text is as likely among the runs of its encoding as its pairs say, or more.
+    narrowed = F.log(total / F.element_at("by_encoding", F.col("encoding")))
+    foreign = F.length(F.call_function("translate", F.col("bare"), F.col("letters"), F.lit(""))) > 0
+    return (
+        tested.crossJoin(counts)
+        .withColumn("pairs", _pairs(F.col("bare")))
+        .withColumn("own", F.size(F.array_distinct("pairs")))
+        .withColumn("ratio", narrowed + F.aggregate("pairs", F.lit(0.0), lambda s, x: s + ratio(x)))
+        .withColumn(
+            "p_pairs",
+            F.when(foreign, 1.0).otherwise(F.exp(F.least(F.col("ratio"), F.lit(0.0)) / 2)),
+        )
+        .drop("by_pair", "by_first", "by_encoding", "pairs", "own", "ratio")
+    )
+
+
+def with_battery(runs: DataFrame) -> DataFrame:
+    """Adds encoding, the three test p-values and the text hypothesis' p-value to rows
+    that hold a run of characters in ``value``."""
     halves = {
         name: "L" * (len(letters) // 2) + "H" * (len(letters) - len(letters) // 2)
         for name, (letters, _) in ALPHABETS.items()
@@ -151,8 +231,7 @@ def with_battery(runs: DataFrame) -> DataFrame:
         return F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
 
     return (
-        runs.withColumn("bare", F.regexp_replace("value", "=+$", ""))
-        .withColumn("encoding", encoding)
+        _named(runs)
         .withColumn("letters", _chosen(F.col("encoding"), {k: v[0] for k, v in ALPHABETS.items()}))
         .withColumn("size", F.length("letters"))
         .withColumn("excess", _chosen(F.col("encoding"), {k: v[1] for k, v in ALPHABETS.items()}))
@@ -233,10 +312,15 @@ def found_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.001) ->
         ).alias("spots"),
     )
     scanned = durable(scanned, "secret-spots")
-    tested = with_battery(
+    values = durable(
         scanned.select(F.explode(F.array_distinct(F.transform("spots", lambda s: s["value"]))).alias("value"))
         .groupBy("value")
-        .agg(F.count("*").alias("docs"))
+        .agg(F.count("*").alias("docs")),
+        "secret-values",
+    )
+    counts = durable(pair_counts(values), "secret-pairs")
+    tested = with_pair_evidence(with_battery(values), counts).withColumn(
+        "p_text", F.least(2 * F.least("p_text", "p_pairs"), F.lit(1.0))
     )
     tested = tested.select(
         "value",

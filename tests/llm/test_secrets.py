@@ -91,3 +91,40 @@ def test_rows(no_docs, edge_docs, edge_rows):
 def test_main_path_has_no_python(spark, small_docs):
     plan = secrets.found_secrets(small_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_rare_keys_among_names_and_paths(spark):
+    """Recall by length and encoding where one candidate in some hundred is a key."""
+    rng = random.Random(11)
+    alphabets = {
+        "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+        "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    }
+    words = (
+        "the of and in is this with from table water winter mountain letter number value index parser "
+        "client server request response handler config module package vendor driver session buffer"
+    ).split()
+    shapes = (
+        lambda w: "_".join(w),
+        lambda w: "/".join(w),
+        lambda w: "-".join(w) + str(rng.randrange(10_000)),
+        lambda w: "".join(x.title() for x in w),
+        lambda w: "".join(w),
+    )
+    texts = [rng.choice(shapes)([rng.choice(words) for _ in range(rng.randrange(4, 7))]) for _ in range(6000)]
+    keys = {
+        (name, n): ["".join(rng.choice(letters) for _ in range(n)) for _ in range(5)]
+        for name, letters in alphabets.items()
+        for n in (20, 32, 40)
+    }
+    flat = [k for some in keys.values() for k in some]
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts + flat)], "doc_id long, text string")
+    hits = {
+        r["text"][s["start"] : s["end"]]
+        for r in secrets.found_secrets(frame).join(frame, "doc_id").collect()
+        for s in r["all_spans"]
+        if s["kind"] == 3
+    }
+    recall = {k: sum(x in hits for x in some) for k, some in keys.items()}
+    assert min(recall.values()) >= 4, recall
+    assert len(hits - set(flat)) <= 2
