@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, a training mix out.
 
 Each stage works on all that its predecessor kept and returns the columns of documents,
-apart from the last, which returns the blocks of the mix.
+apart from the last, which returns the blocks of the mix. Every stage's result but the last
+is written as Parquet and read again as the next one's documents.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm import decontaminate, language, lines, mixing, simhash
 from ledgerweave.llm.queries import benchmark, documents
+from ledgerweave.sources.durable import durable
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *earlier, (_, last) = STAGES
+    for name, stage in earlier:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
