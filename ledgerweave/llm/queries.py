@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import archives, decontaminate, fingerprints, language, lines, mixing, phrases, secrets, simhash, suffix_tree
+from ledgerweave.llm.oracles import ORACLES  # noqa: F401
+from ledgerweave.llm import archives, decontaminate, fingerprints, language, lines, mixing, phrases, ranking, secrets, simhash, suffix_tree
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_phrases": op1_repeated_phrases,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op12_ranked_search": op12_ranked_search,
 }
 
-ORACLES: dict[str, str] = {}
