@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.oracles import ORACLES  # noqa: F401
-from ledgerweave.llm import archives, decontaminate, fingerprints, language, lines, mixing, phrases, ranking, secrets, simhash, suffix_tree
+from ledgerweave.llm import archives, decontaminate, fingerprints, language, lines, minhash, mixing, phrases, ranking, secrets, simhash, suffix_tree
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_phrases": op1_repeated_phrases,
     "op2_line_dedup": op2_line_dedup,
@@ -92,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
     "op12_ranked_search": op12_ranked_search,
+    "op13_minhash": op13_minhash,
 }
 

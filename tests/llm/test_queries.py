@@ -44,6 +44,7 @@ CONTRACT = {
         "near_next": "double",
     },
     10: {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    13: {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     12: {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
 
