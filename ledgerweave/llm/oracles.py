@@ -4,6 +4,58 @@ from __future__ import annotations
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# CRC-32 of an ASCII string, bit by bit.
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}, ''),
+        lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, v: CASE WHEN v >= 0 THEN xor(a, v)
+        ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295::BIGINT)"""
+
+PREFIX_TRIE = rf"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS nth,
+        sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+    SELECT conv_id, list(digest ORDER BY nth) AS digests, list(words ORDER BY nth) AS words,
+        {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h
+    FROM turns GROUP BY conv_id
+),
+rebuilt AS (
+    SELECT o.conv_id,
+        list_concat(coalesce(b.digests, [])[1:o.h], o.digests[o.h + 1:]) AS digests,
+        list_concat(coalesce(b.words, [])[1:o.h], o.words[o.h + 1:]) AS words
+    FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+),
+members AS (
+    SELECT conv_id, depth, sha256(array_to_string(digests[1:depth], ',')) AS node,
+        CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS words, depth = len(digests) AS ends,
+        CASE WHEN depth > 0 THEN sha256(array_to_string(digests[1:depth - 1], ',')) END AS above
+    FROM (SELECT *, unnest(range(0, len(digests) + 1)) AS depth FROM rebuilt)
+),
+nodes AS (
+    SELECT node, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+        (count(*) - 1) * any_value(words) AS own,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY node, depth
+),
+children AS (SELECT above AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above, depth),
+totals AS (
+    SELECT m.node, m.depth, sum(n.own) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+    FROM nodes n
+    JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth
+    LEFT JOIN children c ON c.node = n.node AND c.depth = n.depth
+    GROUP BY m.node, m.depth
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+    coalesce(c.n, 0) AS n_children, t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t USING (node, depth)
+LEFT JOIN nodes p ON p.node = n.above AND p.depth = n.depth - 1
+LEFT JOIN children c ON c.node = n.node AND c.depth = n.depth
+"""
+
 RANKED_SEARCH = rf"""
 WITH doc_terms AS (
     SELECT row, doc_id, unnest(terms) AS term, len(terms) AS n
@@ -70,6 +122,7 @@ FROM sets LEFT JOIN least USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": PREFIX_TRIE,
     "op12_ranked_search": RANKED_SEARCH,
     "op13_minhash": MINHASH,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.oracles import ORACLES  # noqa: F401
-from ledgerweave.llm import archives, decontaminate, fingerprints, language, lines, minhash, mixing, phrases, ranking, secrets, simhash, suffix_tree
+from ledgerweave.llm import archives, conversations, decontaminate, fingerprints, language, lines, minhash, mixing, phrases, ranking, secrets, simhash, suffix_tree
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash": op10_simhash,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_minhash": op13_minhash,
 }

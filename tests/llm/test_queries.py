@@ -44,6 +44,16 @@ CONTRACT = {
         "near_next": "double",
     },
     10: {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    11: {
+        "conv_id": "bigint",
+        "depth": "bigint",
+        "parent_conv_id": "bigint",
+        "n_convs": "bigint",
+        "n_children": "bigint",
+        "n_leaves": "bigint",
+        "saved_tokens": "bigint",
+        "ends_sha256": "string",
+    },
     13: {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     12: {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
@@ -59,7 +69,7 @@ def test_columns(spark, small_dir, number):
     query = next(q for n, q in QUERIES.items() if n.startswith(f"op{number}_"))
     frame = query(spark, small_dir)
     assert CONTRACT[number].items() <= dict(frame.dtypes).items()
-    if number == 12:
+    if number in (11, 12):
         return
     table = "pages" if number == 3 else "documents"
     assert frame.count() == spark.read.parquet(f"{small_dir}/{table}.parquet").count()
