@@ -8,6 +8,7 @@ window over the whole bank.
 from __future__ import annotations
 
 from ledgerweave.catalog import fixed_models as fixed
+from ledgerweave.catalog import training_sql as training
 
 BANKS = ("bank_l", "bank_m", "bank_s")
 SECRET = "shared test secret"
@@ -202,6 +203,41 @@ def _gradient(members: str, source: str) -> str:
       ON {same} AND g.idx = w.idx"""
 
 
+def _tested(prefix: str, scores: str) -> str:
+    """Test metrics per model and bank at the threshold chosen on validation, from the steps
+    of :func:`_metric_steps`."""
+    best, losses, ranking = f"{prefix}best", f"{prefix}losses", f"{prefix}ranking"
+    return f"""SELECT *, CASE WHEN test_p + test_r > 0 THEN 2 * test_p * test_r / (test_p + test_r)
+                          ELSE 0 END AS test_f1
+           FROM (SELECT l.model, l.bank_id, l.n AS test_n, l.pos AS test_pos,
+                        v.thr AS val_threshold, v.precision AS val_p, v.recall AS val_r,
+                        v.f1 AS val_f1, r.ap AS test_ap, r.auc AS test_roc_auc,
+                        CASE WHEN h.hits > 0 THEN h.tp / CAST(h.hits AS DOUBLE) ELSE 0 END AS test_p,
+                        CASE WHEN l.pos > 0 THEN h.tp / CAST(l.pos AS DOUBLE) ELSE 0 END AS test_r,
+                        l.wloss_sum / l.w_sum AS test_wlogloss
+                 FROM {losses} l JOIN {ranking} r USING (model, bank_id, split)
+                 JOIN {best} v ON v.model = l.model AND v.bank_id = l.bank_id AND v.split = 'val'
+                 JOIN (SELECT s.model, s.bank_id, count(*) FILTER (WHERE s.score >= t.thr) AS hits,
+                              count(*) FILTER (WHERE s.score >= t.thr AND s.y = 1) AS tp
+                       FROM {scores} s JOIN {best} t
+                         ON t.model = s.model AND t.bank_id = s.bank_id AND t.split = 'val'
+                       WHERE s.split = 'test' GROUP BY 1, 2) h
+                   ON h.model = l.model AND h.bank_id = l.bank_id
+                 WHERE l.split = 'test')"""
+
+
+def _metric_steps(prefix: str, scores: str, keys: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Curve, rates, best threshold, losses and ranking metrics of scored rows."""
+    curve, rated = f"{prefix}curve", f"{prefix}rated"
+    return {
+        curve: ((scores,), _curve(scores, keys)),
+        rated: ((curve,), _rates(curve)),
+        f"{prefix}best": ((rated,), _best(rated, keys)),
+        f"{prefix}losses": ((scores,), _loss_sums(scores, keys)),
+        f"{prefix}ranking": ((curve,), f"SELECT {keys}, {AP} AS ap, {AUC} AS auc FROM {curve} GROUP BY {keys}"),
+    }
+
+
 # name -> (CTEs it reads, SQL)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "accounts": (
@@ -363,14 +399,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "shared": (("scores",), "SELECT * FROM scores WHERE model = 'global'"),
     "val_scores": (("scores",), "SELECT * FROM scores WHERE split = 'val'"),
-    "curve": (("scores",), _curve("scores", "model, bank_id, split")),
-    "rated": (("curve",), _rates("curve")),
-    "best": (("rated",), _best("rated", "model, bank_id, split")),
-    "losses": (("scores",), _loss_sums("scores", "model, bank_id, split")),
-    "ranking": (
-        ("curve",),
-        f"SELECT model, bank_id, split, {AP} AS ap, {AUC} AS auc FROM curve GROUP BY 1, 2, 3",
-    ),
+    **_metric_steps("", "scores", "model, bank_id, split"),
     "validated": (
         ("best", "losses", "ranking"),
         """SELECT l.model, l.bank_id, l.n, l.pos, r.ap, r.auc, b.thr, b.precision AS p,
@@ -378,26 +407,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
            FROM losses l JOIN ranking r USING (model, bank_id, split)
            JOIN best b USING (model, bank_id, split) WHERE l.split = 'val'""",
     ),
-    "tested": (
-        ("best", "losses", "ranking", "scores"),
-        """SELECT *, CASE WHEN test_p + test_r > 0 THEN 2 * test_p * test_r / (test_p + test_r)
-                          ELSE 0 END AS test_f1
-           FROM (SELECT l.model, l.bank_id, l.n AS test_n, l.pos AS test_pos,
-                        v.thr AS val_threshold, v.precision AS val_p, v.recall AS val_r,
-                        v.f1 AS val_f1, r.ap AS test_ap, r.auc AS test_roc_auc,
-                        CASE WHEN h.hits > 0 THEN h.tp / CAST(h.hits AS DOUBLE) ELSE 0 END AS test_p,
-                        CASE WHEN l.pos > 0 THEN h.tp / CAST(l.pos AS DOUBLE) ELSE 0 END AS test_r,
-                        l.wloss_sum / l.w_sum AS test_wlogloss
-                 FROM losses l JOIN ranking r USING (model, bank_id, split)
-                 JOIN best v ON v.model = l.model AND v.bank_id = l.bank_id AND v.split = 'val'
-                 JOIN (SELECT s.model, s.bank_id, count(*) FILTER (WHERE s.score >= t.thr) AS hits,
-                              count(*) FILTER (WHERE s.score >= t.thr AND s.y = 1) AS tp
-                       FROM scores s JOIN best t
-                         ON t.model = s.model AND t.bank_id = s.bank_id AND t.split = 'val'
-                       WHERE s.split = 'test' GROUP BY 1, 2) h
-                   ON h.model = l.model AND h.bank_id = l.bank_id
-                 WHERE l.split = 'test')""",
-    ),
+    "tested": (("best", "losses", "ranking", "scores"), _tested("", "scores")),
     "compared": (
         ("tested",),
         "SELECT f.bank_id, "
@@ -470,6 +480,20 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+CTES |= training.ctes(_probability, _loss_sums)
+CTES |= _metric_steps("kept_", "kept_scores", "model, bank_id, split")
+CTES |= _metric_steps("round_", "round_scores", "model, alpha, round, bank_id")
+CTES |= {
+    "kept_tested": (("kept_best", "kept_losses", "kept_ranking", "kept_scores"), _tested("kept_", "kept_scores")),
+    "round_validated": (
+        ("round_best", "round_losses", "round_ranking"),
+        """SELECT l.model, l.alpha, l.round, l.bank_id, l.n, r.ap, r.auc, b.precision AS p, b.recall AS r,
+                  l.wloss_sum, l.w_sum
+           FROM round_losses l JOIN round_ranking r USING (model, alpha, round, bank_id)
+           JOIN round_best b USING (model, alpha, round, bank_id)""",
+    ),
+}
+
 SPLIT_COLUMNS = "acct_id, bank_id, is_sar, split"
 SIG = "CAST(printf('%.9e', {0}) AS DOUBLE) AS {0}"
 
@@ -793,6 +817,77 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "gd_round": (("bank_step",), f"SELECT bank_id, n_train, {STEP} FROM bank_step"),
     "fedavg": (("averaged",), f"SELECT {STEP}, n_train FROM averaged"),
+    "local_update": (
+        ("first_local",),
+        f"""SELECT alpha, bank_id, CASE WHEN k = len(w) THEN 'intercept' ELSE 'coef' END AS key,
+                  CAST(CASE WHEN k = len(w) THEN 0 ELSE k - 1 END AS INTEGER) AS pos,
+                  round(w[k], 9) AS value, CAST(n_train AS BIGINT) AS n_train
+           FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM first_local)
+           WHERE alpha = {training.ALPHAS[0]!r}""",
+    ),
+    "federated_round": (
+        ("federated_path",),
+        f"""SELECT alpha, CAST(round AS BIGINT) AS round, round(loss, 6) AS avg_val_wlogloss,
+                  round(best_loss, 6) AS best_loss, CAST(round - best_round AS BIGINT) AS no_improve
+           FROM federated_path WHERE round = 1 AND alpha = {training.ALPHAS[0]!r}""",
+    ),
+    "federated_train": (
+        ("kept_tested", "federated_best"),
+        f"""SELECT t.bank_id, t.test_n, t.test_pos, {TEST_COLUMNS}, b.alpha, b.round
+           FROM kept_tested t, federated_best b WHERE t.model = 'federated'""",
+    ),
+    "federated_resume": (
+        ("federated_path", "federated_best"),
+        """SELECT p.alpha, p.round, round(p.loss, 6) AS avg_val_wlogloss, round(p.best_loss, 6) AS best_loss,
+                  CAST(p.round - p.best_round AS INTEGER) AS no_improve,
+                  p.alpha = b.alpha AND p.round = b.round AS kept
+           FROM federated_path p, federated_best b""",
+    ),
+    "round_evaluation": (
+        ("round_validated", "federated_path"),
+        "SELECT v.alpha, v.round, v.model || '_val_wlogloss' AS metric, "
+        "round(sum(v.wloss_sum) / sum(v.w_sum), 6) AS value FROM round_validated v "
+        "JOIN federated_path f ON f.alpha = v.alpha AND f.round = v.round GROUP BY v.alpha, v.round, v.model"
+        + "".join(
+            f" UNION ALL SELECT v.alpha, v.round, v.model || '_val_{m}', round(sum(v.{m} * v.n) / "
+            f"sum(CASE WHEN v.{m} IS NOT NULL THEN v.n END), 6) FROM round_validated v "
+            "JOIN federated_path f ON f.alpha = v.alpha AND f.round = v.round GROUP BY v.alpha, v.round, v.model"
+            for m in METRICS
+        ),
+    ),
+    "local_baseline": (
+        ("baseline_best", "kept_tested", "kept_losses", "kept_ranking"),
+        f"""SELECT b.bank_id, b.alpha AS selected_alpha, b.round AS selected_round,
+                  round(b.loss, 6) AS val_wlogloss_best, l.n AS val_n, l.pos AS val_pos,
+                  round(r.ap, 6) AS val_ap, round(l.wloss_sum / l.w_sum, 6) AS val_wlogloss,
+                  t.test_n, t.test_pos, {TEST_COLUMNS}
+           FROM baseline_best b
+           JOIN kept_tested t ON t.model = 'local' AND t.bank_id = b.bank_id
+           JOIN kept_losses l ON l.model = 'local' AND l.bank_id = b.bank_id AND l.split = 'val'
+           JOIN kept_ranking r ON r.model = 'local' AND r.bank_id = b.bank_id AND r.split = 'val'""",
+    ),
+    "round1_compare": (
+        ("round_losses",),
+        "SELECT alpha, round, "
+        + ", ".join(
+            f"round(sum(wloss_sum) FILTER (WHERE model = '{m}') / sum(w_sum) FILTER (WHERE model = '{m}'), 6) "
+            f"AS avg_{m}_val_wlogloss"
+            for m in ("local", "global")
+        )
+        + f" FROM round_losses WHERE round = 1 AND alpha = {training.ALPHAS[0]!r} GROUP BY alpha, round",
+    ),
+    "study": (
+        ("kept_tested",),
+        "SELECT f.bank_id, "
+        + ", ".join(
+            f"round(b.{c}, 6) AS base_{s}, round(f.{c}, 6) AS fl_{s}, round(f.{c} - b.{c}, 6) AS delta_{s}"
+            for s, c in COMPARED.items()
+        )
+        + """, true AS has_baseline,
+            coalesce(b.test_n <> f.test_n OR b.test_pos <> f.test_pos, false) AS split_differs
+            FROM (SELECT * FROM kept_tested WHERE model = 'federated') f
+            JOIN (SELECT * FROM kept_tested WHERE model = 'local') b ON b.bank_id = f.bank_id""",
+    ),
 }
 
 
@@ -808,7 +903,7 @@ def _with(needed: tuple[str, ...], final: str) -> str:
     for name in needed:
         visit(name)
     clauses = ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order)
-    return f"WITH {clauses}\n{final}"
+    return f"WITH RECURSIVE {clauses}\n{final}"
 
 
 ORACLES: dict[str, str] = {name: _with(*parts) for name, parts in FINALS.items()}

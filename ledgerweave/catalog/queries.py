@@ -8,6 +8,7 @@ are rounded at the end, for comparison with another engine only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.errors import PySparkException
@@ -18,7 +19,7 @@ from ledgerweave.catalog import fixed_models as fixed
 from ledgerweave.functions.coerce import as_id, as_number, as_utc
 from ledgerweave.operators import averaging, compare, encode, evaluate, features, ledger, secure, split
 from ledgerweave.operators import statistics as stats
-from ledgerweave.plans import baseline, experiment, federated, gradient, shards
+from ledgerweave.plans import baseline, experiment, federated, gradient, rounds, shards
 from ledgerweave.plans.models import LogisticSGD
 from ledgerweave.settings import FeatureSpec, SplitSpec, TrainSpec
 from ledgerweave.sources import tables, testdata
@@ -728,7 +729,7 @@ def local_update(i: Inputs) -> DataFrame:
     placed = shards.place_shards(i.prepared.encoded, TRAINING)
     start = {(1e-5, None): MODEL.initial(i.prepared.width)}
     updates = shards.train_shards(placed, MODEL, start, 1, TRAINING)
-    return shards.bank_updates(updates)
+    return _rounded(shards.bank_updates(updates), "value", digits=9)
 
 
 @query
@@ -736,7 +737,7 @@ def federated_round(i: Inputs) -> DataFrame:
     """One full round with its validation loss."""
     spec = TrainSpec(rounds=1)
     run = federated.train_federated(i.prepared.encoded, i.prepared.width, SECRET, SPEC, spec)
-    return i.spark.createDataFrame(run.log)
+    return _rounded(i.spark.createDataFrame(run.log), "avg_val_wlogloss", "best_loss")
 
 
 @query
@@ -744,26 +745,58 @@ def federated_train(i: Inputs) -> DataFrame:
     run = federated.train_federated(
         i.prepared.encoded, i.prepared.width, SECRET, SPEC, TRAINING
     )
-    report = experiment.federated_report(i.prepared.encoded, run.best.params, SPEC)
-    return report.withColumns(
+    report = experiment.federated_report(i.prepared.encoded, run.best.params, SPEC, width=i.prepared.width)
+    named = report.withColumns(
         {"alpha": F.lit(run.best.alpha), "round": F.lit(run.best.round_id)}
     )
+    return _rounded(named, *TEST_COLUMNS)
+
+
+@query
+def round_evaluation(i: Inputs) -> DataFrame:
+    """Ten metrics of every round: the global model's and the mean of the local ones'."""
+    run = federated.train_federated(
+        i.prepared.encoded, i.prepared.width, SECRET, SPEC, TRAINING, evaluate=True
+    )
+    rows = [(r["alpha"], r["round"], r["metric"], r["value"]) for r in run.evaluation]
+    return _rounded(i.spark.createDataFrame(rows, rounds.EVALUATION), "value")
+
+
+@query
+def federated_resume(i: Inputs) -> DataFrame:
+    """The log of a run that stopped after its third round, with a round cut off after that,
+    and went on from what was committed; the best model comes from the store."""
+    store = rounds.RoundStore(i.spark, fresh_path(i.spark, "rounds"))
+    arguments = (i.prepared.encoded, i.prepared.width, SECRET, SPEC)
+    federated.train_federated(*arguments, replace(TRAINING, rounds=3), store=store)
+    # What a dying run leaves behind: files of a fourth round that no commit names.
+    tables.save_models(i.spark, f"{store.path}/rounds/4-cut", [("running", 1e-5, 4, MODEL.initial(1), {})])
+    again = rounds.RoundStore(i.spark, store.path)
+    federated.train_federated(*arguments, TRAINING, store=again)
+    alpha, round_id, params = again.best_model()
+    MODEL.check(params, i.prepared.width)
+    log = i.spark.read.schema(rounds.LOG).json(f"{store.path}/log")
+    kept = (F.col("alpha") == alpha) & (F.col("round") == round_id)
+    return _rounded(log.withColumn("kept", kept), "avg_val_wlogloss", "best_loss")
 
 
 @query
 def local_baseline(i: Inputs) -> DataFrame:
     run = baseline.train_local(i.prepared.encoded, i.prepared.width, SPEC, TRAINING)
-    return baseline.baseline_report(i.prepared.encoded, run, SPEC)
+    report = baseline.baseline_report(i.prepared.encoded, run, SPEC, width=i.prepared.width)
+    return _rounded(report, "val_wlogloss_best", "val_ap", "val_wlogloss", *TEST_COLUMNS)
 
 
 @query
 def round1_compare(i: Inputs) -> DataFrame:
-    return federated.compare_round_one(
+    table = federated.compare_round_one(
         i.prepared.encoded, i.prepared.width, 1e-5, SECRET, SPEC, TRAINING
     )
+    return _rounded(table, "avg_local_val_wlogloss", "avg_global_val_wlogloss")
 
 
 @query
 def study(i: Inputs) -> DataFrame:
     """Both sides trained on one split and compared on its test rows."""
-    return experiment.run_study(i.prepared, SECRET, SPEC, TRAINING).comparison
+    table = experiment.run_study(i.prepared, SECRET, SPEC, TRAINING).comparison
+    return _rounded(table, *[f"{side}_{m}" for m in compare.COMPARED for side in ("base", "fl", "delta")])

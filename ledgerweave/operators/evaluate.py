@@ -169,7 +169,15 @@ def precision_recall_curve(
     keys = list(keys)
     collapsed = distinct_scores(scored, keys)
     if bounds is None:
+        # Stored, so that rows are scored once for the bounds and for the curve.
+        collapsed = durable(collapsed, "distinct-scores")
         bounds = score_bounds(collapsed)
+    return curve_of(collapsed, keys, bounds)
+
+
+def curve_of(collapsed: DataFrame, keys: Sequence[str], bounds: Sequence[float]) -> DataFrame:
+    """The curve of distinct scores that :func:`distinct_scores` collapsed."""
+    keys = list(keys)
     bucketed = collapsed.withColumn("bucket", _bucket(bounds))
     above = W.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(
         W.unboundedPreceding, -1
@@ -339,10 +347,16 @@ def test_report(
     instead of gathering a bank's whole curve in one task.
     """
     keys = list(keys)
+    # Both splits share one table of distinct scores and one set of bounds.
+    held_out = scored.where(F.col("split").isin("val", "test"))
+    collapsed = distinct_scores(held_out, [*keys, "split"])
+    if bounds is None:
+        collapsed = durable(collapsed, "distinct-scores")
+        bounds = score_bounds(collapsed)
+    both = with_threshold_rates(curve_of(collapsed, [*keys, "split"], bounds))
 
     def curve(part: str) -> DataFrame:
-        rows = scored.where(F.col("split") == part)
-        return with_threshold_rates(precision_recall_curve(rows, keys, bounds))
+        return both.where(F.col("split") == part).drop("split")
 
     val = durable(curve("val").groupBy(*keys).agg(best_f1().alias("best")), "thresholds")
     test = curve("test").join(val, keys, "left")

@@ -23,6 +23,8 @@ from ledgerweave.sources.small import small_table
 UNIFORM_DIGITS = 13
 UNIFORM_BITS = 52
 ALPHA_TOLERANCE = 1e-12
+# Weights are row counts; what masks leave behind of a sum of zeros is far below this.
+WEIGHT_ROUNDING = 1e-3
 
 
 def resolve_secret(configured: str | None = None, simulation: bool = False) -> str:
@@ -140,14 +142,18 @@ def secure_mean(
     reports: DataFrame,
     participants: Sequence[str],
     keys: Sequence[str] = ("alpha", "round", "metric"),
+    undefined: str = "error",
 ) -> DataFrame:
     """(keys, value): sum of masked numerators over sum of masked denominators.
 
     Each configured bank counts once (the smallest record if it reported twice);
     strangers are left out. A missing bank, a missing field or a sum of weights that is
-    not positive is an error, since the masks would not cancel.
+    not positive is an error, since the masks would not cancel. With ``undefined`` "null" a
+    metric that no bank could compute (all weights zero, up to the rounding of the masks)
+    has no value instead.
     """
     keys = list(keys)
+    weightless = F.col("den") <= WEIGHT_ROUNDING
     first = (
         reports.where(F.col("bank_id").isin(*participants))
         .groupBy(*keys, "bank_id")
@@ -169,7 +175,10 @@ def secure_mean(
     value = (
         F.when(F.size("missing") > 0, failure(silent))
         .when(F.col("absent") > 0, failure(F.lit("masked field missing")))
-        .when(F.col("den") <= 0, failure(F.lit("sum of weights is not positive")))
+        .when(
+            weightless,
+            failure(F.lit("sum of weights is not positive")) if undefined == "error" else F.lit(None),
+        )
         .otherwise(F.col("num") / F.col("den"))
     )
     return summed.select(*keys, value.alias("value"))

@@ -125,9 +125,14 @@ def baseline_report(
     run: BaselineRun,
     features: FeatureSpec | None = None,
     model: ShardModel | None = None,
+    width: int | None = None,
 ) -> DataFrame:
-    """One row per bank: the kept model, its validation and its test metrics."""
+    """One row per bank: the kept model, its validation and its test metrics. With
+    ``width``, the number of features in the plan, a model of another width is refused."""
     features, model = features or FeatureSpec(), model or LogisticSGD()
+    if width is not None:
+        for kept in run.best.values():
+            model.check(kept.params, width)
     spark = encoded.sparkSession
     kept = [
         (bank, s.alpha, s.round_id, s.loss)

@@ -57,9 +57,13 @@ def federated_report(
     params: Params,
     features: FeatureSpec | None = None,
     model: ShardModel | None = None,
+    width: int | None = None,
 ) -> DataFrame:
-    """Test metrics per bank of a shared model, threshold from each bank's validation."""
+    """Test metrics per bank of a shared model, threshold from each bank's validation. With
+    ``width``, the number of features in the plan, a model of another width is refused."""
     features, model = features or FeatureSpec(), model or LogisticSGD()
+    if width is not None:
+        model.check(params, width)
     held_out = encoded.where(F.col("split") != "train")
     scored = score_shared(held_out, {"federated": _vectors(params)}, _scorer(model, features))
     return test_report(scored, ["bank_id"])
@@ -86,6 +90,6 @@ def run_study(
     features, spec = features or FeatureSpec(), spec or TrainSpec()
     federated = train_federated(prepared.encoded, prepared.width, secret, features, spec, model)
     local = train_local(prepared.encoded, prepared.width, features, baseline_spec or spec, model)
-    ours = federated_report(prepared.encoded, federated.best.params, features, model)
-    theirs = baseline_report(prepared.encoded, local, features, model)
+    ours = federated_report(prepared.encoded, federated.best.params, features, model, prepared.width)
+    theirs = baseline_report(prepared.encoded, local, features, model, prepared.width)
     return Study(federated, local, ours, theirs, compare_models(ours, theirs))

@@ -30,6 +30,7 @@ from ledgerweave.operators.secure import (
     secure_mean,
 )
 from ledgerweave.plans.models import LogisticSGD, Params, ShardModel
+from ledgerweave.plans.rounds import RoundStore, settings_text
 from ledgerweave.plans.shards import ShardSet, bank_updates, place_shards, restore, train_shards
 from ledgerweave.settings import FeatureSpec, TrainSpec
 
@@ -56,8 +57,12 @@ class Selected:
 
 @dataclass
 class FederatedRun:
+    """The kept model, the metric log and, where asked for, what every round's evaluation
+    found: (alpha, round, metric, value), a row per metric of the global and local models."""
+
     best: Selected
     log: list[dict] = field(default_factory=list)
+    evaluation: list[dict] = field(default_factory=list)
 
 
 def average_round(
@@ -76,6 +81,30 @@ def average_round(
     return {alpha: p for (alpha,), p in restore(merged, model, width, ("alpha",)).items()}
 
 
+def local_round(
+    shards: ShardSet,
+    model: ShardModel,
+    states: Mapping[float, Params],
+    round_id: int,
+    width: int,
+    spec: TrainSpec,
+) -> tuple[dict[float, Params], dict[tuple[float, str], Params]]:
+    """A round that also keeps every bank's own model: (averages by alpha, local models by
+    alpha and bank). One training job; the banks' results are averaged on the driver, which
+    has them for the evaluation."""
+    updates = train_shards(shards, model, {(a, None): p for a, p in states.items()}, round_id, spec)
+    local = restore(bank_updates(updates), model, width, ("alpha", "bank_id"))
+    total = sum(shards.n_train.values())
+    merged = {
+        alpha: {
+            key: sum(local[alpha, bank][key] * (n / total) for bank, n in shards.n_train.items())
+            for key in model.initial(width)
+        }
+        for alpha in states
+    }
+    return merged, local
+
+
 def _every_bank(table: DataFrame, models: Iterable, banks: Sequence[str]) -> DataFrame:
     """``table`` (model, bank_id, metrics) with a row for every model and bank; a bank that
     has no rows gets zero sums and undefined metrics."""
@@ -122,9 +151,16 @@ def train_federated(
     features: FeatureSpec | None = None,
     spec: TrainSpec | None = None,
     model: ShardModel | None = None,
+    store: RoundStore | None = None,
+    evaluate: bool = False,
 ) -> FederatedRun:
     """Run all alphas of the grid side by side and keep the best model over all rounds.
 
+    Each round is committed to ``store``, with all parameters that are needed to go on; a
+    run that finds committed rounds there goes on after the last one and ends like one that
+    was never broken off. ``evaluate`` scores the global and all local models of a round in
+    one pass over the validation rows, and the loss that decides is taken from it.
+
     Every alpha starts from the model's initial parameters and stops on its own after
     ``patience`` rounds without a lower loss; a finished alpha takes no further work.
     Ties go to the alpha earlier in the grid, then to the earlier round. ``encoded``
@@ -138,12 +174,31 @@ def train_federated(
     active = {alpha: model.initial(width) for alpha in spec.alpha_grid}
     best = {alpha: Selected(alpha, 0, math.inf, {}) for alpha in spec.alpha_grid}
     log: list[dict] = []
+    evaluation: list[dict] = []
+    done, settings = 0, settings_text(width, features, spec, model)
+    progress = store.begin(settings) if store else None
+    if progress:
+        done, log, evaluation = progress.round_id, progress.log, progress.evaluation
+        active = {a: progress.running[a] for a in spec.alpha_grid if a in progress.running}
+        least = {line["alpha"]: line["best_loss"] for line in log}
+        best |= {a: Selected(a, r, least[a], p) for a, (r, p) in progress.best.items()}
+        store.rewind_log(log)
     try:
-        for round_id in range(1, spec.rounds + 1):
-            active = average_round(shards, model, active, round_id, width, spec)
-            losses = validation_losses(
-                val, active, round_id, shards.banks, width, model, features, key, spec
-            )
+        for round_id in range(done + 1, spec.rounds + 1 if active else 0):
+            if evaluate:
+                active, local = local_round(shards, model, active, round_id, width, spec)
+                records = evaluate_models(
+                    val, active, local, round_id, shards.banks, width, model, features, key, spec
+                )
+                means = secure_mean(records, shards.banks, undefined="null")
+                found = [r.asDict() for r in means.orderBy("alpha", "metric").collect()]
+                evaluation += found
+                losses = {r["alpha"]: r["value"] for r in found if r["metric"] == "global_val_wlogloss"}
+            else:
+                active = average_round(shards, model, active, round_id, width, spec)
+                losses = validation_losses(
+                    val, active, round_id, shards.banks, width, model, features, key, spec
+                )
             for alpha in [a for a in spec.alpha_grid if a in active]:
                 loss = losses[alpha]
                 if loss < best[alpha].loss:
@@ -160,6 +215,9 @@ def train_federated(
                 )
                 if waited >= spec.patience:
                     del active[alpha]
+            if store:
+                kept = {a: (s.round_id, s.params) for a, s in best.items()}
+                store.save(round_id, settings, active, kept, log, evaluation)
             if not active:
                 break
     finally:
@@ -168,32 +226,38 @@ def train_federated(
     chosen = min((best[a] for a in spec.alpha_grid), key=lambda s: s.loss)
     if not chosen.params:
         raise RuntimeError("no round produced a usable validation loss")
-    return FederatedRun(chosen, log)
+    return FederatedRun(chosen, log, evaluation)
 
 
-def evaluate_round(
+def evaluate_models(
     val: DataFrame,
-    global_params: Params,
-    local_params: Mapping[str, Params],
+    states: Mapping[float, Params],
+    local_params: Mapping[tuple[float, str], Params],
     round_id: int,
-    alpha: float,
+    banks: Sequence[str],
+    width: int,
     model: ShardModel,
     features: FeatureSpec,
     secret: Column,
     spec: TrainSpec,
 ) -> DataFrame:
-    """Masked records (bank_id, alpha, round, metric, num_masked, den_masked) of the
-    global and the bank's own model: loss, AP, AUC, precision and recall of each."""
+    """Masked records (bank_id, alpha, round, metric, num_masked, den_masked) of every
+    alpha's global model and the banks' own: loss, AP, AUC, precision and recall of each.
+
+    The models are a table that meets a bank's validation rows by bank, so all of them are
+    scored in one pass, and one curve aggregation serves all."""
     spark = val.sparkSession
-    banks = sorted(local_params)
-    models = [("global", b, _vectors(global_params)) for b in banks]
-    models += [("local", b, _vectors(p)) for b, p in local_params.items()]
+    for params in (*states.values(), *local_params.values()):
+        model.check(params, width)
+    models = [(f"global|{a!r}", b, _vectors(p)) for a, p in states.items() for b in banks]
+    models += [(f"local|{a!r}", b, _vectors(p)) for (a, b), p in local_params.items()]
     scored = score_models(val, model_table(spark, models), _scorer(model, features))
     bundle = metric_bundle(scored, ["model", "bank_id"])
-    metrics = _every_bank(bundle, ("global", "local"), banks).withColumns(
-        {"round": F.lit(round_id), "alpha": F.lit(alpha)}
+    name = F.split("model", r"\|")
+    metrics = _every_bank(bundle, sorted({m for m, _, _ in models}), banks).withColumns(
+        {"kind": name[0], "alpha": name[1].cast("double"), "round": F.lit(round_id)}
     )
-    fractions = metric_fractions(metrics, AVERAGED_METRICS, F.col("model"))
+    fractions = metric_fractions(metrics, AVERAGED_METRICS, F.col("kind"))
     return mask_metrics(fractions, banks, secret, spec.mask_scale)
 
 
@@ -214,20 +278,13 @@ def compare_round_one(
     key = secret_column(spark, secret)
     shards = place_shards(encoded, spec)
     try:
-        updates = train_shards(shards, model, {(alpha, None): model.initial(width)}, 1, spec)
-        local = restore(bank_updates(updates), model, width, ("bank_id",))
+        merged, local = local_round(shards, model, {alpha: model.initial(width)}, 1, width, spec)
     finally:
         shards.release()
-    local_params = {bank: p for (bank,), p in local.items()}
-    total = sum(shards.n_train.values())
-    merged = {
-        k: sum(local_params[b][k] * (n / total) for b, n in shards.n_train.items())
-        for k in model.initial(width)
-    }
     val = encoded.where(F.col("split") == "val")
-    records = evaluate_round(val, merged, local_params, 1, alpha, model, features, key, spec)
+    records = evaluate_models(val, merged, local, 1, shards.banks, width, model, features, key, spec)
     return (
-        secure_mean(records, sorted(local_params))
+        secure_mean(records, shards.banks)
         .groupBy("alpha", "round")
         .agg(
             *(

@@ -2,7 +2,8 @@
 
 Encoded training rows are placed once, one shard per partition, and cached. A round is
 then a map-only job over the cached shards plus a tiny aggregation: no row moves again.
-Every bank has the same, configured number of shards, whatever its size; averaging their
+Every bank has the same, configured number of shards, whatever its size, and md5 of the
+account picks the shard, so that any engine can replay a run; averaging their
 results by row count and then averaging banks by row count is one flat average.
 
 A pass reads its shard in the order of md5("seed:round:epoch:account"), sorted by Spark, and
@@ -61,7 +62,9 @@ def place_shards(encoded: DataFrame, spec: TrainSpec) -> ShardSet:
     name = F.coalesce(
         F.col("acct_id").cast("string"), F.hex(F.xxhash64("bank_id", "y", "num", "cat"))
     )
-    shard = numbers[F.col("bank_id")] * spec.shards + F.pmod(F.xxhash64(name), F.lit(spec.shards))
+    digest = F.md5(F.concat(F.lit("shard:"), name))
+    part = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(spec.shards))
+    shard = numbers[F.col("bank_id")] * spec.shards + part
     count = len(sizes) * spec.shards
     rows = (
         training.select(name.alias("name"), "bank_id", "y", "num", "cat", shard.cast("int").alias("shard"))

@@ -234,6 +234,16 @@ def save_params(
 ) -> None:
     """Arrays of any names and shapes. Models are told apart by id, alpha and round, so
     one alpha never overwrites another's file; the meta map travels with them."""
+    save_models(spark, path, [(model_id, alpha, round_id, params, meta or {})], mode)
+
+
+def save_models(
+    spark: SparkSession,
+    path: str,
+    models: Sequence[tuple[str, float | None, int | None, Mapping[str, np.ndarray], Mapping[str, str]]],
+    mode: str = "append",
+) -> None:
+    """Several models (id, alpha, round, arrays, meta) in one write."""
     rows = [
         (
             model_id,
@@ -242,8 +252,9 @@ def save_params(
             key,
             list(np.shape(value)),
             np.ravel(value).astype(float).tolist(),
-            list((meta or {}).items()),
+            list(meta.items()),
         )
+        for model_id, alpha, round_id, params, meta in models
         for key, value in params.items()
     ]
     (
@@ -277,6 +288,19 @@ def load_params(
     return arrays, dict(rows[0]["meta"] or {})
 
 
+def load_models(
+    spark: SparkSession, path: str
+) -> dict[tuple[str, float | None, int], tuple[dict[str, np.ndarray], dict[str, str]]]:
+    """(id, alpha, round) -> (arrays, meta) of all models under ``path``; a model saved
+    without a round has -1."""
+    out: dict[tuple[str, float | None, int], tuple[dict[str, np.ndarray], dict[str, str]]] = {}
+    for r in _read_parquet(spark, path).collect():
+        arrays, meta = out.setdefault((r["model_id"], r["alpha"], r["round"]), ({}, {}))
+        arrays[r["key"]] = np.array(r["values"]).reshape(r["shape"])
+        meta.update(r["meta"] or {})
+    return out
+
+
 # --- logs and summaries -------------------------------------------------------------
 
 
