@@ -6,14 +6,15 @@ Aho-Corasick automaton of all pieces finds every possible match in one pass over
 Around each piece hit, Myers' bit-parallel algorithm computes the least edit distance of
 the whole item to any stretch of the text there.
 
-Texts are compared in lower case with blanks folded to one space. Items are a stated query
-set: blocks of items with a bounded number of characters are sent to all tasks, one block
-after the other, and every block is matched against all documents.
-
-Defined cases: null and blank texts match nothing; items shorter than ``least_chars`` after
-folding are too short to be told from chance and match nothing; repeated rows of documents
-are judged each by itself; an item that occurs twice under one id is searched under it
-twice; without documents or items there are no matches.
+Texts are compared in lower case with blanks folded to one space. An item of fewer than
+``LEAST_CHARS`` characters after folding has no error budget and must stand between word
+edges: no letter or digit right before or after it. Items are a stated query set: blocks of
+items with a bounded number of characters are sent to all tasks, one block after the other,
+and every block is matched against all documents; the driver holds one block at a time.
+
+Defined cases: null and blank texts, and null and blank items, match nothing; repeated rows
+of documents are judged each by itself; an item that occurs twice under one id is searched
+under it twice; without documents or items there are no matches.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.sources.durable import durable
+
+# Shorter items are searched for as whole words without errors.
 LEAST_CHARS = 20
 # One error for so many characters.
 CHARS_PER_ERROR = 16
@@ -38,7 +42,7 @@ def folded(text: str | None) -> str:
 
 
 def budget(length: int, chars_per_error: int = CHARS_PER_ERROR) -> int:
-    return length // chars_per_error
+    return length // chars_per_error if length >= LEAST_CHARS else 0
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -114,6 +118,11 @@ class Matcher:
                     continue
                 start = last + 1 - size - offset
                 _, item, errors = self.items[number]
+                if len(item) < LEAST_CHARS:
+                    beside = plain[max(0, start - 1) : start], plain[last + 1 : last + 2]
+                    if not any(c.isalnum() for c in beside):
+                        out[number] = (0, last + 1)
+                    continue
                 # A hit whose window lies inside one that was searched tells nothing new.
                 if any(abs(start - s) <= errors for s in done.get(number, ())[-4:]):
                     continue
@@ -126,20 +135,21 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, least_chars: int = LEAST_CHARS) -> list[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, folded, in blocks of at most about ``_BLOCK`` characters."""
-    blocks: list[list[tuple[int, str]]] = []
+    block: list[tuple[int, str]] = []
     held = 0
     for item_id, text in items.select("item_id", "text").toLocalIterator():
         plain = folded(text)
-        if len(plain) < least_chars:
+        if not plain:
             continue
-        if not blocks or held + len(plain) > _BLOCK:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item_id, plain))
+        if block and held + len(plain) > _BLOCK:
+            yield block
+            block, held = [], 0
+        block.append((item_id, plain))
         held += len(plain)
-    return blocks
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
@@ -166,14 +176,21 @@ def contaminated(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS
             each, "doc_id long, item_id long, distance int, end long"
         )
 
-    found = [search(b) for b in item_blocks(items) or [[]]]
+    blocks = item_blocks(items)
+    found = [search(next(blocks, []))]
+    for block in blocks:
+        # What a block has found is stored before the next one is held.
+        found[-1] = durable(found[-1], "contaminated")
+        found.append(search(block))
     return reduce(DataFrame.union, found)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
     """The rows, all columns unchanged, in which no test item is found."""
     place = docs.columns.index("text")
-    for block in item_blocks(items):
+    for number, block in enumerate(item_blocks(items)):
+        if number:
+            docs = durable(docs, "uncontaminated")
 
         def sift(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, chars_per_error)

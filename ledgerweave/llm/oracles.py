@@ -4,6 +4,53 @@ from __future__ import annotations
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+REPEATED_PHRASES = rf"""
+WITH words AS (
+    SELECT row, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w
+    FROM (
+        SELECT row_number() OVER () AS row, doc_id,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    )
+),
+windows AS (
+    SELECT row, doc_id, i, word,
+        CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS passage
+    FROM words
+),
+repeated AS (SELECT passage FROM windows WHERE passage IS NOT NULL GROUP BY passage HAVING count(*) > 1),
+marked AS (
+    SELECT row, doc_id, i, word, max(CASE WHEN r.passage IS NULL THEN 0 ELSE 1 END)
+        OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+    FROM windows LEFT JOIN repeated r USING (passage)
+),
+kept AS (
+    SELECT row, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+        string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS text
+    FROM marked GROUP BY row
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(k.text, '')) AS kept_sha256
+FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) LEFT JOIN kept k USING (row)
+"""
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(digest, {{start}}, 5))::BIGINT >> {shift}) & 31) + 1)::INTEGER, 1)"
+    for shift in (15, 10, 5, 0)
+)
+
+ARC_TO_WARC = f"""
+WITH payloads AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS digest
+    FROM pages
+),
+firsts AS (SELECT digest, payload_bytes, min(page_id) AS first FROM payloads GROUP BY digest, payload_bytes)
+SELECT page_id, payload_bytes, {" || ".join(_BASE32.format(start=s) for s in range(1, 41, 5))} AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM payloads JOIN firsts USING (digest, payload_bytes)
+"""
+
 # CRC-32 of an ASCII string, bit by bit.
 _CRC32 = """xor(list_reduce(
     list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}, ''),
@@ -122,6 +169,8 @@ FROM sets LEFT JOIN least USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op1_repeated_phrases": REPEATED_PHRASES,
+    "op3_arc_to_warc": ARC_TO_WARC,
     "op11_prefix_trie": PREFIX_TRIE,
     "op12_ranked_search": RANKED_SEARCH,
     "op13_minhash": MINHASH,

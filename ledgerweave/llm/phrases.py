@@ -7,10 +7,11 @@ Recurring passages are confirmed in two steps. Each window is stood for by its p
 ``phrase`` consecutive words with the least hash in it; equal windows have equal phrases, so
 only windows whose phrase recurs can be repeated, and there are few phrases. The windows
 left are confirmed by two independent hashes of all their words. Both questions are asked
-of all documents at once, shard by shard (see ``bundles``). Then the phrases of confirmed
-windows are compiled into Aho-Corasick automata, one for each shard of documents, and all
-documents are streamed through their shard's automaton; where a phrase is met, the confirmed
-windows around it are marked.
+of all documents at once, shard by shard (see ``bundles``). What is kept of a confirmed
+passage is its hash and, once, the text of its phrase. The phrases are compiled into
+Aho-Corasick automata, one for each shard of documents, and all documents are streamed
+through their shard's automaton. Its hits alone say where to look: the windows around a hit
+whose hash is a confirmed passage's are marked.
 
 A shard is a bundle of neighbouring documents: an automaton holds the confirmed phrases
 that its shard can contain and no others, so each text runs through one automaton, whatever
@@ -81,13 +82,15 @@ class Shard:
         self.spots = np.flatnonzero(sliding(greatest, width, np.maximum)[: len(self.grams)] == self.grams)
 
     def phrase_questions(self) -> np.ndarray:
-        return np.unique(self.grams[self.spots])
+        """Mixed, because the least of many hashes crowd at the low end and parts are cut by
+        value."""
+        return np.unique(mixed(self.grams[self.spots]))
 
     def candidates(self, parts: int, answers: list[dict] | None) -> np.ndarray:
         """Valid windows whose phrase recurs."""
-        grams, times = np.unique(self.grams[self.spots], return_counts=True)
+        grams, times = np.unique(mixed(self.grams[self.spots]), return_counts=True)
         recurring = bits_of(grams, parts, answers) | (times > 1)
-        return self.valid[recurring[np.searchsorted(grams, self.least[self.valid])]]
+        return self.valid[recurring[np.searchsorted(grams, mixed(self.least[self.valid]))]]
 
     def window_keys(self, windows: np.ndarray) -> np.ndarray:
         if not len(windows):
@@ -99,42 +102,50 @@ class Shard:
         values, place, times = np.unique(keys, return_inverse=True, return_counts=True)
         return windows[(bits_of(values, parts, answers) | (times > 1))[place]]
 
-    def located(self, confirmed: np.ndarray) -> np.ndarray:
-        """Which words are covered by confirmed windows: the automaton of the windows'
-        phrases finds every place where one of these phrases is written; the confirmed
-        windows around it are those in which it is the least."""
-        covered = np.zeros(len(self.starts) + 1, dtype=np.int64)
-        if not len(confirmed):
-            return covered[:-1] > 0
+    def passages(self, confirmed: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """What tells confirmed windows: the texts of their phrases, each once, one character
+        for each byte and a blank before, between and after the words; and their hashes."""
         wanted = np.unique(self.least[confirmed])
         spots = self.spots[np.isin(self.grams[self.spots], wanted)]
-        # One character for each byte, words joined by one space, a space at both ends.
-        words = [self.bundle.data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]
+        _, one = np.unique(self.grams[spots], return_index=True)
+        phrases = [self._text(spot, spot + self.phrase) for spot in spots[one].tolist()]
+        return phrases, np.unique(folded_keys(self.window_keys(confirmed)))
+
+    def _text(self, first: int, end: int) -> str:
+        bounds = zip(self.starts[first:end].tolist(), self.ends[first:end].tolist())
+        return b" ".join([b"", *(self.bundle.data[a:b] for a, b in bounds), b""]).decode("latin-1")
+
+    def located(self, phrases: list[str], keys: np.ndarray) -> np.ndarray:
+        """Which words are covered by passages, wherever these were learned: every text runs
+        through the automaton of the phrases, and the windows around a hit are compared with
+        the passages' sorted hashes."""
+        covered = np.zeros(len(self.starts) + 1, dtype=np.int64)
+        if not phrases or not len(self.valid):
+            return covered[:-1] > 0
         automaton = ahocorasick.Automaton()
-        for spot in spots.tolist():
-            text = b" ".join([b"", *words[spot : spot + self.phrase], b""]).decode("latin-1")
+        for text in phrases:
             automaton.add_word(text, len(text))
         automaton.make_automaton()
-        is_confirmed = np.zeros(len(self.starts), dtype=bool)
-        is_confirmed[confirmed] = True
         width = self.length - self.phrase + 1
+        hits = []
         for a, b in zip(self.first.tolist(), self.first[1:].tolist()):
-            if b - a < self.length or not is_confirmed[a:b].any():
-                continue
-            text = b" ".join([b"", *words[a:b], b""]).decode("latin-1")
-            hits = [last - size + 1 for last, size in automaton.iter(text)]
-            if not hits:
+            if b - a < self.length:
                 continue
-            lengths = self.ends[a:b] - self.starts[a:b]
-            begins = np.cumsum(lengths + 1) - lengths - 1
-            found = a + np.searchsorted(begins, np.array(hits))
-            around = (found[:, None] - np.arange(width)[None, :]).ravel()
-            phrase = np.repeat(self.grams[found], width)
-            inside = (around >= a) & (around + self.length <= b)
-            around, phrase = around[inside], phrase[inside]
-            marked = np.unique(around[is_confirmed[around] & (self.least[around] == phrase)])
-            np.add.at(covered, marked, 1)
-            np.add.at(covered, marked + self.length, -1)
+            met = [last - size + 1 for last, size in automaton.iter(self._text(a, b))]
+            if met:
+                lengths = self.ends[a:b] - self.starts[a:b]
+                begins = np.cumsum(lengths + 1) - lengths - 1
+                found = a + np.searchsorted(begins, np.array(met))
+                around = (found[:, None] - np.arange(width)[None, :]).ravel()
+                hits.append(around[(around >= a) & (around + self.length <= b)])
+        if not hits:
+            return covered[:-1] > 0
+        windows = np.unique(np.concatenate(hits))
+        found = folded_keys(self.window_keys(windows))
+        place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        marked = windows[keys[place] == found]
+        np.add.at(covered, marked, 1)
+        np.add.at(covered, marked + self.length, -1)
         return np.cumsum(covered)[:-1] > 0
 
 
@@ -172,7 +183,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE)
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 shard = Shard(Bundle.of(row), length, phrase)
                 windows = shard.candidates(phrase_parts, row["phrases"])
-                gone = shard.located(shard.confirmed(windows, window_parts, row["windows"]))
+                confirmed = shard.confirmed(windows, window_parts, row["windows"])
+                gone = shard.located(*shard.passages(confirmed))
                 yield _result(shard, gone)
 
     return with_answers(with_answers(bundles, recurring, "phrases"), repeated, "windows").mapInArrow(mark, _RESULT)

@@ -48,7 +48,7 @@ def test_every_match_within_the_budget_is_found(data):
 
 @pytest.fixture(scope="module")
 def items(spark):
-    rows = [(1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (4, "too short", "x"), (None, ITEM[:60].upper(), "x")]
+    rows = [(1, ITEM, "x"), (2, None, "x"), (3, " \t", "x"), (4, "Who wrote  it?", "x"), (None, ITEM[:60].upper(), "x")]
     return spark.createDataFrame(rows, "item_id long, text string, doc_id string")
 
 
@@ -57,7 +57,8 @@ def test_edge_cases(spark, items, edge_docs):
         (100, "before " + ITEM.upper().replace(" ", "\n") + " after", "en", "s"),
         (101, ITEM.replace("quick", "quiet"), "en", "s"),
         (102, ITEM.replace("lazy dog while the old cat", "rather different animal over there"), "en", "s"),
-        (103, "too short", "en", "s"),
+        (103, "quiz: (who wrote it?) nobody", "en", "s"),
+        (104, "anywho wrote it? who wrote it?s who wrot it?", "en", "s"),
         (None, ITEM, "en", "s"),
     ]
     docs = edge_docs.select("doc_id", "text", "lang", "source").union(
@@ -65,12 +66,12 @@ def test_edge_cases(spark, items, edge_docs):
     )
     found = {(r["doc_id"], r["item_id"], r["distance"]) for r in dc.contaminated(docs, items).collect()}
     assert {(d, i) for d, i, _ in found} == {
-        (100, 1), (100, None), (101, 1), (101, None), (None, 1), (None, None),
+        (100, 1), (100, None), (101, 1), (101, None), (103, 4), (None, 1), (None, None),
     }
     assert (100, 1, 0) in found and (101, 1, 2) in found
     left = dc.without_contaminated(docs, items)
     assert left.columns == docs.columns
-    assert left.count() == docs.count() - 3
+    assert left.count() == docs.count() - 4
 
 
 def test_given_items_in_documents(spark, small_dir, small_docs):
@@ -88,4 +89,28 @@ def test_blocks_and_empty_tables(spark, items, no_docs, edge_docs, monkeypatch):
     assert dc.contaminated(edge_docs, none).collect() == []
     assert dc.without_contaminated(edge_docs, none).count() == edge_docs.count()
     monkeypatch.setattr(dc, "_BLOCK", 10)
-    assert len(dc.item_blocks(items)) == 2
+    assert len(list(dc.item_blocks(items))) == 3
+
+
+def test_blocks_change_nothing(spark, items, monkeypatch):
+    rows = [(1, "see " + ITEM), (2, "who wrote it?"), (3, "clean"), (4, ITEM[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, dc.contaminated(docs, items).collect()))
+    monkeypatch.setattr(dc, "_BLOCK", 10)
+    assert sorted(map(str, dc.contaminated(docs, items).collect())) == whole
+    assert [r["doc_id"] for r in dc.without_contaminated(docs, items).collect()] == [3]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab1 ?", min_size=1, max_size=6), st.text("ab1 ?", max_size=40))
+def test_short_items_match_between_word_edges(item, text):
+    item, text = dc.folded(item), dc.folded(text)
+    if not item:
+        return
+    wanted = any(
+        text[k : k + len(item)] == item
+        and not text[max(0, k - 1) : k].isalnum()
+        and not text[k + len(item) : k + len(item) + 1].isalnum()
+        for k in range(len(text))
+    )
+    assert bool(dc.Matcher([(1, item)], 16).matches(text)) == wanted

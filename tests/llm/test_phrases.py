@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerweave.llm import phrases
+from ledgerweave.llm.bundles import Bundle, part_slices
 from ledgerweave.llm.text import window_hashes, word_bounds, word_hashes
 
 from .conftest import words_of
@@ -57,6 +58,40 @@ def test_no_rows(no_docs):
     assert phrases.without_repeats(no_docs).collect() == []
 
 
+def shard_of(texts, length=35, phrase=6):
+    data = "\n".join(texts).encode()
+    ends = np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
+    return phrases.Shard(Bundle(list(range(len(texts))), [False] * len(texts), ends, data), length, phrase)
+
+
+def test_passages_learned_elsewhere_are_located(small_docs):
+    """Passages of one half of the documents, found in the other half, whose own windows
+    were never marked: positions come from the automaton's hits."""
+    texts = [r["text"] or "" for r in small_docs.orderBy("doc_id").collect()]
+    one, two = shard_of(texts[::2]), shard_of(texts[1::2])
+    taught, keys = one.passages(one.valid)
+    gone = two.located(taught, keys)
+    known = {tuple(w[i : i + 35]) for w in map(words_of, texts[::2]) for i in range(len(w) - 34)}
+    wanted = []
+    for w in map(words_of, texts[1::2]):
+        flags = [False] * len(w)
+        for i in range(len(w) - 34):
+            if tuple(w[i : i + 35]) in known:
+                flags[i : i + 35] = [True] * 35
+        wanted += flags
+    assert any(wanted) and gone.tolist() == wanted
+
+
+def test_questions_fall_evenly_into_parts(small_docs):
+    """The least of many hashes crowd at the low end; no part may hold most of them."""
+    texts = [r["text"] or "" for r in small_docs.collect()]
+    asked = shard_of(texts).phrase_questions()
+    sizes = np.zeros(50)
+    for part, a, b in part_slices(asked, 50):
+        sizes[part] = b - a
+    assert sizes.max() <= 2 * sizes.mean()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="abé \n\t\x0b ", max_size=60))
 def test_words_and_hashes(text):
