@@ -53,6 +53,10 @@ class Inputs:
     def ledger(self) -> DataFrame:
         return ledger.clean_transactions(testdata.transactions(self.spark, self.sf_dir))
 
+    @cached_property
+    def stored_ledger(self) -> DataFrame:
+        return durable(self.ledger, "ledger")
+
     @cached_property
     def events(self) -> DataFrame:
         return ledger.clean_transactions(testdata.event_transactions(self.spark, self.sf_dir))
@@ -139,7 +143,7 @@ def scan_csv(i: Inputs) -> DataFrame:
 @query
 def sink_views(i: Inputs) -> DataFrame:
     path = fresh_path(i.spark, "views")
-    tables.write_by_bank(ledger.bank_views(i.ledger, i.accounts), path, "csv")
+    tables.write_by_bank(ledger.bank_views(i.stored_ledger, i.accounts), path, "csv")
     back = tables.scan_csv(i.spark, path)
     return back.groupBy("bank_id", F.col("internal").cast("boolean").alias("internal")).agg(
         F.count("*").alias("n"),
@@ -317,7 +321,7 @@ def sar_label(i: Inputs) -> DataFrame:
 
 @query
 def bank_view_tx(i: Inputs) -> DataFrame:
-    return ledger.bank_views(i.ledger, i.accounts).select(
+    return ledger.bank_views(i.stored_ledger, i.accounts).select(
         "bank_id",
         "tran_id",
         "orig_acct",

@@ -8,6 +8,8 @@ Canonical columns after cleaning
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerweave.functions.coerce import as_id, as_number, as_utc
+from ledgerweave.sources.durable import durable
 
 # Fixed value: the only flag text that confirms a report (case matters).
 CONFIRMED = "YES"
-# Copies of the account side among which a hub account's transfers are spread.
-HUB_SALTS = 16
+# An account at one end of a larger share of all rows, and of more rows than a task takes
+# easily, is joined apart.
+HUB_SHARE = 1 / 1000
+HUB_ROWS = 100_000
 
 
 def drop_repeats(df: DataFrame) -> DataFrame:
@@ -98,39 +103,70 @@ def account_homes(accounts: DataFrame) -> DataFrame:
     )
 
 
-def _attach_views(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+def hub_accounts(rows: DataFrame, share: float = HUB_SHARE) -> list[int]:
+    """Ids at an end of more than ``share`` of the rows: at most 2 / share of them.
+
+    One pass with a mergeable frequent-items sketch, whose size does not depend on the rows
+    or the ids; nothing is shuffled. Its counts are estimates, which is enough: an id on
+    either side of the border is joined correctly in either way.
+    """
+    most = math.ceil(1 / share)
+    tracked = min(1 << 20, 1 << (4 * most).bit_length())
+    sketch = F.expr(f"approx_top_k(end, {most}, {tracked})")
+    found: set[int] = set()
+    for end in ("orig_acct", "bene_acct"):
+        ids = rows.select(F.col(end).alias("end")).where(F.col("end").isNotNull())
+        total, top = ids.agg(F.count("*"), sketch).first()
+        found |= {r["item"] for r in top or () if r["count"] > share * total and r["count"] > HUB_ROWS}
+    return sorted(found)
+
+
+def _attach_views(rows: DataFrame, accounts: DataFrame, hubs: Sequence[int] | None = None) -> DataFrame:
     """One output row per (input row, bank at either end), with ``internal``.
 
     Membership at either end is a disjunction, which as a join condition would become a
-    nested loop; two equi-joins keep it hash partitioned. A hub account may be at one
-    end of a third of all rows, so the key carries a salt: the row's hash picks one of
-    a few copies of the (small) account side. The salt also puts an exchange right below
-    both sides of each join, which is what AQE needs to split a partition further.
+    nested loop; two equi-joins keep it hash partitioned. An account may be at one end of a
+    third of all rows. Such hubs (found by :func:`hub_accounts` unless given) are few; their
+    banks are a small table of at most one row each, which is broadcast, and the rows that
+    meet it are spread by their own hash through the other join, where they match nothing.
+    Without hubs both joins are plain, and the account side is not copied in either case.
+    The account side is stored, so that AQE can split what is still uneven.
     """
-    homes = account_homes(accounts)
+    homes = durable(account_homes(accounts), "account-homes")
+    hubs = hub_accounts(rows) if hubs is None else hubs
     nowhere = F.array().cast("array<string>")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1)))
-
-    def side(end: str, name: str) -> DataFrame:
-        return homes.select(
-            F.col("acct_id").alias(end), F.col("homes").alias(name), copies.alias("_salt")
+    own = rows.columns
+
+    def joined(left: DataFrame, end: str, name: str) -> DataFrame:
+        if not hubs:
+            return left.join(homes.select(F.col("acct_id").alias(end), F.col("homes").alias(name)), end, "left")
+        is_hub = F.coalesce(F.col(end).isin(*hubs), F.lit(False))
+        # One row for each hub, so the bound of the list is the bound of the broadcast.
+        few = homes.where(F.col("acct_id").isin(*hubs)).select(
+            F.col("acct_id").alias(end), F.col("homes").alias(f"{name}_hub")
+        )
+        rest = homes.select(
+            F.lit(False).alias("_hub"), F.col("acct_id").alias("_key"), F.col("homes").alias(f"{name}_rest")
+        )
+        spread = F.when(is_hub, F.xxhash64(*own)).otherwise(F.col(end))
+        return (
+            left.withColumns({"_hub": is_hub, "_key": spread})
+            .join(rest, ["_hub", "_key"], "left")
+            .join(F.broadcast(few), end, "left")
+            .withColumn(name, F.coalesce(f"{name}_hub", f"{name}_rest"))
+            .drop("_hub", "_key", f"{name}_hub", f"{name}_rest")
         )
 
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(HUB_SALTS)).cast("int")
-    both = (
-        rows.withColumn("_salt", salt)
-        .join(side("orig_acct", "_from"), ["orig_acct", "_salt"], "left")
-        .join(side("bene_acct", "_to"), ["bene_acct", "_salt"], "left")
-    )
+    both = joined(joined(rows, "orig_acct", "_from"), "bene_acct", "_to")
     sender = F.coalesce("_from", nowhere)
     receiver = F.coalesce("_to", nowhere)
     return both.select(
-        *rows.columns,
+        *own,
         F.explode(F.array_union(sender, receiver)).alias("bank_id"),
         sender.alias("_s"),
         receiver.alias("_r"),
     ).select(
-        *rows.columns,
+        *own,
         "bank_id",
         (
             F.array_contains("_s", F.col("bank_id"))
@@ -139,10 +175,11 @@ def _attach_views(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def bank_views(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+def bank_views(ledger: DataFrame, accounts: DataFrame, hubs: Sequence[int] | None = None) -> DataFrame:
     """The ledger as each bank sees it: every transfer touching one of its accounts.
-    A transfer between two banks appears in both views."""
-    return _attach_views(ledger, accounts)
+    A transfer between two banks appears in both views. Unless ``hubs`` are given, the
+    ledger is read twice, so it should be a stored table."""
+    return _attach_views(ledger, accounts, hubs)
 
 
 def transfer_mix(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -152,7 +189,9 @@ def transfer_mix(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     before they travel to the account lookup. A bank without transfers has zero counts
     and null shares.
     """
-    pairs = ledger.groupBy("orig_acct", "bene_acct").agg(F.count("*").alias("_n"))
+    pairs = durable(
+        ledger.groupBy("orig_acct", "bene_acct").agg(F.count("*").alias("_n")), "transfer-pairs"
+    )
     n = F.col("_n")
     mix = (
         _attach_views(pairs, accounts)

@@ -17,6 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerweave.settings import FeatureSpec
+from ledgerweave.sources.durable import durable
+
+# Features, or digests, that one digest of the plan's fingerprint covers.
+DIGEST_RANGE = 4096
 
 
 def train_rows(split_rows: DataFrame) -> DataFrame:
@@ -96,14 +100,25 @@ def finalise_numeric(stats: DataFrame, keys: tuple[str, ...] = ("col",)) -> Data
 def union_vocab(vocab: DataFrame, keys: tuple[str, ...] = ("col",)) -> DataFrame:
     """(col, value, pos): the union of all vocabularies in byte order, from 0.
 
-    One task ranks the distinct values of a column; that list is the width of the
-    model, which every parameter vector has anyway.
+    Values are dealt into ranges by sampled bounds and stored with the number of their
+    range. A value's position is the number of values in earlier ranges of its column, from
+    one count per range, plus its place in its own range; no task ranks a whole column.
     """
-    order = W.partitionBy(*keys).orderBy("value")
-    return (
-        vocab.select(*keys, "value")
-        .distinct()
-        .withColumn("pos", F.row_number().over(order) - 1)
+    order = [*keys, "value"]
+    ranged = durable(
+        vocab.select(*order).distinct().repartitionByRange(*order).withColumn("range", F.spark_partition_id()),
+        "vocabulary",
+    )
+    earlier = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(*keys, "range")
+        .agg(F.count("*").alias("n"))
+        .select(*keys, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    )
+    inside = W.partitionBy(*keys, "range").orderBy("value")
+    placed = ranged.withColumn("nth", F.row_number().over(inside))
+    return placed.join(offsets, [*keys, "range"]).select(
+        *order, (F.col("before") + F.col("nth") - 1).cast("int").alias("pos")
     )
 
 
@@ -147,11 +162,20 @@ def feature_plan(stats: DataFrame, vocab: DataFrame, spec: FeatureSpec) -> DataF
     return numeric.unionByName(categorical)
 
 
+def _in_order(order: str, text: str, least: str) -> Column:
+    """The texts of a group joined by newlines, in the order of their numbers."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
+    return F.array_join(F.transform(pairs, lambda r: r["text"]), least)
+
+
 def plan_fingerprint(plan: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """One row (plan_hash, plan_id, width): SHA-1 over the ordered features.
+    """One row (plan_hash, plan_id, width): the root of a tree of SHA-1 digests.
 
-    Scaling values enter with ten significant digits, so a plan rebuilt from the same
-    data keeps its fingerprint although parallel sums differ in their last bits.
+    A leaf digests the lines of ``DIGEST_RANGE`` consecutive features, a node as many
+    digests below it, on two levels, and the root the schema version and what is left. So
+    no task gathers more than a range, whatever the width, and the root changes with any
+    feature. Scaling values enter with ten significant digits, so a plan rebuilt from the
+    same data keeps its fingerprint although parallel sums differ in their last bits.
     """
 
     def digits(name: str) -> Column:
@@ -167,10 +191,14 @@ def plan_fingerprint(plan: DataFrame, spec: FeatureSpec) -> DataFrame:
         digits("mean"),
         digits("std"),
     )
-    lines = F.transform(
-        F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda r: r["line"]
-    )
-    digest = F.sha1(F.concat(F.lit(spec.version + "\n"), F.array_join(lines, "\n")))
-    return plan.agg(digest.alias("plan_hash"), F.count("*").alias("width")).select(
+    level = plan.select(F.col("idx").cast("bigint").alias("at"), line.alias("text"), F.lit(1).cast("bigint").alias("n"))
+    for _ in range(2):
+        level = (
+            level.groupBy(F.floor(F.col("at") / DIGEST_RANGE).alias("range"))
+            .agg(F.sha1(_in_order("at", "text", "\n")).alias("text"), F.sum("n").alias("n"))
+            .withColumnRenamed("range", "at")
+        )
+    root = F.sha1(F.concat(F.lit(spec.version + "\n"), _in_order("at", "text", "\n")))
+    return level.agg(root.alias("plan_hash"), F.sum("n").alias("width")).select(
         "plan_hash", F.substring("plan_hash", 1, 8).alias("plan_id"), "width"
     )

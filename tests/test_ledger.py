@@ -184,7 +184,7 @@ def test_whole_row_repeats_are_dropped_before_projection(spark):
     assert ledger.clean_accounts(raw).count() == 2
 
 
-def test_hub_account_join_is_split_by_aqe(spark):
+def test_uneven_account_join_is_split_by_aqe(spark):
     """A third of all transfers leave one account; the view join must not put them in
     one task. Thresholds are lowered so that small data counts as skewed."""
     settings = {
@@ -218,3 +218,47 @@ def test_hub_account_join_is_split_by_aqe(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture
+def hub_rows(spark):
+    """A third of all transfers leave account 1, another third reach it; some ids are null
+    or belong to no bank."""
+    rows = spark.range(30_000).repartition(8).select(
+        F.col("id").alias("tran_id"),
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 100 == 7, None).otherwise(F.col("id") % 700).alias("orig_acct"),
+        F.when(F.col("id") % 3 == 1, 1).otherwise(F.col("id") % 400).alias("bene_acct"),
+    )
+    homes = spark.range(500).select(
+        F.col("id").alias("acct_id"), F.concat(F.lit("bank "), F.col("id") % 3).alias("bank_id")
+    )
+    return rows, homes
+
+
+def test_hubs_are_found_and_few(hub_rows, monkeypatch):
+    rows, _ = hub_rows
+    assert ledger.hub_accounts(rows) == []
+    monkeypatch.setattr(ledger, "HUB_ROWS", 1_000)
+    assert ledger.hub_accounts(rows) == [1]
+    assert len(ledger.hub_accounts(rows, share=1 / 100)) <= 2 * 100
+    assert ledger.hub_accounts(rows.limit(0)) == []
+
+
+def test_hubs_change_no_row(hub_rows):
+    rows, homes = hub_rows
+    plain = ledger.bank_views(rows, homes, hubs=[])
+    apart = ledger.bank_views(rows, homes, hubs=[1, 2, 499, 650, 10**9])
+    assert plain.columns == apart.columns
+    assert plain.exceptAll(apart).isEmpty() and apart.exceptAll(plain).isEmpty()
+
+
+def test_accounts_are_copied_for_no_one(hub_rows):
+    """Plain joins without hubs; with them, a broadcast of the hubs' rows alone."""
+    rows, homes = hub_rows
+    plain = ledger.bank_views(rows, homes, hubs=[])
+    apart = ledger.bank_views(rows, homes, hubs=[1])
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (plain, apart)]
+    # The one array that is spread out is that of a transfer's banks.
+    assert all(p.count("Generate explode") == 1 for p in plans)
+    assert "broadcast" not in plans[0]
+    assert plans[1].count("strategy=broadcast") == 2 and plans[1].count("IN (1)") + plans[1].count("= 1)") >= 2

@@ -148,3 +148,55 @@ def test_plan_survives_its_document(spark, plan):
     assert same == stats.plan_fingerprint(plan, SPEC).first()["plan_hash"]
     moved = plan.withColumn("mean", F.col("mean") + 1e-3)
     assert stats.plan_fingerprint(moved, SPEC).first()["plan_hash"] != same
+
+
+def test_positions_of_a_wide_vocabulary(spark):
+    """A million values of one column are ranked in ranges, none of them by the column alone."""
+    n = 1_000_000
+    vocab = spark.range(n).select(
+        F.concat(F.lit("b"), F.col("id") % 3).alias("bank_id"),
+        F.lit("c").alias("col"),
+        F.sha1(F.col("id").cast("string")).alias("value"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = stats.union_vocab(vocab)
+        plan = placed._jdf.queryExecution().optimizedPlan().toString()
+        ranks = [line for line in plan.splitlines() if "row_number" in line and "windowspec" in line]
+        assert ranks and all("[col" in line and "range#" in line for line in ranks)
+        ranked = placed.orderBy("value").select("value", "pos").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert ranked["pos"].tolist() == list(range(n))
+
+
+def test_positions_of_several_columns(spark):
+    rows = [(f"b{i % 2}", f"c{i % 5}", f"v{i * 7919 % 1000}") for i in range(3000)]
+    vocab = spark.createDataFrame(rows, "bank_id string, col string, value string").repartition(4)
+    wanted = {
+        (c, v, k)
+        for c in {r[1] for r in rows}
+        for k, v in enumerate(sorted({r[2] for r in rows if r[1] == c}))
+    }
+    assert {tuple(r) for r in stats.union_vocab(vocab).collect()} == wanted
+
+
+def test_fingerprint_is_the_root_of_ranges(spark, monkeypatch):
+    spec = FeatureSpec(cat_cols=("c",), num_cols=("x",))
+    rows = [(i, "cat", "c", f"v{i}", None, None, f"cat__c_v{i}") for i in range(100)]
+    schema = "idx int, kind string, col string, value string, mean double, std double, name string"
+
+    def root(some):
+        return stats.plan_fingerprint(spark.createDataFrame(some, schema).repartition(3), spec).first()
+
+    monkeypatch.setattr(stats, "DIGEST_RANGE", 4)
+    whole = root(rows)
+    assert whole["width"] == 100 and whole["plan_id"] == whole["plan_hash"][:8]
+    assert root(rows[::-1]) == whole
+    hashes = {whole["plan_hash"]}
+    for k in (0, 3, 50, 99):
+        changed = [r if r[0] != k else (*r[:3], "other", *r[4:]) for r in rows]
+        hashes.add(root(changed)["plan_hash"])
+    hashes.add(root(rows[:-1])["plan_hash"])
+    assert len(hashes) == 6
