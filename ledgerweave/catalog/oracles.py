@@ -669,14 +669,14 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     "plan_hash": (
         ("plan",),
         """SELECT plan_hash, substr(plan_hash, 1, 8) AS plan_id, width FROM (
-             SELECT sha1('v1' || chr(10) || string_agg(text, chr(10) ORDER BY at)) AS plan_hash,
+             SELECT sha1('v1' || chr(10) || string_agg(text, chr(10) ORDER BY nr)) AS plan_hash,
                     CAST(sum(n) AS BIGINT) AS width
-             FROM (SELECT at // 4096 AS at, sha1(string_agg(text, chr(10) ORDER BY at)) AS text, sum(n) AS n
-                   FROM (SELECT idx // 4096 AS at, sha1(string_agg(line, chr(10) ORDER BY idx)) AS text, count(*) AS n
+             FROM (SELECT nr // 4096 AS nr, sha1(string_agg(text, chr(10) ORDER BY nr)) AS text, sum(n) AS n
+                   FROM (SELECT idx // 4096 AS nr, sha1(string_agg(line, chr(10) ORDER BY idx)) AS text, count(*) AS n
                          FROM (SELECT idx, idx || '|' || kind || '|' || col || '|' || coalesce(value, '') || '|' ||
                                  coalesce(printf('%.9e', mean), '') || '|' || coalesce(printf('%.9e', std), '') AS line
                                FROM plan) GROUP BY idx // 4096)
-                   GROUP BY at // 4096))""",
+                   GROUP BY nr // 4096))""",
     ),
     "standardize": (
         ("scaled",),
