@@ -370,7 +370,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "plan": (
         ("scaling", "positions"),
-        f"""SELECT CAST(slot AS INTEGER) AS idx, 'num' AS kind, col, NULL AS value, mean, std,
+        f"""SELECT CAST(slot AS INTEGER) AS idx, 'num' AS kind, col, CAST(NULL AS VARCHAR) AS value, mean, std,
                    'num__' || col AS name FROM scaling
             UNION ALL SELECT CAST(pos + {len(NUMERIC)} AS INTEGER), 'cat', col, value, NULL, NULL,
                    'cat__' || col || '_' || value FROM positions""",
@@ -906,7 +906,8 @@ def _with(needed: tuple[str, ...], final: str) -> str:
     for name in needed:
         visit(name)
     clauses = ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order)
-    return f"WITH RECURSIVE {clauses}\n{final}"
+    recursive = " RECURSIVE" if training.RECURSIVE & set(order) else ""
+    return f"WITH{recursive} {clauses}\n{final}"
 
 
 ORACLES: dict[str, str] = {name: _with(*parts) for name, parts in FINALS.items()}

@@ -20,6 +20,8 @@ BASELINE_IMPROVEMENT = 1e-12
 ALPHAS = (1e-5, 1e-3)
 
 N_NUMERIC = 6
+# Steps that refer to themselves.
+RECURSIVE = {"federated", "baseline"}
 
 
 def _fold(rows: str, start: str, alpha: str) -> str:
