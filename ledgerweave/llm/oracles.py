@@ -6,7 +6,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 REPEATED_PHRASES = rf"""
 WITH words AS (
-    SELECT row, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w
+    SELECT row, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
     FROM (
         SELECT row_number() OVER () AS row, doc_id,
             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -14,9 +14,9 @@ WITH words AS (
     )
 ),
 windows AS (
-    SELECT row, doc_id, i, word,
-        CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS passage
+    SELECT row, doc_id, i, word, CASE WHEN count(*) OVER ahead = 35 THEN md5(string_agg(word, ' ') OVER ahead) END AS passage
     FROM words
+    WINDOW ahead AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
 ),
 repeated AS (SELECT passage FROM windows WHERE passage IS NOT NULL GROUP BY passage HAVING count(*) > 1),
 marked AS (
