@@ -18,8 +18,9 @@ pairs. A prefix word in very many classes is split: each class is a member of on
 is compared with all parts.
 
 Defined cases: a null text has no lines; a line without words is never removed and removes
-none; rows without doc_id come last; rows with equal doc_id and text are one document; an
-empty table gives no rows; other columns of the input are passed on unchanged.
+none; rows without doc_id come last; rows with equal doc_id and text are one document, rows
+with equal doc_id and other texts, or without doc_id, are documents of their own, ordered by
+a hash of the text; an empty table gives no rows; other columns of the input are passed on unchanged.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.text import lower_bytes, mixed, word_bounds, word_hashes
-from ledgerweave.sources.durable import durable
+from ledgerweave.sources.durable import durable, settled
 
 THRESHOLD = Fraction(4, 5)
 # Places of the table of word counts and of the table of prefix words: their size in
@@ -253,9 +254,9 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
                     pa.array((word.astype(np.int64) << 24) + part),
                     pa.array((n << 34) | (place << 2) | (own.astype(np.int64) << 1) | wanted),
                     pa.array(bits),
-                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4)],
+                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4, 6)],
                 ],
-                names=["word", "spot", "bits", "doc", "line"],
+                names=["word", "spot", "bits", "doc", "line", "apart"],
             )
 
     # A row of this table, of which there are many, is short. ``spot`` packs the size of
@@ -263,8 +264,8 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
     # bits also name the class: where two classes share them, both are looked up.
     dealt = (
         classes.where(F.size("prefix") > 0)
-        .select("prefix", "bits", "n", "doc", "line", "wanted")
-        .mapInArrow(deal, "word long, spot long, bits long, doc long, line int")
+        .select("prefix", "bits", "n", "doc", "line", "wanted", "apart")
+        .mapInArrow(deal, "word long, spot long, bits long, doc long, line int, apart long")
         .repartition("word")
         .sortWithinPartitions("word", "spot")
     )
@@ -304,7 +305,7 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
     longest = n * threshold.denominator // threshold.numerator
     # Place of each row among all, earliest first.
     age = np.empty(size, dtype=np.int64)
-    age[np.lexsort((name, table["line"].to_numpy(), table["doc"].to_numpy()))] = np.arange(size)
+    age[np.lexsort([name, *(table[c].to_numpy() for c in ("line", "apart", "doc"))])] = np.arange(size)
     indexed = place < n - least_shared(2 * n, threshold) + 1
     best = np.full((size, most or 0), size, dtype=np.int64)
     more = np.zeros(size, dtype=bool)
@@ -422,8 +423,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
     sets = durable(
         wanted_sets(docs, known.select("text_hash"))
         .dropDuplicates(["sig", "sig2"])
-        .join(known.select("sig", "sig2", "bits", "doc", "line").hint("merge"), ["sig", "sig2"])
-        .select("bits", "words", F.struct("doc", "line", "bits", "sig", "sig2").alias("at")),
+        .join(known.select("sig", "sig2", "bits", "doc", "apart", "line").hint("merge"), ["sig", "sig2"])
+        .select("bits", "words", F.struct("doc", "apart", "line", "sig", "sig2").alias("at")),
         "line-sets",
     )
 
@@ -453,36 +454,58 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
     return both.select("x_at.sig", "x_at.sig2").distinct()
 
 
+def _classes(lines: DataFrame) -> DataFrame:
+    """One row per different set of words, with the place of its first line. ``apart`` is
+    the document's tie where other texts have its doc_id, or where it has none, and else 0."""
+    doc = F.coalesce("doc_id", F.lit(_LAST))
+    at = F.struct(doc.alias("doc"), "tie", "line", "text_hash")
+    shared = lines.groupBy(doc.alias("shared")).agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b")
+    return (
+        lines.groupBy("sig", "sig2")
+        .agg(F.min(at).alias("at"), *[F.any_value(c).alias(c) for c in ("bits", "n", "prefix")])
+        .select("sig", "sig2", "at.*", "bits", "n", "prefix", F.lit(True).alias("wanted"))
+        .join(shared.select("shared"), F.col("doc") == F.col("shared"), "left")
+        .withColumn("apart", F.when(F.col("shared").isNull(), F.lit(0)).otherwise(F.col("tie")).cast("long"))
+        .drop("tie", "shared")
+    )
+
+
 def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, part_rows: int = 20_000) -> DataFrame:
     """doc_id, tie (a hash of the text) and the numbers of the lines that go, ascending;
     documents that lose none are left out."""
+    spark = docs.sparkSession
     lines = durable(described(docs, word_counts(docs), threshold), "lines")
-    at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "line", "text_hash")
-    classes = durable(
-        lines.groupBy("sig", "sig2")
-        .agg(F.min(at).alias("at"), *[F.any_value(c).alias(c) for c in ("bits", "n", "prefix")])
-        .select("sig", "sig2", "at.*", "bits", "n", "prefix", F.lit(True).alias("wanted")),
-        "line-classes",
-    )
-    first = durable(offers(classes, threshold, OFFERS, part_rows), "line-offers")
-    pairs = first.select("later", "earlier").distinct()
-    gone = durable(_verified(docs, classes, pairs, threshold), "line-gone")
-    more = first.where("more").select(F.col("later").alias("s")).distinct()
-    open_ = durable(
-        classes.join(more.hint("merge"), F.col("bits") == F.col("s"), "left_semi")
-        .join(gone.hint("merge"), ["sig", "sig2"], "left_anti")
-        .select("sig", "sig2", F.lit(True).alias("asked")),
-        "line-open",
-    )
-    if not open_.isEmpty():
+    classes = durable(_classes(lines), "line-classes")
+
+    def settle() -> DataFrame:
+        first = durable(offers(classes, threshold, OFFERS, part_rows), "line-offers")
+        pairs = first.select("later", "earlier").distinct()
+        gone = settled(spark, "line-gone", lambda: _verified(docs, classes, pairs, threshold))
+        more = first.where("more").select(F.col("later").alias("s")).distinct()
+        open_ = durable(
+            classes.join(more.hint("merge"), F.col("bits") == F.col("s"), "left_semi")
+            .join(gone.hint("merge"), ["sig", "sig2"], "left_anti")
+            .select("sig", "sig2", F.lit(True).alias("asked")),
+            "line-open",
+        )
+        if open_.isEmpty():
+            return gone
         again = classes.join(open_.hint("merge"), ["sig", "sig2"], "left").withColumn(
             "wanted", F.coalesce("asked", F.lit(False))
         )
         rest = durable(offers(again, threshold, None, part_rows).select("later", "earlier").distinct(), "line-rest")
-        gone = gone.union(_verified(docs, classes, rest, threshold)).distinct()
+        return gone.union(_verified(docs, classes, rest, threshold)).distinct()
+
+    gone = settled(spark, "line-all-gone", settle)
     flags = gone.select("sig", "sig2", F.lit(True).alias("gone"))
-    starts = classes.join(flags.hint("merge"), ["sig", "sig2"], "left").select("sig", "sig2", "doc", F.col("line").alias("at_line"), "gone")
-    own = (F.coalesce("doc_id", F.lit(_LAST)) == F.col("doc")) & (F.col("line") == F.col("at_line"))
+    starts = classes.join(flags.hint("merge"), ["sig", "sig2"], "left").select(
+        "sig", "sig2", "doc", "apart", F.col("line").alias("at_line"), "gone"
+    )
+    own = (
+        (F.coalesce("doc_id", F.lit(_LAST)) == F.col("doc"))
+        & ((F.col("apart") == 0) | (F.col("apart") == F.col("tie")))
+        & (F.col("line") == F.col("at_line"))
+    )
     return (
         lines.join(starts.hint("merge"), ["sig", "sig2"])
         .where(F.coalesce("gone", F.lit(False)) | ~own)
