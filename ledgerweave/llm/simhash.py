@@ -15,7 +15,9 @@ connect; components are then joined across shards.
 
 Defined cases: null and blank texts have fingerprint 0, which is linked like any other;
 texts with fewer words than a shingle are one shingle; a null doc_id counts for no
-component id; repeated rows are copies; an empty table gives no rows.
+component id; repeated rows are copies; an empty table gives no rows. Where one row of a
+group is kept, rows that share a doc_id but not a text are judged apart, in the order of a
+hash of their text, and rows without doc_id come after all others, in the same order.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.components import rooted
 from ledgerweave.llm.text import lower_bytes
-from ledgerweave.sources.durable import durable
+from ledgerweave.sources.durable import durable, settled
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -58,16 +60,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number."""
+    """doc_id, tie (a hash of the text) and fp, the fingerprint as a signed number."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
+            prints = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"]
+                [*batch.columns[:2], pa.array(prints, pa.int64())], names=["doc_id", "tie", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text").mapInArrow(
+        each, "doc_id long, tie long, fp long"
+    )
 
 
 class BKTree:
@@ -249,37 +253,48 @@ def _linked(table: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_nodes: int = 4096) -> DataFrame:
-    """Per document: doc_id, fp and component_id, the least doc_id that links lead to."""
-    prints = durable(fingerprints(docs, shingle), "simhash-prints")
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+def _components(prints: DataFrame, first: Column, radius: int, tree_nodes: int) -> DataFrame:
+    """class_fp and component_id of every fingerprint: the least ``first`` that links lead to."""
+    nodes = durable(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-nodes")
     roots = durable(
         rooted(links(nodes.select("fp"), radius, tree_nodes)).select(F.col("node").alias("fp"), "root"),
         "simhash-roots",
     )
     placed = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = durable(
-        placed.join(least.hint("merge"), "root").select(F.col("fp").alias("class_fp"), "component_id"),
+    return placed.join(least.hint("merge"), "root").select(F.col("fp").alias("class_fp"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_nodes: int = 4096) -> DataFrame:
+    """Per document: doc_id, fp and component_id, the least doc_id that links lead to."""
+    prints = durable(fingerprints(docs, shingle).drop("tie"), "simhash-prints")
+    classes = settled(
+        docs.sparkSession,
         "simhash-classes",
+        lambda: _components(prints, F.col("doc_id"), radius, tree_nodes),
     )
     return prints.join(classes.hint("merge"), F.col("fp") == F.col("class_fp")).select(
         "doc_id", "fp", "component_id"
     )
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows, all columns unchanged, of each group's document with the least doc_id;
-    of rows that repeat its doc_id one stays. A row without doc_id goes by a hash of its
-    text instead."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    groups = near_duplicates(docs.select(key.alias("doc_id"), "text"), shingle, radius)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__lw_stay")).distinct()
-    order = Window.partitionBy("__lw_key").orderBy("text")
-    return (
-        docs.withColumn("__lw_key", key)
-        .join(stay.hint("merge"), F.col("__lw_key") == F.col("__lw_stay"))
-        .withColumn("__lw_row", F.row_number().over(order))
-        .where("__lw_row = 1")
-        .drop("__lw_key", "__lw_stay", "__lw_row")
-    )
+def one_of_each_group(
+    docs: DataFrame, shingle: int = 3, radius: int = 3, tree_nodes: int = 4096
+) -> DataFrame:
+    """The rows, all columns unchanged, of each group's first document: the one with the
+    least doc_id, then the least hash of the text; rows without doc_id come last. Of rows
+    that agree in doc_id and text one stays."""
+    place = {"__lw_none": F.col("doc_id").isNull(), "__lw_doc": F.coalesce("doc_id", F.lit(0)), "__lw_tie": F.col("tie")}
+
+    def firsts() -> DataFrame:
+        prints = durable(fingerprints(docs, shingle), "simhash-prints")
+        rank = F.struct(*[c.alias(name) for name, c in place.items()])
+        return _components(prints, rank, radius, tree_nodes).select("component_id.*").distinct()
+
+    stay = settled(docs.sparkSession, "simhash-first", firsts)
+    # Equal rows are cut down before the shuffle, which the join then needs no more of.
+    own = {"__lw_none": F.col("doc_id").isNull(), "__lw_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    own["__lw_tie"] = F.xxhash64("text")
+    row = F.row_number().over(Window.partitionBy(*place).orderBy(*place))
+    single = docs.withColumns(own).withColumn("__lw_row", row).where("__lw_row = 1")
+    return single.join(stay.hint("merge"), list(place), "left_semi").select(*docs.columns)

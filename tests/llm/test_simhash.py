@@ -62,6 +62,28 @@ def test_edge_cases(edge_docs, edge_rows):
     assert ids == [0, 1, 4, 6, 7, 8, 9, 10, 11, 12, 13]
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcd"]
+    rows = [
+        (5, texts[0], "clean"),
+        (5, texts[1], "copy of 3"),
+        (5, texts[0], "clean"),
+        (3, texts[1], "original"),
+        (None, texts[1], "copy without id"),
+        (None, texts[2], "clean without id"),
+        (None, texts[2], "clean without id"),
+        (None, texts[3], "clean too"),
+        (0, None, "no text"),
+        (None, "", "no text without id"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, what string")
+    left = simhash.one_of_each_group(frame)
+    assert left.columns == frame.columns
+    assert sorted((r["what"], r["doc_id"] or 0) for r in left.collect()) == [
+        ("clean", 5), ("clean too", 0), ("clean without id", 0), ("no text", 0), ("original", 3),
+    ]
+
+
 def test_no_rows(no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     assert simhash.one_of_each_group(no_docs).collect() == []
