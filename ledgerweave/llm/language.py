@@ -24,7 +24,7 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -208,17 +208,22 @@ def learn(
 ) -> Model:
     """Fits the model on labelled rows of ``docs`` (those for which ``eligible`` holds).
 
-    The driver receives the n-gram counts of the sample: at most about
-    ``sample_per_language`` rows of 8,192 counts for each language.
+    The sample is drawn by doc_id and text, and rows that agree in both are drawn once, so
+    neither missing nor repeated ids change its size. The driver receives the n-gram counts
+    of the sample: at most about ``sample_per_language`` rows of 8,192 counts for each
+    language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if eligible is not None:
         labelled = labelled.where(eligible)
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.withColumn("__lw_draw", F.xxhash64("doc_id", "text"))
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct("__lw_draw", 0.02).alias("n"))
+    sizes = {r["lang"]: max(r["n"], 1) for r in counted.collect()}
     share = F.lit(0.0)
     for language, n in sizes.items():
         share = F.when(F.col("lang") == language, min(1.0, sample_per_language / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20) < share
+    drawn = F.pmod(F.xxhash64("__lw_draw", F.lit(4)), F.lit(1 << 20)) / float(1 << 20) < share
+    once = Window.partitionBy("lang", "__lw_draw").orderBy("__lw_draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +236,9 @@ def learn(
 
     sample = (
         labelled.where(drawn)
+        .select("lang", "text", "__lw_draw")
+        .withColumn("row", F.row_number().over(once))
+        .where("row = 1")
         .select("lang", "text")
         .mapInArrow(count, "lang string, letters long, counts binary")
         .toArrow()

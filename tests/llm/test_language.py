@@ -49,6 +49,19 @@ def test_edge_cases(edge_docs, edge_rows, model):
     assert {r["doc_id"] for r in left.collect()}.isdisjoint({1, 2, 3, 12})
 
 
+@pytest.mark.parametrize("doc_id", ["null", "7"])
+def test_sample_without_useful_ids(small_docs, doc_id):
+    docs = small_docs.withColumn("doc_id", F.expr(f"cast({doc_id} as long)"))
+    copies = docs.unionAll(docs.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n"))
+    seen = []
+    whole = language.fitted
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language, "fitted", lambda lang, *rest: seen.append(lang) or whole(lang, *rest))
+        learned = language.learn(copies, sample_per_language=20)
+    assert set(learned.languages) == {r["lang"] for r in small_docs.select("lang").distinct().collect()}
+    assert all(5 <= seen[0].count(x) <= 45 for x in learned.languages)
+
+
 def test_nothing_to_learn_from(spark, no_docs, edge_docs):
     empty = language.learn(no_docs)
     assert language.predicted(no_docs, empty, "doc_id").collect() == []
