@@ -10,9 +10,10 @@ the source), and the blocks are joined by number.
 
 Defined cases: a null text has no words and is never taken; a null source is a source of
 its own, listed last; repeated rows are documents of their own; documents are laid out
-by a hash of doc_id and then by doc_id, size and text hash, so equal input gives an equal
-mix; an empty table gives an empty mix. A source's taken words differ from its target by
-less than one block. No block is drawn more often than the whole passes in
+by a hash of doc_id and text and then by doc_id, size and text hash, so equal input gives
+an equal mix; an empty table gives an empty mix. A source's taken words differ from its
+target by less than a block and a half: half a block because slots are whole, and a block
+where the source's short last block is drawn or not. No block is drawn more often than the whole passes in
 ``cap`` (2), so no document exceeds ``cap`` times its size.
 """
 
@@ -87,7 +88,7 @@ def laid_out(rows: DataFrame, targets: DataFrame, counted: DataFrame) -> DataFra
         ).select(
             *frame.columns,
             "source_no",
-            F.pmod(F.xxhash64("doc_id"), parts).cast("long").alias("bucket"),
+            F.pmod(F.xxhash64("doc_id", "tie"), parts).cast("long").alias("bucket"),
         )
 
     sums = bucketed(counted).groupBy("source_no", "bucket").agg(F.sum("size").alias("held"))
@@ -208,112 +209,65 @@ def drawn_slots(
     return spark.range(shards).mapInArrow(draw, "shard long, slot long, source_no int, block long")
 
 
-def taken_words(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    cap: float = 2.0,
-    block_words: int = 128,
-    shard_slots: int = 4096,
-    seed: int = 17,
-) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target and the words of it that
-    the mix takes, repeats counted."""
-    counted = durable(sized(docs), "mix-sizes")
-    targets = durable(source_targets(counted, weights, share, cap), "mix-targets")
-    placed = laid_out(counted, targets, counted)
-    length = F.lit(block_words)
-    first = F.floor(F.col("place") / length)
-    last = F.floor((F.col("place") + F.col("size") - 1) / length)
-    pieces = (
-        placed.where("size > 0")
-        .select("source_no", "place", "size", F.explode(F.sequence(first, last)).alias("block"))
-        .withColumn(
-            "words",
-            F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * length)
-            - F.greatest(F.col("place"), F.col("block") * length),
-        )
-    )
-    times = drawn_slots(targets, block_words, shard_slots, seed).groupBy("source_no", "block").agg(
-        F.count("*").alias("times")
-    )
-    # The planner takes the slots for as few as the shards they come from.
-    taken = (
-        pieces.join(times.hint("merge"), ["source_no", "block"])
-        .groupBy(F.col("source_no").alias("t_no"), F.col("place").alias("t_place"))
-        .agg(F.sum(F.col("words") * F.col("times")).alias("t_words"))
-    )
-    return (
-        placed.join(
-            taken.hint("merge"),
-            (F.col("source_no") == F.col("t_no")) & (F.col("place") == F.col("t_place")) & (F.col("size") > 0),
-            "left",
-        )
-        .join(targets.select("source_no", "source_size", "target"), "source_no")
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            "target",
-            F.coalesce("t_words", F.lit(0)).cast("long").alias("taken"),
-        )
-    )
-
-
 _PIECE = (
-    "source_no int, block long, at int, doc_id long, n_words int, text string"
+    "source_no int, block long, at int, place long, doc_id long, n_words int, text string"
 )
 
 
-def mixed_blocks(
+def _mixed(
+    counted: DataFrame,
     docs: DataFrame,
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    cap: float = 2.0,
-    block_words: int = 128,
-    shard_slots: int = 4096,
-    seed: int = 17,
+    targets: DataFrame,
+    block_words: int,
+    shard_slots: int,
+    seed: int,
 ) -> DataFrame:
-    """The mix itself, one row per slot: shard, slot, source, block, n_words, doc_ids
-    (those it has words of, in order) and text (words joined by one space)."""
-    counted = durable(sized(docs), "mix-sizes")
-    targets = durable(source_targets(counted, weights, share, cap), "mix-targets")
+    """One row per slot: shard, slot, source_no, block and the block's pieces in order."""
     placed = laid_out(sized(docs, with_text=True), targets, counted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {name: [] for name in ("source_no", "block", "at", "doc_id", "n_words", "text")}
+            out = {name: [] for name in ("source_no", "block", "at", "place", "doc_id", "n_words", "text")}
             for row in batch.to_pylist():
                 words = row["text"].encode().split()
                 at, done = row["place"], 0
                 while done < len(words):
                     block, inside = divmod(at + done, block_words)
                     part = words[done : done + block_words - inside]
-                    for name, value in zip(
-                        out, (row["source_no"], block, inside, row["doc_id"], len(part), b" ".join(part).decode())
-                    ):
+                    values = (row["source_no"], block, inside, at, row["doc_id"], len(part), b" ".join(part).decode())
+                    for name, value in zip(out, values):
                         out[name].append(value)
                     done += len(part)
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(values, type)
-                    for values, type in zip(
-                        out.values(),
-                        (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()),
-                    )
-                ],
-                names=list(out),
+                [pa.array(values, type) for values, type in zip(out.values(), types)], names=list(out)
             )
 
-    pieces = placed.where("size > 0").select("source_no", "place", "doc_id", "text").mapInArrow(cut, _PIECE)
+    pieces = placed.where("size > 0").select(
+        "source_no", "place", F.col("doc_id").cast("long").alias("doc_id"), "text"
+    ).mapInArrow(cut, _PIECE)
     # A block has at most block_words words, so its list of pieces is bounded.
-    parts = F.array_sort(F.collect_list(F.struct("at", "doc_id", "n_words", "text")))
+    parts = F.array_sort(F.collect_list(F.struct("at", "place", "doc_id", "n_words", "text")))
     blocks = pieces.groupBy("source_no", "block").agg(parts.alias("parts"))
+    # The planner takes the slots for as few as the shards they come from.
+    return drawn_slots(targets, block_words, shard_slots, seed).hint("merge").join(blocks, ["source_no", "block"])
+
+
+def mixed_blocks(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    block_words: int = 128,
+    shard_slots: int = 4096,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself, one row per slot: shard, slot, source, block, n_words, doc_ids
+    (those it has words of, in order) and text (words joined by one space)."""
+    counted = durable(sized(docs), "mix-sizes")
+    targets = durable(source_targets(counted, weights, share, cap), "mix-targets")
     return (
-        drawn_slots(targets, block_words, shard_slots, seed)
-        .hint("merge")
-        .join(blocks, ["source_no", "block"])
+        _mixed(counted, docs, targets, block_words, shard_slots, seed)
         .join(targets.select("source_no", "source"), "source_no")
         .select(
             "shard",
@@ -325,3 +279,39 @@ def mixed_blocks(
             F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"),
         )
     )
+
+
+def taken_words(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    block_words: int = 128,
+    shard_slots: int = 4096,
+    seed: int = 17,
+) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target and the words of it that
+    the mix takes, repeats counted, as found in the texts of the mixed blocks."""
+    counted = durable(sized(docs), "mix-sizes")
+    targets = durable(source_targets(counted, weights, share, cap), "mix-targets")
+    pieces = _mixed(counted, docs, targets, block_words, shard_slots, seed).select("source_no", F.explode("parts").alias("p"))
+    taken = pieces.groupBy(F.col("source_no").alias("t_no"), F.col("p.place").alias("t_place")).agg(
+        F.sum(F.size(F.split("p.text", " "))).alias("t_words")
+    )
+    placed = laid_out(counted, targets, counted)
+    return (
+        placed.join(
+            taken.hint("merge"),
+            (F.col("source_no") == F.col("t_no")) & (F.col("place") == F.col("t_place")) & (F.col("size") > 0),
+            "left",
+        )
+        .join(targets.select("source_no", "source_size", "target"), "source_no")
+        .select(
+            "doc_id",
+            "source",
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("t_words", F.lit(0)).cast("long").alias("taken"),
+        )
+    )
