@@ -2,7 +2,8 @@
 
 Each stage works on all that its predecessor kept and returns the columns of documents,
 apart from the last, which returns the blocks of the mix. Every stage's result but the last
-is written as Parquet and read again as the next one's documents.
+is written as Parquet and read again as the next one's documents; the tables that a stage
+stored on its way are deleted then.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm import decontaminate, language, lines, mixing, simhash
 from ledgerweave.llm.queries import benchmark, documents
-from ledgerweave.sources.durable import durable
+from ledgerweave.sources.durable import settled
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     *earlier, (_, last) = STAGES
     for name, stage in earlier:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, name, lambda: stage(spark, docs, sf_dir))
     return last(spark, docs, sf_dir)
