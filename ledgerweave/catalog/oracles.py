@@ -548,6 +548,32 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
         + """, 'v1' AS schema_version, CAST((SELECT count(*) FROM plan) AS INTEGER) AS feature_dim
            FROM encoded GROUP BY bank_id""",
     ),
+    "sink_modes": (
+        ("accounts",),
+        """SELECT t.step, a.bank_id, t.refused,
+                  a.n * t.whole + CASE WHEN a.bank_id = 'bank_s' THEN a.half * t.halves ELSE a.n * t.halves END AS stored
+           FROM (SELECT bank_id, count(*) AS n, count(*) FILTER (WHERE acct_id % 2 = 0) AS half
+                 FROM accounts GROUP BY bank_id) a
+           CROSS JOIN (VALUES ('1 overwrite', 1, 0, false), ('2 overwrite', 0, 1, false), ('3 append', 1, 1, false),
+                              ('4 errorifexists', 1, 1, true)) AS t(step, whole, halves, refused)""",
+    ),
+    "dataset_refusals": (
+        ("accounts",),
+        """SELECT t.*, CASE WHEN t."case" = 'own plan' THEN (SELECT count(*) FROM accounts) ELSE 0 END AS loaded
+           FROM (VALUES ('own plan', 'none'), ('other plan', 'dataset has no dataset for plan two'),
+                        ('plan not stated', 'dataset does not say which plan it was encoded with'))
+                AS t("case", refusal)""",
+    ),
+    "split_observed": (
+        ("features", "parts"),
+        """SELECT 'features' AS observed, 'rows' AS counted, count(*) AS n FROM features
+           UNION ALL SELECT 'features', 'without_id', count(*) FILTER (WHERE acct_id IS NULL) FROM features
+           UNION ALL SELECT 'features', 'reported', count(*) FILTER (WHERE is_sar) FROM features
+           UNION ALL SELECT 'split', 'rows', count(*) FROM parts
+           UNION ALL SELECT 'split', 'without_id', count(*) FILTER (WHERE acct_id IS NULL) FROM parts
+           UNION ALL SELECT 'split', 'reported', count(*) FILTER (WHERE is_sar) FROM parts
+           UNION ALL SELECT 'split', 'unassigned', count(*) FILTER (WHERE split IS NULL) FROM parts""",
+    ),
     "write_modes": (
         ("sar",),
         """SELECT t.step, (SELECT count(*) FROM sar) * t.times AS stored, t.refused
@@ -893,6 +919,12 @@ FINALS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+FINALS["stats_documents"] = FINALS["numeric_stats"]
+FINALS["summary_csv"] = (
+    FINALS["bank_overview"][0],
+    f"SELECT CAST(row_number() OVER (ORDER BY bank_id) AS INTEGER) AS place, * FROM ({FINALS['bank_overview'][1]})",
+)
+
 
 def _with(needed: tuple[str, ...], final: str) -> str:
     order: list[str] = []

@@ -233,6 +233,83 @@ def write_modes(i: Inputs) -> DataFrame:
     return i.spark.createDataFrame(outcome, "step string, stored bigint, refused boolean")
 
 
+@query
+def sink_modes(i: Inputs) -> DataFrame:
+    """Rows that the sink by bank leaves behind: all banks, one bank replaced by half of its
+    accounts, all banks added, and a refused second write."""
+    path = fresh_path(i.spark, "sink-modes")
+    half = i.accounts.where((F.col("bank_id") == "bank_s") & (F.col("acct_id") % 2 == 0))
+    steps = [("overwrite", i.accounts), ("overwrite", half), ("append", i.accounts), ("errorifexists", half)]
+    outcome = []
+    for number, (mode, rows) in enumerate(steps, 1):
+        try:
+            tables.write_by_bank(rows, path, mode=mode)
+            refused = False
+        except PySparkException:
+            refused = True
+        stored = {r["bank_id"]: r["count"] for r in tables.read_by_bank(i.spark, path).groupBy("bank_id").count().collect()}
+        outcome += [(f"{number} {mode}", bank, n, refused) for bank, n in stored.items()]
+    return i.spark.createDataFrame(outcome, "step string, bank_id string, stored bigint, refused boolean")
+
+
+@query
+def dataset_refusals(i: Inputs) -> DataFrame:
+    """Rows that a dataset yields to its own plan, and what it says to others."""
+    rows = i.accounts.withColumn("split", F.lit("train"))
+    pinned, loose = fresh_path(i.spark, "pinned"), fresh_path(i.spark, "loose")
+    tables.save_dataset(rows, "one", pinned)
+    tables.write_by_bank(rows, loose)
+    outcome = []
+    for case, path, digest in (
+        ("own plan", pinned, "one"),
+        ("other plan", pinned, "two"),
+        ("plan not stated", loose, "one"),
+    ):
+        try:
+            outcome.append((case, tables.load_dataset(i.spark, path, digest).count(), "none"))
+        except ValueError as refused:
+            outcome.append((case, 0, str(refused).replace(path, "dataset")))
+    return i.spark.createDataFrame(outcome, "case string, loaded bigint, refusal string")
+
+
+@query
+def stats_documents(i: Inputs) -> DataFrame:
+    """Statistics of each bank written as one JSON document and read again."""
+    path = fresh_path(i.spark, "stats")
+    entry = F.struct("col", "n", "sum", "sumsq")
+    documents = stats.numeric_stats(i.split, SPEC).groupBy("bank_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("stats")
+    )
+    tables.write_documents(documents, path)
+    back = tables.read_documents(
+        i.spark, path, "stats array<struct<col: string, n: bigint, sum: double, sumsq: double>>"
+    )
+    return _significant(back.select("bank_id", F.inline("stats")), "sum", "sumsq")
+
+
+@query
+def summary_csv(i: Inputs) -> DataFrame:
+    """The summary of all banks as stored, with the place of each row in the file."""
+    path = fresh_path(i.spark, "summary")
+    tables.write_summary(ledger.bank_overview(i.accounts, i.ledger, i.sar), path)
+    back = tables.read_summary(
+        i.spark,
+        path,
+        "bank_id string, accounts bigint, sar_yes bigint, tx_total bigint, tx_internal bigint, "
+        "tx_cross bigint, sar_rate double, tx_per_acct double, cross_ratio double",
+    )
+    return _rounded(back, "sar_rate", "tx_per_acct", "cross_ratio")
+
+
+@query
+def split_observed(i: Inputs) -> DataFrame:
+    """What was counted while features and split were written."""
+    _, seen = experiment.observed_split(i.accounts, i.ledger, i.sar, SplitSpec())
+    experiment.require_whole(seen)
+    counted = [(table, name, n) for table, counts in seen.items() for name, n in counts.items()]
+    return i.spark.createDataFrame(counted, "observed string, counted string, n bigint")
+
+
 # --- projections and filters ------------------------------------------------------
 
 

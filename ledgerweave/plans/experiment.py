@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.compare import compare_models
@@ -17,7 +17,7 @@ from ledgerweave.plans.baseline import BaselineRun, baseline_report, train_local
 from ledgerweave.plans.federated import FederatedRun, _scorer, _vectors, train_federated
 from ledgerweave.plans.models import LogisticSGD, Params, ShardModel
 from ledgerweave.settings import FeatureSpec, SplitSpec, TrainSpec
-from ledgerweave.sources.durable import durable
+from ledgerweave.sources.durable import durable, settled
 
 
 @dataclass
@@ -30,11 +30,44 @@ class Prepared:
     width: int
 
 
+def _tally(*more: Column) -> list[Column]:
+    rows = [F.count("*").alias("rows"), F.count_if(F.col("acct_id").isNull()).alias("without_id")]
+    return [*rows, F.count_if(F.col("is_sar")).alias("reported"), *more]
+
+
+def observed_split(
+    accounts: DataFrame, ledger: DataFrame, sar: DataFrame, spec: SplitSpec | None = None
+) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    """The split, and what was counted of features and split while they were written, so no
+    row is read for it again."""
+    built, dealt = Observation("features"), Observation("split")
+
+    def step() -> DataFrame:
+        features = durable(account_features(accounts, ledger, sar).observe(built, *_tally()), "features")
+        unassigned = F.count_if(F.col("split").isNull()).alias("unassigned")
+        return split_accounts(features, spec).observe(dealt, *_tally(unassigned))
+
+    rows = settled(accounts.sparkSession, "split", step)
+    return rows, {"features": built.get, "split": dealt.get}
+
+
+def require_whole(seen: dict[str, dict[str, int]]) -> None:
+    """Raises where the split lost or made up rows or reports, or left a row without a part."""
+    before, after = seen["features"], seen["split"]
+    broken = {n: (before[n], after[n]) for n in before if before[n] != after[n]}
+    if after["unassigned"]:
+        broken["unassigned"] = (0, after["unassigned"])
+    if broken:
+        raise ValueError(f"the split differs from the features it was made of: {broken}")
+
+
 def prepare_split(
     accounts: DataFrame, ledger: DataFrame, sar: DataFrame, spec: SplitSpec | None = None
 ) -> DataFrame:
-    features = durable(account_features(accounts, ledger, sar), "features")
-    return durable(split_accounts(features, spec), "split")
+    """Features of all accounts, split; refused unless every account came through."""
+    rows, seen = observed_split(accounts, ledger, sar, spec)
+    require_whole(seen)
+    return rows
 
 
 def prepare_encoded(
@@ -42,13 +75,15 @@ def prepare_encoded(
 ) -> Prepared:
     """Train-only statistics of every bank, merged into a plan, applied to all rows."""
     features = features or FeatureSpec()
-    plan = durable(
-        feature_plan(
+    spark = split_rows.sparkSession
+    plan = settled(
+        spark,
+        "plan",
+        lambda: feature_plan(
             numeric_stats(split_rows, features), category_vocab(split_rows, features), features
         ),
-        "plan",
     )
-    encoded = durable(encode(split_rows, plan, features, missing=missing), "encoded")
+    encoded = settled(spark, "encoded", lambda: encode(split_rows, plan, features, missing=missing))
     return Prepared(split_rows, plan, encoded, plan.count())
 
 

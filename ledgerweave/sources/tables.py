@@ -5,6 +5,7 @@
     model parameters      partitioned by model_id, round
     plan                  table form, and a one-document JSON form for exchange
     round log             JSON lines, truncated by "overwrite", extended by "append"
+    documents             JSON by bank_id, one document a row (statistics, reports)
     summaries             one sorted CSV file, a row per bank
 """
 
@@ -314,3 +315,30 @@ def write_round_log(
 def write_summary(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One CSV file with a header, sorted by bank; a row per bank, so one task is right."""
     df.orderBy("bank_id").coalesce(1).write.mode(_checked(mode)).option("header", True).csv(path)
+
+
+def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a summary with ``place``, their order in the file. A row per bank, so one
+    task reads it."""
+    lines = spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("place", "line")
+    )
+    return lines.where("place > 0").select("place", F.from_csv("line", schema).alias("r")).select("place", "r.*")
+
+
+def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON, one document a row, by bank; "overwrite" replaces the banks written."""
+    (
+        df.hint("rebalance", "bank_id")
+        .write.mode(_checked(mode))
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bank_id")
+        .json(path)
+    )
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents with the fields of ``schema``, a missing one as null; text that is no
+    document at all is an error."""
+    fields = f"{schema}, bank_id string"
+    return spark.read.schema(fields).option("mode", "FAILFAST").json(path)
