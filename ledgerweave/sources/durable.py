@@ -15,6 +15,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ _LOCAL_ROOTS: dict[str, str] = {}
 _STORED: dict[str, list[str]] = {}
 # Paths given out in each step that is open, by thread; the innermost step is last.
 _OPEN = threading.local()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -65,6 +67,11 @@ def discard(spark: SparkSession) -> int:
     return _delete(spark, list(_STORED.get(spark.sparkContext.applicationId, ())))
 
 
+def delete(table: DataFrame) -> None:
+    """Deletes a table that :func:`durable` returned, once nothing lazy reads it."""
+    _delete(table.sparkSession, [_PATHS.pop(table)])
+
+
 def settled(
     spark: SparkSession, label: str, step: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -99,4 +106,6 @@ def durable(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
