@@ -13,7 +13,8 @@ the first word of a text stands an end.
 
 The tree is never in one place. Every bundle of documents asks for what it needs of it (see
 ``bundles``), one depth after the other: first for the counts of its own contexts with their
-next symbols, then for the states among its contexts. For the second question each next
+next symbols, then for the states among its contexts. Between two depths a bundle is stored
+with what is still looked at of it, and the tables of the depth before are deleted. For the second question each next
 symbol is sent by one of the bundles that hold it, so a context's part gets each only once.
 Counts are exact and cover every training document. The driver receives N, V and the number
 of states of each depth.
@@ -29,8 +30,9 @@ left (log10 of 1); an empty table gives no rows. Words are told apart by a 64-bi
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +50,9 @@ from ledgerweave.llm.bundles import (
     with_answers,
 )
 from ledgerweave.llm.text import lower_bytes, mixed, word_hashes
-from ledgerweave.sources.durable import durable
+from ledgerweave.sources.durable import delete, durable
 
-BUNDLE_BYTES = 8 << 20
+BUNDLE_BYTES = 2 << 20
 LEAST = 2
 DIVERGENCE, DISCOUNT = 0.02, 0.75
 
@@ -79,20 +81,6 @@ class Tokens:
         self.first = self.last - lengths + 1
         self.length = lengths
         self.train = np.repeat(~np.array(bundle.flags, dtype=bool), lengths)
-        before = np.roll(self.symbol, 1)
-        before[self.first] = END
-        self.before = before
-        self.begins = np.zeros(len(is_end), dtype=bool)
-        self.begins[self.first] = True
-
-
-def unmixed(h: np.ndarray) -> np.ndarray:
-    """The numbers that ``mixed`` gives ``h`` for."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(pow(0xC4CEB9FE1A85EC53, -1, 2**64))
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(pow(0xFF51AFD7ED558CCD, -1, 2**64))
-    return h ^ (h >> np.uint64(33))
 
 
 def _totals(values: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,77 +216,226 @@ class Grower:
         return 1 - (sums - kinds * self.growth.discount) / np.maximum(held, 1)
 
 
-class Walk:
-    """A bundle's way down the tree. ``chance`` is each token's probability in the longest
-    state so far; after ``steps`` answers ``values`` and ``numbers`` are the next question (none at the ``last``)."""
-
-    def __init__(self, grower: Grower, row: dict, steps: int, last: bool = False):
-        least, growth = grower.least, grower.growth
-        self.bundle = Bundle.of(row)
-        self.tokens = tokens = Tokens(self.bundle)
+_STATE = (
+    "bundle long, ids array<long>, flags array<boolean>, lengths array<long>, n_known array<long>, "
+    "base array<double>, score array<double>, vocabulary binary, codes binary, live binary, at binary, "
+    "upto binary, chance binary"
+)
+_STATE_TYPES = {
+    "bundle": pa.int64(),
+    "ids": pa.list_(pa.int64()),
+    "flags": pa.list_(pa.bool_()),
+    "lengths": pa.list_(pa.int64()),
+    "n_known": pa.list_(pa.int64()),
+    "base": pa.list_(pa.float64()),
+    "score": pa.list_(pa.float64()),
+    **dict.fromkeys(("vocabulary", "codes", "live", "at", "upto", "chance"), pa.binary()),
+}
+
+
+def _unsqueezed(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
+
+
+@dataclass
+class State:
+    """A bundle on its way down the tree, at one depth. ``at`` are the tokens whose context
+    of the depth is looked at, ``upto`` the counts of the sequences of the next shorter
+    context and the token, and ``chance`` the tokens' probabilities in the longest state so
+    far; all other tokens are done, and in their texts' ``score``. ``live`` marks the tokens
+    that with the next shorter context may be frequent. The words of a text that is done are
+    let go."""
+
+    bundle: int
+    ids: list
+    flags: list
+    lengths: np.ndarray
+    n_known: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
+    symbol: np.ndarray
+    live: np.ndarray
+    at: np.ndarray
+    upto: np.ndarray
+    chance: np.ndarray
+
+    @classmethod
+    def first(cls, grower: Grower, row: dict) -> State:
+        bundle = Bundle.of(row)
+        tokens = Tokens(bundle)
         values, place = np.unique(tokens.symbol, return_inverse=True)
         counts = np.zeros(len(values), dtype=np.int64)
         by_part = {a["part"]: a["answer"] for a in row["counts"] or ()}
         for part, a, b in part_slices(values, grower.parts[0]):
             counts[a:b] = np.frombuffer(by_part[part], dtype=np.int64)
-        self.known = counts[place]
-        self.base = (self.known + 1.0) / (grower.total + grower.distinct + 1)
-        self.chance = self.base.copy()
-        parts = grower.parts[1]
-        # Of each token: its context of the depth, the counts of that and of the sequence
-        # that is one context word shorter, and whether to look at the context.
-        context, upto = tokens.before, self.known
-        held = np.roll(self.known, 1)
-        held[tokens.first] = self.known[tokens.last]
-        exists = np.ones(len(context), dtype=bool)
-        looked = exists
-        self.values = self.numbers = None
-        for depth in range(steps // 2 + 1):
-            look = np.flatnonzero(exists & looked & (held >= grower.least_context))
-            if last and steps == 2 * depth:
-                return
-            whole = look[upto[look] >= least]
-            keys, key = np.unique(joined(context[whole], tokens.symbol[whole]), return_inverse=True)
-            if steps == 2 * depth:
-                self.values = keys
-                self.numbers = np.bincount(key, tokens.train[whole], len(keys)).astype(np.int64)
-                return
-            times = _gathered(keys, parts, row[f"step{2 * depth}"])[:, 0]
-            mine, times = (times & 1) > 0, times >> 1
-            states, state = np.unique(context[look], return_inverse=True)
-            if steps == 2 * depth + 1:
-                sent = np.full(len(keys), -1)
-                sent[key] = whole
-                sent = sent[mine & (times >= least)]
-                number = times[mine & (times >= least)]
-                local = np.bincount(state, tokens.train[look], len(states)).astype(np.int64)
-                values = np.concatenate((states, context[sent]))
-                order = np.argsort(values, kind="stable")
-                bits = np.concatenate((np.zeros(len(states), np.int64), self.chance[sent].view(np.int64)))
-                self.values = values[order]
-                self.numbers = np.stack((np.concatenate((local, number)), bits), axis=1)[order]
-                return
-            found = _gathered(states, parts, row[f"step{2 * depth + 1}"], 3)
-            count, sums, kinds = found.T
-            kept = kinds > 0
-            # What was left out although it may be frequent was not asked for.
-            after = np.where(exists & ~looked & (held >= grower.least_context) & (upto >= least), _UNASKED, 0)
-            after[whole] = times[key]
-            share = np.zeros(len(context))
-            enough = times[key] >= least
-            share[whole[enough]] = times[key][enough] - growth.discount
-            at = look[kept[state]]
-            own = state[kept[state]]
-            rest = grower.rest(count, sums, kinds)
-            self.chance[at] = share[at] / count[own] + rest[own] * self.chance[at]
-            is_state = np.zeros(len(context), dtype=bool)
-            is_state[at] = True
-            looked = is_state if depth else np.ones(len(context), dtype=bool)
-            context = np.roll(joined(context, tokens.symbol), 1)
-            held = np.roll(after, 1)
-            exists = np.roll(exists, 1)
-            exists[tokens.first] = False
-            upto = after
+        known = counts[place]
+        chance = (known + 1.0) / (grower.total + grower.distinct + 1)
+        held = np.roll(known, 1)
+        held[tokens.first] = known[tokens.last]
+        at = np.flatnonzero(held >= grower.least_context)
+        state = cls(
+            row["bundle"],
+            bundle.ids,
+            bundle.flags,
+            tokens.length,
+            np.add.reduceat((known > 0).astype(np.int64), tokens.first),
+            np.add.reduceat(np.log10(chance), tokens.first),
+            np.zeros(len(tokens.length)),
+            tokens.symbol,
+            np.zeros(len(known), dtype=bool),
+            np.arange(len(known)),
+            known,
+            chance,
+        )
+        state.go_on(at, known[at], chance[at])
+        return state
+
+    @classmethod
+    def of(cls, row: dict) -> State:
+        symbol = _unsqueezed(row["vocabulary"], np.uint64)[_unsqueezed(row["codes"], np.int32)]
+        return cls(
+            row["bundle"],
+            row["ids"],
+            row["flags"],
+            np.array(row["lengths"], dtype=np.int64),
+            np.array(row["n_known"], dtype=np.int64),
+            np.array(row["base"]),
+            np.array(row["score"]),
+            symbol,
+            np.unpackbits(_unsqueezed(row["live"], np.uint8), count=len(symbol)).astype(bool),
+            _unsqueezed(row["at"], np.int32).astype(np.int64),
+            _unsqueezed(row["upto"], np.int64),
+            _unsqueezed(row["chance"], np.float64).copy(),
+        )
+
+    def batch(self) -> pa.RecordBatch:
+        needed = np.repeat(np.bincount(self.text[self.at], minlength=len(self.lengths)) > 0, self.lengths)
+        vocabulary, codes = np.unique(np.where(needed, self.symbol, END), return_inverse=True)
+        values = {
+            "bundle": self.bundle,
+            "ids": self.ids,
+            "flags": self.flags,
+            "lengths": self.lengths,
+            "n_known": self.n_known,
+            "base": self.base,
+            "score": self.score,
+            "vocabulary": _squeezed(vocabulary),
+            "codes": _squeezed(codes.astype(np.int32)),
+            "live": _squeezed(np.packbits(self.live)),
+            "at": _squeezed(self.at.astype(np.int32)),
+            "upto": _squeezed(self.upto),
+            "chance": _squeezed(self.chance),
+        }
+        return pa.RecordBatch.from_arrays(
+            [pa.array([values[n]], t) for n, t in _STATE_TYPES.items()], names=list(_STATE_TYPES)
+        )
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        """The text of each token."""
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """The place of each token in its text."""
+        return np.arange(len(self.symbol)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    def context(self, depth: int) -> np.ndarray:
+        """Of the tokens looked at, the hash of the ``depth`` + 1 tokens before each; an end
+        stands before a text."""
+        oldest = self.at - depth
+        value = np.where(self.place[oldest] > 0, self.symbol[oldest - 1], END)
+        for back in range(depth, 0, -1):
+            value = joined(value, self.symbol[self.at - back])
+        return value
+
+    def trained(self, tokens: np.ndarray) -> np.ndarray:
+        return ~np.array(self.flags, dtype=bool)[self.text[tokens]]
+
+    def done(self) -> np.ndarray:
+        """log10 probability of each text, with the tokens still looked at."""
+        return self.score + np.bincount(self.text[self.at], np.log10(self.chance), len(self.lengths))
+
+    def go_on(self, at: np.ndarray, upto: np.ndarray, chance: np.ndarray) -> None:
+        """Looks at the tokens ``at`` only, which are some of those looked at so far."""
+        left = np.ones(len(self.at), dtype=bool)
+        left[np.searchsorted(self.at, at)] = False
+        self.score = self.score + np.bincount(self.text[self.at[left]], np.log10(self.chance[left]), len(self.lengths))
+        self.at, self.upto, self.chance = at, upto, chance
+
+
+class Step:
+    """The questions and answers of a bundle's step down by one depth."""
+
+    def __init__(self, grower: Grower, row: dict, depth: int):
+        self.grower, self.depth = grower, depth
+        self.state = state = State.of(row)
+        self.context = state.context(depth)
+        self.whole = np.flatnonzero(state.upto >= grower.least)
+        self.keys, self.key = np.unique(
+            joined(self.context[self.whole], state.symbol[state.at[self.whole]]), return_inverse=True
+        )
+
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts with their next symbols, and their training counts in the bundle."""
+        trained = self.state.trained(self.state.at[self.whole])
+        return self.keys, np.bincount(self.key, trained, len(self.keys)).astype(np.int64)
+
+    def _times(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        found = _gathered(self.keys, self.grower.parts[1], row["times"])[:, 0]
+        return (found & 1) > 0, found >> 1
+
+    def contexts(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts with their counts in the bundle, and the next symbols that this
+        bundle is to send, with their counts and their shares in the shorter state."""
+        state = self.state
+        mine, times = self._times(row)
+        states, place = np.unique(self.context, return_inverse=True)
+        sent = np.full(len(self.keys), -1)
+        sent[self.key] = self.whole
+        send = mine & (times >= self.grower.least)
+        sent, number = sent[send], times[send]
+        local = np.bincount(place, state.trained(state.at), len(states)).astype(np.int64)
+        values = np.concatenate((states, self.context[sent]))
+        order = np.argsort(values, kind="stable")
+        bits = np.concatenate((np.zeros(len(states), np.int64), state.chance[sent].view(np.int64)))
+        return values[order], np.stack((np.concatenate((local, number)), bits), axis=1)[order]
+
+    def next(self, row: dict) -> State:
+        """The bundle one depth further."""
+        state, grower, depth = self.state, self.grower, self.depth
+        times = self._times(row)[1][self.key]
+        states, place = np.unique(self.context, return_inverse=True)
+        count, sums, kinds = _gathered(states, grower.parts[1], row["found"], 3).T
+        share = np.zeros(len(state.at))
+        enough = times >= grower.least
+        share[self.whole[enough]] = times[enough] - grower.growth.discount
+        kept = np.flatnonzero((kinds > 0)[place])
+        own = place[kept]
+        rest = grower.rest(count, sums, kinds)
+        state.chance[kept] = share[kept] / count[own] + rest[own] * state.chance[kept]
+        # What is no longer looked at although it may be frequent was not asked for.
+        before = np.roll(state.live, 1)
+        after = np.where(state.live & before & (state.place >= depth), _UNASKED, 0)
+        after[state.at] = 0
+        after[state.at[self.whole]] = times
+        state.live = after >= grower.least
+        chosen = kept if depth else np.arange(len(state.at))
+        at = state.at[chosen]
+        chosen = chosen[(state.place[at] > depth) & (after[at - 1] >= grower.least_context)]
+        state.go_on(state.at[chosen], after[state.at[chosen]], state.chance[chosen])
+        return state
+
+
+def _each(work: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on one row after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield work({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+
+    return run
 
 
 def _freed(spark) -> None:
@@ -321,65 +458,78 @@ def scored(docs: DataFrame, held_out: Column, growth: Growth | None = None) -> D
     parts = parts_for(size / 8), parts_for(size / 2)
     answers = word_counts(bundles, parts[0])
     grower = Grower(total, _summed(answers), parts, growth)
-    known = with_answers(bundles, answers, "counts")
-    steps = 0
-    while growth.depth is None or steps < 2 * growth.depth:
-
-        def ask(row: dict, steps: int = steps):
-            walk = Walk(grower, row, steps)
-            return walk.values, walk.numbers
-
-        counts = durable(answered(asked(known, ask, parts[1]), _followed), f"suffix-counts-{steps // 2 + 1}")
-        known = with_answers(known, counts, f"step{steps}")
-        _freed(spark)
-
-        def ask_states(row: dict, steps: int = steps + 1):
-            walk = Walk(grower, row, steps)
-            return walk.values, walk.numbers
-
-        made = [0]
 
-        def states_of(values, numbers, made: list = made) -> list[bytes]:
-            tables, made[0] = grower.states(values, numbers)
-            return [_squeezed(t) for t in tables]
+    def start(row: dict) -> pa.RecordBatch:
+        return State.first(grower, row).batch()
 
-        def number_of(values, numbers, made: list = made) -> bytes:
-            """Called after ``states_of`` for the same part."""
-            return np.array(made, dtype=np.int64).tobytes()
-
-        cells = asked(known, ask_states, parts[1])
-        found = durable(answered(cells, states_of, number_of), f"suffix-states-{steps // 2 + 1}")
-        _freed(spark)
-        if not _summed(found):
+    state = durable(with_answers(bundles, answers, "counts").mapInArrow(_each(start), _STATE), "suffix-bundles")
+    delete(answers)
+    delete(bundles)
+    depth = 0
+    while growth.depth is None or depth < growth.depth:
+        further = _further(state, grower, depth)
+        if further is None:
             # No context of this depth diverges: neither will a longer one be looked at.
             break
-        known = with_answers(known, found, f"step{steps + 1}")
-        steps += 2
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                walk = Walk(grower, row, steps, last=True)
-                tokens, bundle = walk.tokens, walk.bundle
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bundle.ids, pa.int64()),
-                        pa.array(bundle.flags, pa.bool_()),
-                        pa.array(tokens.length.astype(np.int64)),
-                        pa.array(np.add.reduceat((walk.known > 0).astype(np.int64), tokens.first)),
-                        pa.array(np.full(len(bundle.ids), total, dtype=np.int64)),
-                        pa.array(np.add.reduceat(np.log10(walk.base), tokens.first)),
-                        pa.array(np.add.reduceat(np.log10(walk.chance), tokens.first)),
-                    ],
-                    names=_COLUMNS,
-                )
-
-    return known.mapInArrow(
-        score,
+        delete(state)
+        state = further
+        depth += 1
+
+    def score(row: dict) -> pa.RecordBatch:
+        state = State.of(row)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(state.ids, pa.int64()),
+                pa.array(state.flags, pa.bool_()),
+                pa.array(state.lengths),
+                pa.array(state.n_known),
+                pa.array(np.full(len(state.ids), total, dtype=np.int64)),
+                pa.array(state.base),
+                pa.array(state.done()),
+            ],
+            names=_COLUMNS,
+        )
+
+    return state.mapInArrow(
+        _each(score),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
     )
 
 
+def _further(state: DataFrame, grower: Grower, depth: int) -> DataFrame | None:
+    """All bundles one depth further; None where no context of the depth is a state."""
+    parts = grower.parts[1]
+    made = [0]
+
+    def states_of(values, numbers, made: list = made) -> list[bytes]:
+        tables, made[0] = grower.states(values, numbers)
+        return [_squeezed(t) for t in tables]
+
+    def number_of(values, numbers, made: list = made) -> bytes:
+        """Called after ``states_of`` for the same part."""
+        return np.array(made, dtype=np.int64).tobytes()
+
+    def ask(row: dict):
+        return Step(grower, row, depth).sequences()
+
+    def ask_states(row: dict):
+        return Step(grower, row, depth).contexts(row)
+
+    def advance(row: dict) -> pa.RecordBatch:
+        return Step(grower, row, depth).next(row).batch()
+
+    times = durable(answered(asked(state, ask, parts), _followed), f"suffix-counts-{depth + 1}")
+    known = with_answers(state, times, "times")
+    found = durable(answered(asked(known, ask_states, parts), states_of, number_of), f"suffix-states-{depth + 1}")
+    further = None
+    if _summed(found):
+        both = with_answers(known, found, "found")
+        further = durable(both.mapInArrow(_each(advance), _STATE), f"suffix-bundles-{depth + 1}")
+    delete(times)
+    delete(found)
+    _freed(state.sparkSession)
+    return further
+
+
 _COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

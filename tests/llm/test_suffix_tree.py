@@ -3,13 +3,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import suffix_tree as tree
 
-from .conftest import words_of
+from .conftest import cluttered, words_of
 
 GROWTH = tree.Growth(least_share=0.002, least_pair=0.0005, divergence=0.02, discount=0.75)
 
@@ -140,11 +139,6 @@ def test_no_training_rows(spark, no_docs):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in rows] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
 
 
-def test_unmixed():
-    values = np.random.default_rng(0).integers(0, 2**64, 100, dtype=np.uint64)
-    assert np.array_equal(tree.unmixed(tree.mixed(values)), values)
-
-
 def deep(rows, held, divergence=tree.DIVERGENCE, discount=tree.DISCOUNT):
     """What ``WHOLE`` asks for, with dictionaries: scores by row, and the states."""
     texts = [(d, words_of(t, lower=True) + [None]) for d, t in rows]
@@ -208,3 +202,17 @@ def test_whole_tree_has_rare_and_deep_contexts(small_docs, monkeypatch):
         assert sorted(got[d]) == pytest.approx(sorted(expect[d]), rel=1e-9)
     half, fewer = deep(rows[: len(rows) // 2], py_held)
     assert len(states) > 1.5 * len(fewer)
+
+
+def test_whole_tree_of_edge_rows(spark, edge_docs, edge_rows):
+    """Nulls, empty and very long texts, repeated rows and extra columns, by the tree that is registered."""
+    rows = [(r[0], r[1]) for r in edge_rows]
+    docs = cluttered(edge_docs.union(edge_docs))
+    expect, states = deep(rows + rows, py_held)
+    assert max(len(s) for s in states) > 2
+    got = {}
+    for r in tree.scored(docs, spark_held()).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    assert got.keys() == expect.keys()
+    for d in expect:
+        assert sorted(got[d]) == pytest.approx(sorted(expect[d]), rel=1e-9)
