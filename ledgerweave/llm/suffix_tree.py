@@ -35,6 +35,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,7 @@ from ledgerweave.llm.bundles import (
 from ledgerweave.llm.text import lower_bytes, mixed, word_hashes
 from ledgerweave.sources.durable import delete, durable
 
-BUNDLE_BYTES = 2 << 20
+BUNDLE_BYTES = 4 << 20
 LEAST = 2
 DIVERGENCE, DISCOUNT = 0.02, 0.75
 
@@ -60,6 +61,15 @@ END = np.uint64(0x5EED0F7E57E0F00D)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the place of each value among them."""
+    codes, met = pd.factorize(values)
+    order = np.argsort(met)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return met[order], rank[codes]
+
+
 def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Hash of a context followed by a symbol."""
     return mixed(context * _TURN + symbol)
@@ -103,7 +113,7 @@ def word_counts(bundles: DataFrame, parts: int) -> DataFrame:
 
     def ask(row: dict):
         tokens = Tokens(Bundle.of(row))
-        values, place = np.unique(tokens.symbol, return_inverse=True)
+        values, place = distinct(tokens.symbol)
         return values, np.bincount(place, tokens.train, len(values)).astype(np.int64)
 
     def summary(values, numbers) -> bytes:
@@ -135,7 +145,14 @@ WHOLE = Growth(depth=None)
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+    """Compressed, the first bytes of all numbers first and their last bytes last."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unsqueezed(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _gathered(values: np.ndarray, parts: int, answers: list[dict] | None, width: int = 1) -> np.ndarray:
@@ -143,8 +160,7 @@ def _gathered(values: np.ndarray, parts: int, answers: list[dict] | None, width:
     out = np.zeros((len(values), width), dtype=np.int64)
     by_part = {a["part"]: a["answer"] for a in answers or ()}
     for part, a, b in part_slices(values, parts):
-        raw = zstandard.ZstdDecompressor().decompress(by_part[part])
-        out[a:b] = np.frombuffer(raw, dtype=np.int64).reshape(-1, width)
+        out[a:b] = _unsqueezed(by_part[part], np.int64).reshape(-1, width)
     return out
 
 
@@ -217,12 +233,13 @@ class Grower:
 
 
 _STATE = (
-    "bundle long, ids array<long>, flags array<boolean>, lengths array<long>, n_known array<long>, "
+    "bundle long, depth int, ids array<long>, flags array<boolean>, lengths array<long>, n_known array<long>, "
     "base array<double>, score array<double>, vocabulary binary, codes binary, live binary, at binary, "
     "upto binary, chance binary"
 )
 _STATE_TYPES = {
     "bundle": pa.int64(),
+    "depth": pa.int32(),
     "ids": pa.list_(pa.int64()),
     "flags": pa.list_(pa.bool_()),
     "lengths": pa.list_(pa.int64()),
@@ -233,20 +250,17 @@ _STATE_TYPES = {
 }
 
 
-def _unsqueezed(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
-
-
 @dataclass
 class State:
     """A bundle on its way down the tree, at one depth. ``at`` are the tokens whose context
     of the depth is looked at, ``upto`` the counts of the sequences of the next shorter
     context and the token, and ``chance`` the tokens' probabilities in the longest state so
     far; all other tokens are done, and in their texts' ``score``. ``live`` marks the tokens
-    that with the next shorter context may be frequent. The words of a text that is done are
-    let go."""
+    that with the next shorter context may be frequent. Words that no
+    context can hold any more are let go. ``upto`` and ``chance`` are stored once for equal sequences."""
 
     bundle: int
+    depth: int
     ids: list
     flags: list
     lengths: np.ndarray
@@ -263,7 +277,7 @@ class State:
     def first(cls, grower: Grower, row: dict) -> State:
         bundle = Bundle.of(row)
         tokens = Tokens(bundle)
-        values, place = np.unique(tokens.symbol, return_inverse=True)
+        values, place = distinct(tokens.symbol)
         counts = np.zeros(len(values), dtype=np.int64)
         by_part = {a["part"]: a["answer"] for a in row["counts"] or ()}
         for part, a, b in part_slices(values, grower.parts[0]):
@@ -275,13 +289,15 @@ class State:
         at = np.flatnonzero(held >= grower.least_context)
         state = cls(
             row["bundle"],
+            0,
             bundle.ids,
             bundle.flags,
             tokens.length,
             np.add.reduceat((known > 0).astype(np.int64), tokens.first),
             np.add.reduceat(np.log10(chance), tokens.first),
             np.zeros(len(tokens.length)),
-            tokens.symbol,
+            # No sequence with a rare word is frequent: only its count tells it from others.
+            np.where(known < grower.least, known.astype(np.uint64), tokens.symbol),
             np.zeros(len(known), dtype=bool),
             np.arange(len(known)),
             known,
@@ -293,8 +309,9 @@ class State:
     @classmethod
     def of(cls, row: dict) -> State:
         symbol = _unsqueezed(row["vocabulary"], np.uint64)[_unsqueezed(row["codes"], np.int32)]
-        return cls(
+        state = cls(
             row["bundle"],
+            row["depth"],
             row["ids"],
             row["flags"],
             np.array(row["lengths"], dtype=np.int64),
@@ -303,33 +320,57 @@ class State:
             np.array(row["score"]),
             symbol,
             np.unpackbits(_unsqueezed(row["live"], np.uint8), count=len(symbol)).astype(bool),
-            _unsqueezed(row["at"], np.int32).astype(np.int64),
-            _unsqueezed(row["upto"], np.int64),
-            _unsqueezed(row["chance"], np.float64).copy(),
+            np.flatnonzero(np.unpackbits(_unsqueezed(row["at"], np.uint8), count=len(symbol))),
+            np.empty(0, np.int64),
+            np.empty(0),
         )
+        own = pd.factorize(state.sequence())[0]
+        state.upto = _unsqueezed(row["upto"], np.int64)[own]
+        state.chance = _unsqueezed(row["chance"], np.float64)[own]
+        return state
 
     def batch(self) -> pa.RecordBatch:
-        needed = np.repeat(np.bincount(self.text[self.at], minlength=len(self.lengths)) > 0, self.lengths)
-        vocabulary, codes = np.unique(np.where(needed, self.symbol, END), return_inverse=True)
+        looked = np.zeros(len(self.symbol), dtype=bool)
+        looked[self.at] = True
+        vocabulary, codes, times = np.unique(
+            np.where(self._needed(looked), self.symbol, END), return_inverse=True, return_counts=True
+        )
+        # Frequent words get small numbers, which take less room.
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order))
+        own = pd.factorize(self.sequence())[0]
+        one = np.empty(own.max(initial=-1) + 1, dtype=np.int64)
+        one[own] = np.arange(len(own))
         values = {
             "bundle": self.bundle,
+            "depth": self.depth,
             "ids": self.ids,
             "flags": self.flags,
             "lengths": self.lengths,
             "n_known": self.n_known,
             "base": self.base,
             "score": self.score,
-            "vocabulary": _squeezed(vocabulary),
-            "codes": _squeezed(codes.astype(np.int32)),
+            "vocabulary": _squeezed(vocabulary[order]),
+            "codes": _squeezed(rank[codes]),
             "live": _squeezed(np.packbits(self.live)),
-            "at": _squeezed(self.at.astype(np.int32)),
-            "upto": _squeezed(self.upto),
-            "chance": _squeezed(self.chance),
+            "at": _squeezed(np.packbits(looked)),
+            "upto": _squeezed(self.upto[one]),
+            "chance": _squeezed(self.chance[one]),
         }
         return pa.RecordBatch.from_arrays(
             [pa.array([values[n]], t) for n, t in _STATE_TYPES.items()], names=list(_STATE_TYPES)
         )
 
+    def _needed(self, looked: np.ndarray) -> np.ndarray:
+        """The tokens that a context can still hold: those that are looked at or may be
+        frequent with the next shorter context, and that context."""
+        if not self.depth:
+            return np.ones(len(looked), dtype=bool)
+        before = np.concatenate(([0], np.cumsum(looked | self.live)))
+        upto = np.minimum(np.arange(len(looked)) + self.depth + 2, len(looked))
+        return before[upto] > before[:-1]
+
     @cached_property
     def text(self) -> np.ndarray:
         """The text of each token."""
@@ -349,6 +390,11 @@ class State:
             value = joined(value, self.symbol[self.at - back])
         return value
 
+    def sequence(self) -> np.ndarray:
+        """Of the tokens looked at, the hash of each with the next shorter context."""
+        symbol = self.symbol[self.at]
+        return joined(self.context(self.depth - 1), symbol) if self.depth else symbol
+
     def trained(self, tokens: np.ndarray) -> np.ndarray:
         return ~np.array(self.flags, dtype=bool)[self.text[tokens]]
 
@@ -367,14 +413,12 @@ class State:
 class Step:
     """The questions and answers of a bundle's step down by one depth."""
 
-    def __init__(self, grower: Grower, row: dict, depth: int):
-        self.grower, self.depth = grower, depth
+    def __init__(self, grower: Grower, row: dict):
+        self.grower = grower
         self.state = state = State.of(row)
-        self.context = state.context(depth)
+        self.context = state.context(state.depth)
         self.whole = np.flatnonzero(state.upto >= grower.least)
-        self.keys, self.key = np.unique(
-            joined(self.context[self.whole], state.symbol[state.at[self.whole]]), return_inverse=True
-        )
+        self.keys, self.key = distinct(joined(self.context[self.whole], state.symbol[state.at[self.whole]]))
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
         """The contexts with their next symbols, and their training counts in the bundle."""
@@ -390,7 +434,7 @@ class Step:
         bundle is to send, with their counts and their shares in the shorter state."""
         state = self.state
         mine, times = self._times(row)
-        states, place = np.unique(self.context, return_inverse=True)
+        states, place = distinct(self.context)
         sent = np.full(len(self.keys), -1)
         sent[self.key] = self.whole
         send = mine & (times >= self.grower.least)
@@ -403,9 +447,9 @@ class Step:
 
     def next(self, row: dict) -> State:
         """The bundle one depth further."""
-        state, grower, depth = self.state, self.grower, self.depth
+        state, grower, depth = self.state, self.grower, self.state.depth
         times = self._times(row)[1][self.key]
-        states, place = np.unique(self.context, return_inverse=True)
+        states, place = distinct(self.context)
         count, sums, kinds = _gathered(states, grower.parts[1], row["found"], 3).T
         share = np.zeros(len(state.at))
         enough = times >= grower.least
@@ -424,6 +468,7 @@ class Step:
         at = state.at[chosen]
         chosen = chosen[(state.place[at] > depth) & (after[at - 1] >= grower.least_context)]
         state.go_on(state.at[chosen], after[state.at[chosen]], state.chance[chosen])
+        state.depth = depth + 1
         return state
 
 
@@ -465,6 +510,7 @@ def scored(docs: DataFrame, held_out: Column, growth: Growth | None = None) -> D
     state = durable(with_answers(bundles, answers, "counts").mapInArrow(_each(start), _STATE), "suffix-bundles")
     delete(answers)
     delete(bundles)
+    _freed(spark)
     depth = 0
     while growth.depth is None or depth < growth.depth:
         further = _further(state, grower, depth)
@@ -511,20 +557,30 @@ def _further(state: DataFrame, grower: Grower, depth: int) -> DataFrame | None:
         return np.array(made, dtype=np.int64).tobytes()
 
     def ask(row: dict):
-        return Step(grower, row, depth).sequences()
+        return Step(grower, row).sequences()
 
     def ask_states(row: dict):
-        return Step(grower, row, depth).contexts(row)
+        return Step(grower, row).contexts(row)
 
     def advance(row: dict) -> pa.RecordBatch:
-        return Step(grower, row, depth).next(row).batch()
+        return Step(grower, row).next(row).batch()
 
     times = durable(answered(asked(state, ask, parts), _followed), f"suffix-counts-{depth + 1}")
+    _freed(state.sparkSession)
     known = with_answers(state, times, "times")
     found = durable(answered(asked(known, ask_states, parts), states_of, number_of), f"suffix-states-{depth + 1}")
+    _freed(state.sparkSession)
     further = None
     if _summed(found):
-        both = with_answers(known, found, "found")
+        # Both answers at once: the bundles are shuffled once for them.
+        tables = times.withColumn("part", -1 - F.col("part")).union(found)
+        own = F.transform(
+            F.filter("both", lambda a: a["part"] < 0),
+            lambda a: F.struct((-1 - a["part"]).alias("part"), a["answer"].alias("answer")),
+        )
+        both = with_answers(state, tables, "both").select(
+            *state.columns, own.alias("times"), F.filter("both", lambda a: a["part"] >= 0).alias("found")
+        )
         further = durable(both.mapInArrow(_each(advance), _STATE), f"suffix-bundles-{depth + 1}")
     delete(times)
     delete(found)
