@@ -24,6 +24,7 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,11 +175,14 @@ def fitted(
 ) -> Model:
     """The model of labelled n-gram counts. A language rejects beyond ``slack`` times a high
     quantile of what its training texts of the same length class are distant from centroids
-    that they take no part in (see ``_limits``)."""
+    that they take no part in (see ``_limits``). The vectors take the place of the counts."""
     languages = tuple(sorted(set(labels)))
     seen = (counts > 0).sum(axis=0) if len(labels) else np.zeros(PLACES)
     idf = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
-    rows = _unit(np.log1p(counts) * idf) if len(labels) else counts
+    rows = np.log1p(counts, out=counts)
+    rows *= idf
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.where(norms > 0, norms, 1)
     names = np.array(labels)
     centroids, owner = [], []
     number = np.zeros(len(labels), dtype=np.int64)
@@ -242,18 +246,14 @@ def learn(
         .select("lang", "text")
         .mapInArrow(count, "lang string, letters long, counts binary")
         .toArrow()
-        .to_pydict()
-    )
-    order = sorted(
-        range(len(sample["lang"])), key=lambda i: (sample["lang"][i], sample["counts"][i])
-    )
-    counts = (
-        np.stack([np.frombuffer(sample["counts"][i], dtype="<f4") for i in order])
-        if order
-        else np.empty((0, PLACES), dtype=np.float32)
     )
-    letters = np.array([sample["letters"][i] for i in order], dtype=np.int64)
-    return fitted([sample["lang"][i] for i in order], counts, letters, centroids_per_language, slack)
+    sample = sample.take(pc.sort_indices(sample, [("lang", "ascending"), ("counts", "ascending")]))
+    counts = np.empty((sample.num_rows, PLACES), dtype=np.float32)
+    for row, packed in zip(counts, sample["counts"]):
+        row[:] = np.frombuffer(packed.as_buffer(), dtype="<f4")
+    labels, letters = sample["lang"].to_pylist(), sample["letters"].to_numpy()
+    del sample
+    return fitted(labels, counts, letters, centroids_per_language, slack)
 
 
 # Texts whose counts are held at a time: 256 rows of 8,192 floats are 8 MB.
