@@ -150,6 +150,26 @@ def test_features_equal_those_of_each_bank_view(inputs):
         assert alone.count() == own.count()
 
 
+def test_a_task_counts_an_even_share_of_the_ledger(spark):
+    """AQE merges small partitions by their bytes; those whose facets are counted stay apart."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    raw = spark.range(8000).select(
+        F.col("id").alias("tran_id"),
+        (F.col("id") % 3).alias("orig_acct"),
+        F.lit(7).alias("bene_acct"),
+        F.lit(1).cast("decimal(18,2)").alias("base_amt"),
+        at.alias("tran_timestamp"),
+    )
+    cleaned = ledger.clean_transactions(raw.union(raw))
+    profile = features._profile(cleaned)
+    got = {r["acct_id"]: (r["out_cnt"], r["in_cnt"], r["in_nuniq_orig"]) for r in profile.collect()}
+    assert got == {0: (2667, None, 0), 1: (2667, None, 0), 2: (2666, None, 0), 7: (None, 8000, 3)}
+    assert "REPARTITION_BY_NUM" in profile._jdf.queryExecution().executedPlan().toString()
+    shares = [r["count"] for r in features._spread(cleaned).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == parts and max(shares) < 2 * 8000 / parts
+
+
 def test_separate_feature_operators_agree_with_the_profile(inputs):
     one = inputs.features.where("out_cnt > 0").select(
         "acct_id", "out_cnt", "out_sum", "out_nuniq_bene"
