@@ -170,6 +170,33 @@ def test_a_task_counts_an_even_share_of_the_ledger(spark):
     assert len(shares) == parts and max(shares) < 2 * 8000 / parts
 
 
+def test_the_rows_of_a_ledger_set_the_number_of_its_tasks(spark, monkeypatch):
+    """Copies, facets and fold: each in as many tasks as the rows need, with whole results."""
+    monkeypatch.setattr(ledger, "TASK_ROWS", 100)
+    raw = spark.range(3000).select(
+        F.col("id").alias("tran_id"),
+        F.when(F.col("id") % 10 > 0, F.col("id") % 50).alias("orig_acct"),
+        F.lit(7).cast("bigint").alias("bene_acct"),
+        F.lit(1).cast("decimal(18,2)").alias("base_amt"),
+        F.lit("2020-01-01 00:00:00").cast("timestamp_ntz").alias("tran_timestamp"),
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ledger.task_count(spark) == ledger.task_count(spark, 100) == parts
+    cleaned = ledger.clean_transactions(raw.union(raw), 6000)
+    assert ledger.dealt_parts(cleaned) == 60 > parts
+    assert ledger.dealt_parts(cleaned.where("tran_id > 0")) is None
+    profile = features._profile(cleaned)
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 60), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 3
+    rows = {r["acct_id"]: r.asDict() for r in profile.collect()}
+    assert set(rows) == {a for a in range(50) if a % 10}
+    assert {(r["out_cnt"], r["out_sum"], r["out_nuniq_bene"], r["out_max_daily_cnt"]) for r in rows.values()} == {
+        (60, 60, 1, 60)
+    }
+    # Transfers without a sender count, but are no counterparty.
+    assert (rows[7]["in_cnt"], rows[7]["in_nuniq_orig"], rows[7]["in_max_daily_sum"]) == (3000, 45, 3000)
+
+
 def test_separate_feature_operators_agree_with_the_profile(inputs):
     one = inputs.features.where("out_cnt > 0").select(
         "acct_id", "out_cnt", "out_sum", "out_nuniq_bene"
