@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.coerce import as_id, as_number, as_utc
 from ledgerweave.operators import features, ledger
+from ledgerweave.sources import testdata
 from ledgerweave.sources.durable import durable
 
 
@@ -197,6 +198,19 @@ def test_the_rows_of_a_ledger_set_the_number_of_its_tasks(spark, monkeypatch):
     assert (rows[7]["in_cnt"], rows[7]["in_nuniq_orig"], rows[7]["in_max_daily_sum"]) == (3000, 45, 3000)
 
 
+def test_line_items_meet_their_orders_in_as_many_tasks_as_the_rows_need(spark, small_dir, monkeypatch):
+    plain = testdata.transactions(spark, small_dir)
+    rows = plain.count()
+    for module in (ledger, testdata):
+        monkeypatch.setattr(module, "TASK_ROWS", 300)
+    parts = -(-rows // 300)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = testdata.transactions(spark, small_dir)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
+    assert dealt.count() == rows and dealt.exceptAll(plain).isEmpty()
+
+
 def test_separate_feature_operators_agree_with_the_profile(inputs):
     one = inputs.features.where("out_cnt > 0").select(
         "acct_id", "out_cnt", "out_sum", "out_nuniq_bene"
