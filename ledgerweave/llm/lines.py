@@ -8,7 +8,7 @@ first line can have to be compared. Words are ordered by rarity, as counted over
 documents in a table of fixed size, and then by hash; any fixed order keeps the join
 exact. Two sets that are similar enough share a word among the rarest of each (prefix
 filter), have similar sizes (length filter), and where the shared word stands bounds what
-they can still share (positional filter); the words that only one of them has show in 64
+they can still share (positional filter); the words that only one of them has show in 128
 bits of parity. A pair that passes is verified on the whole sets.
 
 A class needs one earlier match, not all of them: each prefix word first offers a class its
@@ -130,7 +130,8 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 _LINE = (
-    "doc_id long, tie long, line int, text_hash long, sig long, sig2 long, bits long, n int, prefix array<int>"
+    "doc_id long, tie long, line int, text_hash long, sig long, sig2 long, bits long, half long, n int, "
+    "prefix array<int>"
 )
 
 
@@ -150,7 +151,10 @@ def described(docs: DataFrame, counts: np.ndarray, threshold: Fraction) -> DataF
                 heads = np.flatnonzero(np.diff(line, prepend=-1))
                 n = np.diff(heads, append=len(line))
                 sig, sig2 = _signatures(hashes, heads)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), heads)
+                turned = np.uint64(1) << (hashes & np.uint64(63))
+                bits = np.bitwise_xor.reduceat(turned, heads)
+                # The parity of half the words tells that of the other half as well.
+                half = np.bitwise_xor.reduceat(np.where(hashes & np.uint64(64), turned, np.uint64(0)), heads)
                 keep = n - -(-(threshold.numerator * n) // threshold.denominator) + 1
                 # Sets this small are similar only to equal ones.
                 keep[n * threshold.denominator < threshold.numerator * (n + 1)] = 0
@@ -170,12 +174,13 @@ def described(docs: DataFrame, counts: np.ndarray, threshold: Fraction) -> DataF
                         pa.array(sig.view(np.int64)),
                         pa.array(sig2.view(np.int64)),
                         pa.array(bits.view(np.int64)),
+                        pa.array(half.view(np.int64)),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(
                             pa.array(offsets), pa.array((hashes[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                         ),
                     ],
-                    names=["doc_id", "tie", "line", "text_hash", "sig", "sig2", "bits", "n", "prefix"],
+                    names=["doc_id", "tie", "line", "text_hash", "sig", "sig2", "bits", "half", "n", "prefix"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text").mapInArrow(describe, _LINE)
@@ -254,9 +259,9 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
                     pa.array((word.astype(np.int64) << 24) + part),
                     pa.array((n << 34) | (place << 2) | (own.astype(np.int64) << 1) | wanted),
                     pa.array(bits),
-                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4, 6)],
+                    *[pa.array(batch.column(c).to_numpy()[owner]) for c in (3, 4, 6, 7)],
                 ],
-                names=["word", "spot", "bits", "doc", "line", "apart"],
+                names=["word", "spot", "bits", "doc", "line", "apart", "half"],
             )
 
     # A row of this table, of which there are many, is short. ``spot`` packs the size of
@@ -264,8 +269,8 @@ def offers(classes: DataFrame, threshold: Fraction, most: int | None, part_rows:
     # bits also name the class: where two classes share them, both are looked up.
     dealt = (
         classes.where(F.size("prefix") > 0)
-        .select("prefix", "bits", "n", "doc", "line", "wanted", "apart")
-        .mapInArrow(deal, "word long, spot long, bits long, doc long, line int, apart long")
+        .select("prefix", "bits", "n", "doc", "line", "wanted", "apart", "half")
+        .mapInArrow(deal, "word long, spot long, bits long, doc long, line int, apart long, half long")
         .repartition("word")
         .sortWithinPartitions("word", "spot")
     )
@@ -297,7 +302,8 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
     """Compares each row with the next, the one after it, and so on, as long as they are
     in the same group and of similar size; all groups of the table at once."""
     spot, name = table["spot"].to_numpy(), table["bits"].to_numpy()
-    bits = name.view(np.uint64)
+    half = table["half"].to_numpy().view(np.uint64)
+    rest = name.view(np.uint64) ^ half
     n, place = spot >> 34, (spot >> 2) & 0xFFFFFFFF
     own, wanted = (spot & 2).astype(bool), (spot & 1).astype(bool)
     size = len(n)
@@ -323,8 +329,9 @@ def _offered(table: pa.Table, threshold: Fraction, most: int | None) -> Iterator
         shared = np.minimum(n[row] - place[row], n[other] - place[other])
         both = n[row] + n[other]
         least = least_shared(both, threshold)
-        # Every word that one set has and the other has not turns one bit.
-        apart = np.bitwise_count(bits[row] ^ bits[other])
+        # Every word that one set has and the other has not turns one bit of 128. With 64
+        # any two sets of 150 words would be as good as alike.
+        apart = np.bitwise_count(half[row] ^ half[other]).astype(np.int64) + np.bitwise_count(rest[row] ^ rest[other])
         good = (own[row] | own[other]) & (shared >= least) & (apart <= both - 2 * least)
         a, b = row[good], other[good]
         swap = age[a] > age[b]
@@ -462,8 +469,8 @@ def _classes(lines: DataFrame) -> DataFrame:
     shared = lines.groupBy(doc.alias("shared")).agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b")
     return (
         lines.groupBy("sig", "sig2")
-        .agg(F.min(at).alias("at"), *[F.any_value(c).alias(c) for c in ("bits", "n", "prefix")])
-        .select("sig", "sig2", "at.*", "bits", "n", "prefix", F.lit(True).alias("wanted"))
+        .agg(F.min(at).alias("at"), *[F.any_value(c).alias(c) for c in ("bits", "half", "n", "prefix")])
+        .select("sig", "sig2", "at.*", "bits", "half", "n", "prefix", F.lit(True).alias("wanted"))
         .join(shared.select("shared"), F.col("doc") == F.col("shared"), "left")
         .withColumn("apart", F.when(F.col("shared").isNull(), F.lit(0)).otherwise(F.col("tie")).cast("long"))
         .drop("tie", "shared")

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import lines
+from ledgerweave.sources.durable import durable
 
 from .conftest import words_of
 
@@ -72,6 +73,21 @@ def test_split_prefix_words_lose_nothing(variants, monkeypatch):
     assert found(frame) == brute(rows)
 
 
+def test_long_lines_that_differ_are_not_compared_word_by_word(spark):
+    """Lines of 200 words with the same rarest word; two of them are alike."""
+    rows = [(i, " ".join(["rarest", *(f"w{i}x{j}" for j in range(200))])) for i in range(60)]
+    rows.append((60, rows[3][1].replace(" w", " y", 10)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = durable(lines._classes(lines.described(docs, lines.word_counts(docs), lines.THRESHOLD)), "line-classes")
+    # The word stands first in every set.
+    classes = made.withColumn("prefix", F.array(F.lit(7).cast("int")))
+    pairs = lines.offers(classes, lines.THRESHOLD, None, 20_000).select("later", "earlier").distinct().collect()
+    name = {r["doc"]: r["bits"] for r in made.collect()}
+    assert (name[60], name[3]) in {tuple(r) for r in pairs} and len(pairs) < 60
+    gone = lines.removed_lines(docs).select("doc_id", "lines").collect()
+    assert [(r["doc_id"], list(r["lines"])) for r in gone] == [(60, [0])]
+
+
 def test_edge_cases(edge_docs, edge_rows):
     rows = [(r[0], r[1]) for r in edge_rows]
     assert found(edge_docs) == brute(rows)
