@@ -9,7 +9,7 @@ show, given the text's length.
 
 The centroids are fitted on a bounded sample of labelled texts: at most about
 ``sample_per_language`` texts of each language, chosen by a hash of doc_id, whole texts
-each. Predictions read the whole text and nothing but the text.
+each, one language in a task. Predictions read the whole text and nothing but the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; a null label is not learned from; equal texts get equal predictions; ties go to
@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.sources.durable import delete, durable
+
 UNKNOWN = "und"
 PLACES = 1 << 13
 # Code points that are turned into n-grams at a time.
@@ -170,35 +172,34 @@ def _limits(distance: np.ndarray, classes: np.ndarray, languages: np.ndarray, n:
     return out
 
 
-def fitted(
-    labels: list[str], counts: np.ndarray, letters: np.ndarray, centroids_per_language: int, slack: float
-) -> Model:
-    """The model of labelled n-gram counts. A language rejects beyond ``slack`` times a high
-    quantile of what its training texts of the same length class are distant from centroids
-    that they take no part in (see ``_limits``). The vectors take the place of the counts."""
-    languages = tuple(sorted(set(labels)))
-    seen = (counts > 0).sum(axis=0) if len(labels) else np.zeros(PLACES)
-    idf = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
+def _described(counts: np.ndarray, idf: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's texts, and the distance of each text from centroids that it
+    takes no part in. The vectors take the place of the counts."""
     rows = np.log1p(counts, out=counts)
     rows *= idf
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     rows /= np.where(norms > 0, norms, 1)
-    names = np.array(labels)
-    centroids, owner = [], []
-    number = np.zeros(len(labels), dtype=np.int64)
-    distance = np.full(len(labels), np.nan)
-    for i, language in enumerate(languages):
-        own = names == language
-        found = _clustered(rows[own], centroids_per_language, seed=i)
-        centroids.append(found)
-        owner += [i] * len(found)
-        number[own] = i
-        distance[own] = _unseen_distances(rows[own], centroids_per_language, seed=i)
+    return _clustered(rows, k, seed), _unseen_distances(rows, k, seed)
+
+
+def fitted(
+    labels: list[str],
+    letters: np.ndarray,
+    distance: np.ndarray,
+    idf: np.ndarray,
+    centroids: dict[str, np.ndarray],
+    slack: float,
+) -> Model:
+    """The model of described languages (see ``_described``). ``labels``, ``letters`` and
+    ``distance`` are those of the sample's texts. A language rejects beyond ``slack`` times a
+    high quantile of the distances of its texts of the same length class (see ``_limits``)."""
+    languages = tuple(sorted(centroids))
+    number = np.searchsorted(np.array(languages, dtype=object), np.array(labels, dtype=object))
     return Model(
         languages,
         idf,
-        np.concatenate(centroids) if centroids else np.empty((0, PLACES), dtype=np.float32),
-        np.array(owner, dtype=np.int64),
+        np.concatenate([centroids[x] for x in languages]) if languages else np.empty((0, PLACES), dtype=np.float32),
+        np.repeat(np.arange(len(languages)), [len(centroids[x]) for x in languages]),
         _limits(distance, _length_class(letters), number, len(languages), slack),
     )
 
@@ -213,9 +214,10 @@ def learn(
     """Fits the model on labelled rows of ``docs`` (those for which ``eligible`` holds).
 
     The sample is drawn by doc_id and text, and rows that agree in both are drawn once, so
-    neither missing nor repeated ids change its size. The driver receives the n-gram counts
-    of the sample: at most about ``sample_per_language`` rows of 8,192 counts for each
-    language.
+    neither missing nor repeated ids change its size. Its n-gram counts, at most about
+    ``sample_per_language`` rows of 8,192 for each language, are stored, and the texts of a
+    language are clustered in one task. The driver receives the centroids, how many texts
+    have each place, and two numbers a text.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if eligible is not None:
@@ -238,22 +240,60 @@ def learn(
                         {"lang": [language], "letters": [letters], "counts": [counts.astype("<f4").tobytes()]}
                     )
 
-    sample = (
+    def occupied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(PLACES, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                seen += np.frombuffer(packed.as_buffer(), dtype="<f4") > 0
+        places = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"place": places.astype(np.int32), "n": seen[places]})
+
+    sample = durable(
         labelled.where(drawn)
         .select("lang", "text", "__lw_draw")
         .withColumn("row", F.row_number().over(once))
         .where("row = 1")
         .select("lang", "text")
-        .mapInArrow(count, "lang string, letters long, counts binary")
-        .toArrow()
+        .mapInArrow(count, "lang string, letters long, counts binary"),
+        "language-sample",
+    )
+    drawn_texts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    languages = sorted(drawn_texts)
+    places = sample.select("counts").mapInArrow(occupied, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(PLACES)
+    seen[places["place"].to_numpy()] = places["n"].to_numpy()
+    idf = (np.log((1 + sum(drawn_texts.values())) / (1 + seen)) + 1).astype(np.float32)
+
+    def describe(texts: pa.Table) -> pa.Table:
+        texts = texts.take(pc.sort_indices(texts, [("counts", "ascending")]))
+        language = texts["lang"][0].as_py()
+        counts = np.empty((texts.num_rows, PLACES), dtype=np.float32)
+        for row, packed in zip(counts, texts["counts"]):
+            row[:] = np.frombuffer(packed.as_buffer(), dtype="<f4")
+        found, distance = _described(counts, idf, centroids_per_language, languages.index(language))
+        return pa.table(
+            {
+                "lang": [language],
+                "letters": [texts["letters"].to_pylist()],
+                "distance": [distance],
+                "centroids": [found.astype("<f4").tobytes()],
+            }
+        )
+
+    described = (
+        sample.groupBy("lang")
+        .applyInArrow(describe, "lang string, letters array<long>, distance array<double>, centroids binary")
+        .collect()
+    )
+    delete(sample)
+    return fitted(
+        [r["lang"] for r in described for _ in r["letters"]],
+        np.array([n for r in described for n in r["letters"]], dtype=np.int64),
+        np.array([d for r in described for d in r["distance"]], dtype=np.float64),
+        idf,
+        {r["lang"]: np.frombuffer(r["centroids"], dtype="<f4").reshape(-1, PLACES) for r in described},
+        slack,
     )
-    sample = sample.take(pc.sort_indices(sample, [("lang", "ascending"), ("counts", "ascending")]))
-    counts = np.empty((sample.num_rows, PLACES), dtype=np.float32)
-    for row, packed in zip(counts, sample["counts"]):
-        row[:] = np.frombuffer(packed.as_buffer(), dtype="<f4")
-    labels, letters = sample["lang"].to_pylist(), sample["letters"].to_numpy()
-    del sample
-    return fitted(labels, counts, letters, centroids_per_language, slack)
 
 
 # Texts whose counts are held at a time: 256 rows of 8,192 floats are 8 MB.

@@ -62,6 +62,17 @@ def test_sample_without_useful_ids(small_docs, doc_id):
     assert all(5 <= seen[0].count(x) <= 45 for x in learned.languages)
 
 
+def test_the_driver_gets_no_counts_of_the_sample(small_docs, monkeypatch):
+    sent = []
+    whole = language.fitted
+    monkeypatch.setattr(language, "fitted", lambda *a: sent.append(a) or whole(*a))
+    learned = language.learn(small_docs)
+    texts = len(sent[0][0])
+    arrays = [x for a in sent[0] for x in (a.values() if isinstance(a, dict) else [a]) if isinstance(x, np.ndarray)]
+    counts = texts * language.PLACES * 4
+    assert texts > 100 and len(learned.centroids) and sum(x.nbytes for x in arrays) < counts / 4
+
+
 def test_nothing_to_learn_from(spark, no_docs, edge_docs):
     empty = language.learn(no_docs)
     assert language.predicted(no_docs, empty, "doc_id").collect() == []
